@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import UTC, datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -135,13 +136,10 @@ def _typed(r: Rule) -> tuple:
     custom = r.frequency == "CUSTOM_RRULE"
     p = parse_rrule(r.rrule or "") if custom else Parsed(r.frequency)
     anchor = None
-    if custom and r.anchor is not None:
-        from zoneinfo import ZoneInfo
-
-        m = re.fullmatch(r"(?i)\s*(?:UTC|GMT)?\s*([+-])\s*(\d{1,2}):?(\d{2})?\s*", r.timezone)
-        shift = (1 if m[1] == "+" else -1) * timedelta(hours=int(m[2]), minutes=int(m[3] or 0)) if m else None
-        utc = r.anchor.replace(tzinfo=ZoneInfo("UTC"))
-        anchor = (utc + shift).date() if m else utc.astimezone(ZoneInfo(r.timezone)).date()
+    zone = T.normal_zone_name(r.timezone)
+    if custom and r.anchor is not None and zone:
+        shift = datetime.strptime(zone, "%z").tzinfo if zone[0] in "+-" else ZoneInfo(zone)
+        anchor = r.anchor.replace(tzinfo=UTC).astimezone(shift).date()
     if p.interval > 1 and anchor is None:
         raise RuleError("INTERVAL above 1 needs an anchor")
     clock = sorted(h * 60 + m for h in (p.by_hour or (r.hour,)) for m in (p.by_minute or (r.minute,)))
@@ -151,13 +149,12 @@ def _typed(r: Rule) -> tuple:
     if p.freq == "MONTHLY" and not weekdays and not month_days:
         month_days = [anchor.day if anchor else r.day_of_month or 1]
     horizon = {"DAILY": p.interval + 1, "WEEKLY": 7 * p.interval + 1, "MONTHLY": 31 * p.interval * 4 + 1}[p.freq]
-    return (r.id, r.game_id, r.name, r.frequency, r.timezone, r.is_primary, r.is_active, p.freq, p.interval, clock, weekdays, month_days, anchor, p.until, horizon)
+    return (r.id, r.game_id, r.name, r.frequency, zone, r.is_primary, r.is_active, p.freq, p.interval, clock, weekdays, month_days, anchor, p.until, horizon)
 
 
 def rules_table(spark: SparkSession, rules: tuple[Rule, ...] = RESET_RULES) -> DataFrame:
     """Typed rules with zones in normal form; a rule with an unknown zone has a null zone and no occurrences."""
-    df = spark.createDataFrame([_typed(r) for r in rules], _SCHEMA)
-    return df.withColumn("zone", T.normal_zone(F.col("zone")))
+    return spark.createDataFrame([_typed(r) for r in rules], _SCHEMA)
 
 
 def problems(rule: Rule) -> list[str]:
