@@ -83,11 +83,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_packed_sequences, op3_balanced_packing, op4_toxicity, op5_repeated_passages, op6_line_dedup, op7_simhash_groups, op8_secret_ledger, op9_scaled_sketch, op10_byte_bpe, pipeline)}
 
 _CODES = """
-codes AS (
-  SELECT vec_id AS id, list_transform(generate_series(1, 64), i -> coalesce(list_sum(list_transform(generate_series(i, greatest(len(embedding), i), 64), j -> coalesce(embedding[j], 0)::DOUBLE)), 0) > 0) AS code
+signs AS (
+  SELECT vec_id AS id, list_transform(generate_series(0, 63), lambda i: coalesce(list_sum(list_transform(generate_series(i + 1, greatest(len(embedding), i + 1), 64), lambda j: coalesce(embedding[j], 0)::DOUBLE)), 0) > 0) AS s
   FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
 ), bits AS (
-  SELECT DISTINCT id, list_reduce(list_transform(generate_series(1, 64), i -> CASE WHEN code[i] THEN (1::UBIGINT << (i - 1)) ELSE 0::UBIGINT END), (a, b) -> a | b) AS code FROM codes
+  SELECT DISTINCT id, array_to_string(list_transform(s, lambda x: CASE WHEN x THEN '1' ELSE '0' END), '')::BIT AS code FROM signs
 )"""
 
 ORACLE_SQL = {

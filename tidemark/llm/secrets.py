@@ -114,8 +114,9 @@ def findings(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = REDACTED) -> DataFrame:
     """``docs`` with every base span (overlapping ones as one) of its texts replaced by ``mark``; n_chars follows the text."""
-    found = written(scan(docs), "ledger").where(F.exists("spans", lambda s: s["rank"] < len(BASE))).select("blob_id", "spans")
-    rows = docs.withColumn("blob_id", blob_id(text_or_empty())).join(found, "blob_id", "left")
+    base_of = lambda spans: F.filter(spans, lambda s: s["rank"] < len(BASE))
+    found = written(scan(docs), "ledger").select(F.col("blob_id").alias("_blob"), base_of(F.col("spans")).alias("_found")).where(F.size("_found") > 0)
+    rows = docs.withColumn("_blob", blob_id(text_or_empty())).join(found, "_blob", "left")
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -123,9 +124,8 @@ def redacted(docs: DataFrame, mark: str = REDACTED) -> DataFrame:
         here = F.concat(state["out"], text.substr(state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), F.when(s["start"] >= state["at"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), here.alias("out"))
 
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    clean = F.aggregate(base, start, step, lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text))))
-    out = rows.withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(clean))
+    clean = F.aggregate("_found", start, step, lambda state: F.concat(state["out"], text.substr(state["at"] + 1, F.length(text))))
+    out = rows.withColumn("text", F.when(F.col("_found").isNull(), text).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(docs.columns)

@@ -14,10 +14,16 @@ from ..functions import state as S
 from ..functions import times as T
 
 
+def _classified(items: DataFrame, of: Column, name: str) -> DataFrame:
+    """Items with their class, without those that have none. The class comes out of a generator: filters on it then stay
+    above it, and the optimizer does not write the long expression into each of them."""
+    return items.select("*", F.explode(F.array_compact(F.array(of))).alias(name))
+
+
 def today(items: DataFrame, rules: DataFrame, now: Column, options: M.TodayOptions = M.TodayOptions()) -> DataFrame:
     """section, place, kind, id, game_id, title, status, tier, reason, at, priority: the daily digest, most urgent first."""
     kept = items.where(~F.col("id").isin(*options.dismissed)) if options.dismissed else items
-    of_items = S.with_states(kept, now).withColumn("section", S.today_section(now, options)).where("section is not null").withColumn("u", S.urgency(now))
+    of_items = _classified(S.with_states(kept, now), S.today_section(now, options), "section").withColumn("u", S.urgency(now))
     of_items = of_items.select("section", F.lit("item").alias("kind"), "id", "game_id", "title", F.col("time_status").alias("status"), "u.tier", "u.reason", "u.at", "priority")
     soon = R.next_occurrence(rules, now).where(F.col("next_at") - now <= S.span(options.resets)).withColumn("u", S.reset_urgency(F.col("next_at"), now))
     of_rules = soon.select(F.lit("resets").alias("section"), F.lit("reset").alias("kind"), "id", "game_id", F.col("name").alias("title"), F.lit(None).cast("string").alias("status"), "u.tier", "u.reason", "u.at", F.when(F.col("is_primary"), 60).otherwise(50).alias("priority"))
@@ -43,7 +49,7 @@ def timeline(items: DataFrame, now: Column, options: M.TimelineOptions = M.Timel
     """Items with ``timeline`` (current, upcoming, recent) and ``place`` in it; recent ones up to a limit."""
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     eff, closed = S.effective(epoch), F.coalesce(F.col("end_at"), S.effective(epoch))
-    rows = S.with_states(items, now).withColumn("timeline", S.timeline_group(now)).where("timeline is not null")
+    rows = _classified(S.with_states(items, now), S.timeline_group(now), "timeline")
     far = ((F.col("timeline") == "upcoming") & (eff - now > S.span(options.upcoming))) | ((F.col("timeline") == "recent") & (now - closed > S.span(options.past)))
     key = F.when(F.col("timeline") == "current", F.unix_micros(F.col("end_at").cast("timestamp"))).when(F.col("timeline") == "upcoming", F.unix_micros(eff.cast("timestamp"))).otherwise(-F.unix_micros(closed.cast("timestamp")))
     rows = rows.where(~far).withColumn("sort_key", key)
