@@ -115,6 +115,7 @@ def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     every = written(chunks(docs), "chunks")
     place = F.struct("_doc", "_text", "at")
     repeated = every.groupBy("h", "g").agg(F.min(place).alias("first"), F.min("_doc").alias("_d"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
+    repeated = written(repeated, "chunk_groups")  # a plain table on this side lets adaptive execution split a hot chunk's rows
     found = written(every.join(repeated, ["h", "g"]), "repeated")
     wanted = found.groupBy("_doc", "_text").agg(F.collect_set("at").alias("ats"))
     differ = written(_bytes(docs, wanted).groupBy("h", "g", "bytes").agg(F.count("*")).groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "collisions")
