@@ -30,6 +30,8 @@ BITS = 64
 BLOCK, CHUNK = 16_384, 4_096
 #: Candidate pairs verified at a time inside a task.
 PAIRS = 2_000_000
+#: Tasks at most that pairs of a block and a chunk are dealt to; a task takes its pairs one after the other.
+MOST_TASKS = 20_000
 
 
 def binary_codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -123,6 +125,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK,
         got = search(codes, first, q, most)
         return pd.DataFrame({"query": q[got["query"]], "code": codes[got["entry"]], "distance": got["distance"], "first": first[got["entry"]]})
 
+    # a stated number of tasks: adaptive execution would put all of these small rows, and their long work, into one
+    tasks = min(MOST_TASKS, 4 * blocks * chunks)
+    left, right = left.repartition(tasks, "block", "chunk"), right.repartition(tasks, "block", "chunk")
     near = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(run, "query long, code long, distance long, first long")
     near = near.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy("distance", "first"))).where(F.col("n") <= most)
     rows = near.join(entries.select("code", "ids"), "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
