@@ -3,6 +3,7 @@
 import oracle
 import pytest
 
+from tidemark.plans import feed_oracles, feed_queries  # noqa: F401
 from tidemark.plans.oracles import ORACLE_SQL
 from tidemark.plans.queries import QUERIES
 

@@ -48,6 +48,66 @@ def entities(previous: DataFrame, current: DataFrame, key: str, fields: dict[str
     return rows.select(key, "name", "d.*")
 
 
+CHANGE = "array<struct<change:string,field:string,before:string,after:string,unit:string>>"
+
+
+def _change(change: Column, field: Column, before: Column, after: Column, unit: str | None = None) -> Column:
+    return F.struct(change.alias("change"), field.alias("field"), before.alias("before"), after.alias("after"), F.lit(unit).cast("string").alias("unit"))
+
+
+def stat_changes(before: Column, after: Column, missing_is_zero: bool, ignored: tuple[str, ...] = ()) -> Column:
+    """Changes of two maps of numbers by key, keys in order. Keys of one side only count as 0 there, or give no change."""
+    keys = F.map_keys(after) if not missing_is_zero else F.array_union(F.map_keys(before), F.map_keys(after))
+    keys = F.array_sort(F.filter(keys, lambda k: ~k.isin(*ignored)) if ignored else keys)
+    value = lambda m, k: F.coalesce(F.element_at(m, k), F.lit(0.0)) if missing_is_zero else F.element_at(m, k)
+    one = lambda k: F.when(value(before, k) != value(after, k), _change(direction(F.array(value(before, k)), F.array(value(after, k))), k, number_text(value(before, k)), number_text(value(after, k))))
+    return F.array_compact(F.transform(keys, one)).cast(CHANGE)
+
+
+#: Fields of an ability, whether lower is better, and their unit.
+SPELL_FIELDS = (("cooldown", True, "초"), ("cost", True, None), ("range", False, None))
+
+
+def spell_changes(before: Column, after: Column, slots: tuple[str, ...] = ("Q", "W", "E", "R")) -> Column:
+    """Changes of abilities that stand at the same place on both sides."""
+    names = F.array(*[F.lit(s) for s in slots])
+
+    def of(pair: Column, i: Column) -> Column:
+        a, b = pair["before"], pair["after"]
+        slot = F.coalesce(F.get(names, i), F.lit(slots[-1]))
+        rows = [F.when(a[f] != b[f], _change(direction(a[f], b[f], low), F.concat_ws(" ", slot, b["name"], F.lit(f)), ranks_text(a[f]), ranks_text(b[f]), unit)) for f, low, unit in SPELL_FIELDS]
+        return F.when(a.isNotNull() & b.isNotNull(), F.array_compact(F.array(*rows))).otherwise(F.array().cast(CHANGE))
+
+    return F.flatten(F.transform(F.arrays_zip(before.alias("before"), after.alias("after")), of)).cast(CHANGE)
+
+
+def _whole(change: str) -> Column:
+    none = F.lit(None).cast("string")
+    return F.array(_change(F.lit(change), none, none, none)).cast(CHANGE)
+
+
+def champion_changes(previous: DataFrame, current: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """target_type, target_key, target_name and a change a row; a champion that is gone gives none."""
+    p = previous.select("id", F.struct("stats", "spells").alias("p"))
+    both = current.join(p, "id", "left")
+    changes = F.when(F.col("p").isNull(), _whole("NEW")).otherwise(F.concat(stat_changes(F.col("p.stats"), F.col("stats"), False, ignored), spell_changes(F.col("p.spells"), F.col("spells"))))
+    return both.select(F.lit("CHAMPION").alias("target_type"), F.col("id").alias("target_key"), F.col("name").alias("target_name"), F.posexplode(changes).alias("position", "c")).select("target_type", "target_key", "target_name", "position", "c.*")
+
+
+def item_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """The same of items: new, removed, or the price (lower is better) and stats of those on both sides."""
+    side = lambda df, n: df.select("id", F.struct("name", "gold", "stats").alias(n))
+    both = side(previous, "p").join(side(current, "c"), "id", "full_outer")
+    gold = F.when(F.col("p.gold") != F.col("c.gold"), F.array(_change(direction(F.array("p.gold"), F.array("c.gold"), True), F.lit("gold"), number_text(F.col("p.gold")), number_text(F.col("c.gold"))))).otherwise(F.array().cast(CHANGE))
+    changes = F.when(F.col("p").isNull(), _whole("NEW")).when(F.col("c").isNull(), _whole("REMOVED")).otherwise(F.concat(gold.cast(CHANGE), stat_changes(F.col("p.stats"), F.col("c.stats"), True)))
+    return both.select(F.lit("ITEM").alias("target_type"), F.col("id").alias("target_key"), F.coalesce("c.name", "p.name").alias("target_name"), F.posexplode(changes).alias("position", "c")).select("target_type", "target_key", "target_name", "position", "c.*")
+
+
+def diff_summary(changes: DataFrame) -> DataFrame:
+    """How many changes, and entities touched, of each type."""
+    return changes.groupBy("target_type").agg(F.count("*").alias("changes"), F.countDistinct("target_key").alias("touched"))
+
+
 def change_line(name: Column, field: Column, before: Column, after: Column) -> Column:
     """``name field before → after``, or without the values if one is missing."""
     head = F.concat_ws(" ", name, field)

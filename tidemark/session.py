@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +26,29 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where that is unset and the master is local (tests) a temporary folder takes its place.
+    """
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own:
+        return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{path}")
+    return f"file://{path}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
