@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,11 +12,13 @@ ENTITIES = (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"
 BLOCKS = "p|div|section|article|header|footer|ul|ol|li|table|tr|h[1-6]|blockquote|pre"
 
 
-def decode_entities(text: Column) -> Column:
-    """Named and numeric entities; unknown ones stay."""
-    # numeric entities: each piece after a mark begins with digits and a semicolon
-    pieces = F.split(text, r"&#(?=[xX]?[0-9a-fA-F]{1,8};)")
-    head = F.element_at(pieces, 1)
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _numeric_decoded(pieces: Column) -> Column:
+    """Pieces of a text that was split at ``&#`` before digits and a semicolon, joined with their characters."""
 
     def one(piece: Column) -> Column:
         body, rest = F.substring_index(piece, ";", 1), F.substring(piece, F.instr(piece, ";") + 1, F.length(piece))
@@ -22,12 +26,21 @@ def decode_entities(text: Column) -> Column:
         code = F.when(hexa, F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).try_cast("bigint")
         bytes_ = F.unhex(F.lpad(F.hex(code), 8, "0"))
         good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(good, F.concat(F.decode(bytes_, "UTF-32BE"), rest)).otherwise(F.concat(F.lit("&#"), piece))
+        return F.when(good, F.concat(F.decode(bytes_, "UTF-32"), rest)).otherwise(F.concat(F.lit("&#"), piece))
+
+    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric entities; unknown ones stay."""
+
+    def decoded(t: Column) -> Column:
+        numeric = F.when(F.contains(t, F.lit("&#")), once(F.split(t, r"&#(?=[xX]?[0-9a-fA-F]{1,8};)"), _numeric_decoded)).otherwise(t)
+        for name, char in ENTITIES:
+            numeric = F.replace(numeric, F.lit(f"&{name};"), F.lit(char))
+        return F.when(F.contains(t, F.lit("&")), numeric).otherwise(t)
 
-    out = F.concat(head, F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+    return once(text, decoded)
 
 
 def plain_text(text: Column, numeric: bool = True) -> Column:

@@ -46,7 +46,8 @@ def candidate(**known: Column | str | int | float | bool | None) -> Column:
 def _split(rows: DataFrame, made: Column, reason: Column) -> Normalized:
     """``made``: an array of candidates (nulls in it are dropped); ``reason``: why an item has none, or null."""
     keep = [c for c in ("document_key", "position") if c in rows.columns]
-    judged = rows.select(*keep, F.array_compact(made).alias("made"), reason.alias("reason"))
+    # out of a generator, so that the filters below do not repeat the long expressions
+    judged = rows.select(*keep, F.explode(F.array(F.struct(F.array_compact(made).alias("made"), reason.alias("reason")))).alias("j")).select(*keep, "j.*")
     good = judged.where("reason is null").select(F.explode("made").alias("c")).select("c.*")
     return Normalized(good, judged.where("reason is not null").select(*keep, "reason"))
 
