@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch
+
 #: Characters of text that one vectorised step inside a task holds at a time; it bounds memory, not what is read.
 STEP_CHARS = 4_000_000
 
@@ -20,33 +18,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset and the master is local (tests) a temporary folder takes its place.
-    """
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="shared-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{path}")
-    return f"file://{path}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there, lost executors cost nothing.
 
     The files go when the session's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark, name)}/table"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
