@@ -32,8 +32,9 @@ CAPACITY = 2048
 CLOSING_ID = 1
 #: Rests that one buffer holds: they bound the memory of a task and the loss at its end, half a window on average.
 BUFFER = 1024
-#: Longest piece of a rest that balanced packing moves as one; at the capacity no rest is cut. 512 fills windows by 0.4 % more.
-PIECE = CAPACITY
+#: Longest piece of a rest that balanced packing moves as one; at the capacity no rest is cut. Differencing balances several
+#: pieces a window far better than two or three: a quarter of the capacity leaves 0.8 % of padding, no cuts 1.7 %.
+PIECE = CAPACITY // 4
 
 
 class Tree:
