@@ -288,6 +288,38 @@ def test_repeated_passages(spark, docs, texts, odd, none):
     assert {r.doc_id for r in found} | {r.rep_doc_id for r in found} == {i for i in range(60) if i % 2}
 
 
+def test_verification_of_edits():
+    rng, new = random.Random(3), iter(range(10**9))
+    fresh = lambda n: [next(new) for _ in range(n)]
+    shingles = lambda w: np.array([hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)], np.int64)
+    alike = lambda a, b: len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+
+    def pairs():
+        for n in range(50, 124, 4):
+            words = fresh(n)
+            for i in range(n):
+                yield words, words[:i] + fresh(1) + words[i + 1 :]
+        for _ in range(3000):
+            words = fresh(rng.randint(50, 300))
+            edited = list(words)
+            for _ in range(rng.randint(1, 8)):
+                i, k = rng.randrange(len(edited)), rng.randint(1, 6)
+                edited[i : i + rng.choice((0, 1, k))] = fresh(rng.choice((0, 1, k)))
+            yield words, edited
+
+    n = 0
+    for words, edited in pairs():
+        if min(len(words), len(edited)) < 50 or alike(shingles(words), shingles(edited)) < 0.8:
+            continue
+        a, b = (shingles(fresh(rng.choice((0, 7, 30))) + w + fresh(rng.choice((0, 7, 30)))) for w in (words, edited))
+        got = passages.verified(a, b)
+        assert got
+        for x, y, p, q, s in got:
+            assert min(y - x, q - p) >= 46 and s == alike(a[x:y], b[p:q]) >= 0.8
+        n += 1
+    assert n > 2500
+
+
 # --- secrets, sketches, toxicity, search
 
 
