@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 #: Raise it with every change to RULES: all blobs are then scanned anew.
-RULES_VERSION = 1
+RULES_VERSION = 3
+#: From the BEGIN line of a key to its END line or the next BEGIN; a key that neither follows ends where its base64 does.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|(?=-----BEGIN ))|\s*[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\s]*)?"
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind, quick test, pattern, group whose length counts, its least length. The first three are the base kinds.
 #: Access keys and hexadecimal runs have the least length in the pattern: their matches cannot begin later in the same run.
@@ -29,7 +31,7 @@ RULES = (
     ("access", None, r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24}", r"[0-9a-f]{24,}", 0, 24),
     ("hosting", None, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
-    ("pem", None, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+    ("pem", None, PEM, 0, 27),
     ("jwt", None, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
 )
 #: A string that each match of the rules without a quick test holds.
@@ -113,9 +115,8 @@ def findings(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = REDACTED) -> DataFrame:
-    """``docs`` with every base span (overlapping ones as one) of its texts replaced by ``mark``; n_chars follows the text."""
-    base_of = lambda spans: F.filter(spans, lambda s: s["rank"] < len(BASE))
-    found = written(scan(docs), "ledger").select(F.col("blob_id").alias("_blob"), base_of(F.col("spans")).alias("_found")).where(F.size("_found") > 0)
+    """``docs`` with every span of every kind (overlapping ones as one) of its texts replaced by ``mark``; n_chars follows the text."""
+    found = written(scan(docs), "ledger").select(F.col("blob_id").alias("_blob"), F.col("spans").alias("_found")).where(F.size("_found") > 0)
     rows = docs.withColumn("_blob", blob_id(text_or_empty())).join(found, "_blob", "left")
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
