@@ -26,7 +26,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_balanced(docs, with_ids=False)
+    return packing.pack_balanced(docs)
 
 
 STAGES = [
@@ -42,7 +42,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's result: pieces of packed sequences."""
+    """The last stage's result: pieces of packed sequences with their ids. The texts that they encode are scratch tables."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

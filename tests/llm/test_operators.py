@@ -511,3 +511,15 @@ def test_pipeline(spark, sf_dir, docs, texts):
     assert pieces.agg(F.countDistinct("doc_id")).first()[0] == len(kept)
     total = sum(len(reference_ids(t)) + 1 for t in kept.values())
     assert pieces.agg(F.sum("length")).first()[0] == total == corpus_pipeline.run(spark, sf_dir).agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_keeps_ids(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a short text"), (2, "é😀 " * 3000), (3, ""), (4, "l1\nl2\nl3")]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    got = collections.defaultdict(list)
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == len(got[p.doc_id]) and len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+        got[p.doc_id] += p.ids
+    assert {d: ids[:-1] for d, ids in got.items()} == {d: reference_ids(t) for d, t in rows}
