@@ -415,6 +415,19 @@ def test_sketch_hashes(spark):
     assert r.m == s[0].s and r.k == 1.0
 
 
+def test_sketch_error_on_short_texts(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        words = [f"w{i}_{k}" for k in range(rng.randint(30, 100))]
+        edited = words[: len(words) - len(words) // 4] + [f"e{i}_{k}" for k in range(len(words) // 4)]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, edited))
+        rows.append((" ".join(words), " ".join(edited), len(a & b) / len(a | b)))
+    df = spark.createDataFrame(rows, "a string, b string, exact double")
+    got = df.select(sketches.likeness(sketches.sketch(F.col("a")), sketches.sketch(F.col("b"))).alias("s"), "exact").collect()
+    assert sum(abs(r.s - r.exact) for r in got) / len(got) < 0.08 and all(r.s > 0 for r in got)
+
+
 def distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a):

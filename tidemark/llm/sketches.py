@@ -17,7 +17,7 @@ from .common import text_or_empty, written
 
 WORDS = 5
 #: One of so many shingle hashes is kept.
-SCALE = 16
+SCALE = 2
 #: Rows that the neighbours' buckets aim at; it sets how finely the table is dealt, not what is computed.
 BUCKET_ROWS = 4000
 #: Buckets at most: their bounds, a long each, go through the driver.
