@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
@@ -29,6 +29,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``row``, so that no name of an operator's own can clash with one of them."""
+    return F.struct(*[F.col(_quoted(c)) for c in df.columns]).alias("row")
+
+
+def row_columns(df: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``df`` out of the struct ``row``, those named in ``new`` replaced."""
+    return [(new[c] if c in new else F.col(f"row.{_quoted(c)}")).alias(c) for c in df.columns]
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -22,12 +22,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, text_or_empty, written
+from .common import as_row, row_columns, steps, text_or_empty, written
 
-KEY = "_doc long, _text long"
+#: Of a document: its id, and a hash of its text.
+KEY = "doc long, key long"
 
 
 def line_hashes(lines: list[str]) -> np.ndarray:
@@ -51,17 +52,17 @@ def multi_line(lines: list[str]) -> bool:
     return sum(1 for x in lines if x.strip()) > 1
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_text": F.xxhash64(text_or_empty())})
+def _keys() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text_or_empty()).alias("key")]
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """_doc, _text (key of a document), at (which chunk of it), h, g (128-bit hash) of each chunk of several lines."""
+    """doc, key (key of a document), at (which chunk of it), h, g (128-bit hash) of each chunk of several lines."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
             rows = []
-            for doc, key, text in zip(step["_doc"], step["_text"], step["text"], strict=True):
+            for doc, key, text in zip(step["doc"], step["key"], step["text"], strict=True):
                 lines = (text or "").split("\n")
                 for at, (a, b) in enumerate(chunk_bounds(lines)):
                     if b - a > 1 and multi_line(lines[a:b]):
@@ -69,13 +70,13 @@ def chunks(docs: DataFrame) -> DataFrame:
                         rows.append((doc, key, at, int(d[0]), int(d[1])))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["_doc", "_text", "at", "h", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc", "key", "at", "h", "g"])
 
-    return _keyed(docs).select("_doc", "_text", "text").mapInArrow(run, f"{KEY}, at int, h long, g long")
+    return docs.select(*_keys(), "text").mapInArrow(run, f"{KEY}, at int, h long, g long")
 
 
 def _bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, g, bytes of the chunks at the places ``wanted`` (_doc, _text, ats: array of at)."""
+    """h, g, bytes of the chunks at the places ``wanted`` (doc, key, ats: array of at)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batches):
@@ -90,7 +91,7 @@ def _bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.string()], strict=True)], ["h", "g", "bytes"])
 
-    texts = _keyed(docs).select("_doc", "_text", "text").join(wanted.hint("shuffle_hash"), ["_doc", "_text"])
+    texts = docs.select(*_keys(), "text").join(wanted.hint("shuffle_hash"), ["doc", "key"])
     return texts.select("text", "ats").mapInArrow(run, "h long, g long, bytes string")
 
 
@@ -113,17 +114,18 @@ def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     With ``counts`` two more columns: removed_chunks and removed_lines.
     """
     every = written(chunks(docs), "chunks")
-    place = F.struct("_doc", "_text", "at")
-    repeated = every.groupBy("h", "g").agg(F.min(place).alias("first"), F.min("_doc").alias("_d"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
+    place = F.struct("doc", "key", "at")
+    repeated = every.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
     repeated = written(repeated, "chunk_groups")  # a plain table on this side lets adaptive execution split a hot chunk's rows
     found = written(every.join(repeated, ["h", "g"]), "repeated")
-    wanted = found.groupBy("_doc", "_text").agg(F.collect_set("at").alias("ats"))
+    wanted = found.groupBy("doc", "key").agg(F.collect_set("at").alias("ats"))
     differ = written(_bytes(docs, wanted).groupBy("h", "g", "bytes").agg(F.count("*")).groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g"), "collisions")
-    gone = found.where(place != F.col("first")).join(differ, ["h", "g"], "left_anti").groupBy("_doc", "_text").agg(F.collect_set("at").alias("_gone"))
-    rows = _keyed(docs).join(gone.hint("shuffle_hash"), ["_doc", "_text"], "left")
-    hit = F.col("_gone").isNotNull()
-    rows = rows.withColumn("_new", F.pandas_udf(_without, "text string, removed_chunks int, removed_lines int")(F.when(hit, F.col("text")), F.col("_gone")))
-    text = F.when(hit, F.col("_new.text")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(hit, F.length("_new.text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    more = [F.coalesce(f"_new.{c}", F.lit(0)).alias(c) for c in ("removed_chunks", "removed_lines")] if counts else []
-    return rows.select(*[new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns], *more)
+    gone = found.where(place != F.col("first")).join(differ, ["h", "g"], "left_anti").groupBy("doc", "key").agg(F.collect_set("at").alias("gone"))
+    rows = docs.select(*_keys(), as_row(docs)).join(gone.hint("shuffle_hash"), ["doc", "key"], "left")
+    hit, text = F.col("gone").isNotNull(), F.col("row.text")
+    rows = rows.withColumn("new", F.pandas_udf(_without, "text string, removed_chunks int, removed_lines int")(F.when(hit, text), F.col("gone")))
+    new = {"text": F.when(hit, F.col("new.text")).otherwise(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length("new.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    more = [F.coalesce(f"new.{c}", F.lit(0)).alias(c) for c in ("removed_chunks", "removed_lines")] if counts else []
+    return rows.select(*row_columns(docs, **new), *more)

@@ -9,6 +9,8 @@ sequence ids of partition ``p`` start at ``p << 33``; a task that runs again for
   the largest exceeds the capacity.
 * ``pack_best_fit``: best-fit decreasing; a segment tree over remaining capacities finds the fullest window that still fits.
 
+Ids are those of the vocabulary's JSON file, where the text of an added token is that token (``tokens.library_ids``).
+
 Null text counts as empty: such a document is its closing id alone. Repeated rows are packed as often as they occur.
 Extra columns are ignored. An empty table gives no rows.
 """
@@ -140,13 +142,13 @@ def _pieces(row: int, n: int, capacity: int, piece: int) -> tuple[list[tuple[int
     return whole, [(row, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _sequences(batches: Iterable[pa.RecordBatch], pack: Callable[[list[int]], list[list[int]]], capacity: int, piece: int, path: str, closing: int) -> Iterator[tuple[int, list[tuple[int, int, int, np.ndarray, int]]]]:
+def _sequences(batches: Iterable[pa.RecordBatch], pack: Callable[[list[int]], list[list[int]]], capacity: int, piece: int, path: str, vocab: str, closing: int) -> Iterator[tuple[int, list[tuple[int, int, int, np.ndarray, int]]]]:
     """(sequence id, its pieces as (doc_id, start, length, ids, ids of the document)) over all rows of a partition."""
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
     held: list[tuple[int, int, int, np.ndarray, int]] = []
     for step in steps(batches):
         for doc, text in zip(step["doc_id"], step["text"], strict=True):
-            got = np.append(tokens.ids(text or "", path), np.array([closing], "<u4")).astype("<u4")
+            got = np.append(tokens.library_ids(text or "", path, vocab), np.array([closing], "<u4")).astype("<u4")
             whole, rest = _pieces(0, len(got), capacity, piece)
             for _, a, n in whole:
                 yield number, [(doc, a, n, got[a : a + n], len(got))]
@@ -162,7 +164,7 @@ def _sequences(batches: Iterable[pa.RecordBatch], pack: Callable[[list[int]], li
         number += 1
 
 
-def pack_balanced(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, path: str = tokens.RANKS, closing: int = CLOSING_ID, with_ids: bool = True) -> DataFrame:
+def pack_balanced(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, path: str = tokens.RANKS, vocab: str = tokens.VOCAB_JSON, closing: int = CLOSING_ID, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents, each id in one piece, in near-equal windows of at most ``capacity`` ids.
 
     Returns doc_id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), doc_tokens,
@@ -181,7 +183,7 @@ def pack_balanced(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE,
                 names.append("ids")
             return pa.RecordBatch.from_arrays(cols, names)
 
-        for number, window in _sequences(batches, lambda n: balanced(n, capacity), capacity, piece, path, closing):
+        for number, window in _sequences(batches, lambda n: balanced(n, capacity), capacity, piece, path, vocab, closing):
             offset = 0
             for doc, start, n, got, all_ids in window:
                 rows.append((doc, start, n, zlib.crc32(got.tobytes()), all_ids, number, offset, got if with_ids else None))
@@ -195,7 +197,7 @@ def pack_balanced(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE,
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def pack_best_fit(docs: DataFrame, capacity: int = CAPACITY, path: str = tokens.RANKS, closing: int = CLOSING_ID, padding: int = 0) -> DataFrame:
+def pack_best_fit(docs: DataFrame, capacity: int = CAPACITY, path: str = tokens.RANKS, vocab: str = tokens.VOCAB_JSON, closing: int = CLOSING_ID, padding: int = 0) -> DataFrame:
     """One row for each packed sequence, in the layout that a training job reads.
 
     sequence_id, n_tokens, doc_ids and starts (of its segments, in order), cu_seqlens (cumulative segment lengths from 0),
@@ -204,7 +206,7 @@ def pack_best_fit(docs: DataFrame, capacity: int = CAPACITY, path: str = tokens.
     A document of more than ``capacity`` ids is split into full windows and a rest: joined by doc_id and start its segments
     give all its ids.
     """
-    wide = "<u2" if tokens.encoding(path).n_vocab <= 1 << 16 else "<u4"
+    wide = "<u2" if tokens.encoding(path, vocab).n_vocab <= 1 << 16 else "<u4"
     schema = "sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +217,7 @@ def pack_best_fit(docs: DataFrame, capacity: int = CAPACITY, path: str = tokens.
             names = [x.split()[0] for x in schema.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-        for number, window in _sequences(batches, lambda n: best_fit_decreasing(n, capacity), capacity, capacity, path, closing):
+        for number, window in _sequences(batches, lambda n: best_fit_decreasing(n, capacity), capacity, capacity, path, vocab, closing):
             ends = np.cumsum([0] + [x[2] for x in window])
             matrix, places = np.full(capacity, padding, wide), np.zeros(capacity, wide)
             for (_, _, n, got, _), a in zip(window, ends, strict=False):

@@ -7,6 +7,7 @@ file's encoder is about four times as fast, so corpus passes use it.
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +24,16 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def added_tokens(path: str = VOCAB_JSON) -> dict[str, int]:
+    """Texts that the JSON file names as tokens of their own, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 @lru_cache(maxsize=4)
-def encoding(path: str = RANKS) -> tiktoken.Encoding:
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
+def encoding(path: str = RANKS, json_path: str | None = None) -> tiktoken.Encoding:
+    """The encoder of a rank file, with the added tokens of ``json_path`` where it is given."""
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(path), special_tokens=added_tokens(json_path) if json_path else {})
 
 
 @lru_cache(maxsize=4)
@@ -39,3 +47,9 @@ def bytes_of_id(path: str = RANKS) -> tuple[np.ndarray, list[bytes]]:
 def ids(text: str, path: str = RANKS) -> np.ndarray:
     """Ids of a text as unsigned 32-bit integers; special tokens' strings are ordinary text."""
     return encoding(path).encode_to_numpy(text).astype("<u4", copy=False) if text else np.empty(0, "<u4")
+
+
+def library_ids(text: str, path: str = RANKS, json_path: str = VOCAB_JSON) -> np.ndarray:
+    """Ids as the library that reads the JSON file gives them without adding special tokens: the text of an added token is
+    that token wherever it stands."""
+    return encoding(path, json_path).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False) if text else np.empty(0, "<u4")
