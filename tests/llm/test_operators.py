@@ -480,13 +480,16 @@ def test_hamming_search(spark, sf_dir):
     every = codes.union(extra).union(extra)
     queries_ = every.where("id % 20 = 0")
     got = collections.defaultdict(list)
-    for r in hamming.top_k(every, queries_, k=7, block=40, chunk=5).collect():
+    for r in hamming.top_k(every, queries_, k=7).collect():
         got[r.query_id].append((r.rank, r.distance, r.neighbor_id))
     pairs = sorted({(r.id, r.code) for r in every.collect()})
     for q, code in pairs:
         if q % 20 == 0:
             want = sorted((((code ^ c) & (1 << 64) - 1).bit_count(), i) for i, c in pairs if i != q)[:7]
             assert sorted(got[q]) == [(n + 1, d, i) for n, (d, i) in enumerate(want)]
+    outliers = spark.createDataFrame([(i, i % 3) for i in range(60)] + [(60, -1), (80, (1 << 63) - 1)], "id long, code long")
+    far = hamming.top_k(outliers, outliers.where("id >= 60"), k=3).collect()
+    assert sorted((r.query_id, r.neighbor_id, r.distance) for r in far) == [(60, 1, 63), (60, 2, 63), (60, 80, 1), (80, 1, 62), (80, 2, 62), (80, 60, 1)]
     assert hamming.top_k(codes.where("false"), codes).count() == 0
     assert hamming.top_k(codes, codes.where("false")).count() == 0
 

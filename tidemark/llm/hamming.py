@@ -5,9 +5,12 @@ its own in each segment, then at distance 1, and so on. Having searched the firs
 others to ``r - 1``, it has met every code within ``m * r + a`` bits, so it stops when its kth verified distance is no
 larger: growing radii, exact results, ties by id included.
 
-On Spark: equal codes are one entry with its smallest ids. Entries are dealt into blocks of bounded size by a hash of the
-code, queries into chunks of bounded size; each pair of a block and a chunk is one task's work on arrays, and the best of
-all blocks are merged by window functions that keep k rows per query before the shuffle.
+On Spark: equal codes are one entry with its smallest ids. The tables of all segments are one table (segment, value, code),
+built and written once. A round takes one radius: the queries that are still open name the values they look up, these rows
+meet the table in an equi-join, the distance is verified in its condition, and a query keeps its k best. A query whose kth
+distance the rounds so far cover leaves. The segments have as many bits as it takes to number the entries, so a value has
+about one entry at any size, and what is shuffled grows with codes and look-ups. Where near codes crowd one value, the join's
+partition is split by adaptive execution; its pairs are those that the search has to verify.
 
 Rows with a null id or a null or empty vector have no code and are left out. Repeated rows count once. Extra columns are
 ignored. An empty table gives no rows; with fewer than k other rows a query has them all.
@@ -15,23 +18,23 @@ ignored. An empty table gives no rows; with fewer than k other rows a query has
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import combinations, product
+from math import comb
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
 
 BITS = 64
-#: Entries of a block and queries of a chunk aimed at: they bound a task's memory.
-BLOCK, CHUNK = 16_384, 4_096
-#: Candidate pairs verified at a time inside a task.
-PAIRS = 2_000_000
-#: Tasks at most that pairs of a block and a chunk are dealt to; a task takes its pairs one after the other.
-MOST_TASKS = 20_000
+#: Bits of a segment at most: no more values are listed for one query and segment than its powers of two.
+MOST_BITS = 26
+#: Look-ups that one batch of a task holds, and that one task is dealt.
+PROBES = 250_000
 
 
 def binary_codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -42,69 +45,75 @@ def binary_codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     return rows.select("id", one.alias("code"))
 
 
-class SegmentTables:
-    """Tables of one block: for each segment, the entries in the order of their values."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes.view(np.uint64)
-        self.m = max(2, round(BITS / max(4, int(np.log2(len(codes) + 1)))))
-        edges = [BITS * i // self.m for i in range(self.m + 1)]
-        self.widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
-        self.shifts = np.array(edges[:-1], np.uint64)
-        self.orders, self.offsets = [], []
-        for i, w in enumerate(self.widths):
-            part = self.part(self.codes, i)
-            order = np.argsort(part, kind="stable")
-            self.orders.append(order)
-            self.offsets.append(np.searchsorted(part[order], np.arange((1 << w) + 1)))
-
-    def part(self, codes: np.ndarray, i: int) -> np.ndarray:
-        return ((codes >> self.shifts[i]) & np.uint64((1 << self.widths[i]) - 1)).astype(np.int64)
-
-    def step_found(self, x: np.ndarray) -> np.ndarray:
-        """The step (radius * m + segment) at which a pair of differing bits ``x`` is met first."""
-        return np.min([np.bitwise_count(self.part(x, i)).astype(np.int64) * self.m + i for i in range(self.m)], axis=0)
-
-
-def search(codes: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """query, distance, entry (index into codes) of the k nearest entries by (distance, id) of each query."""
-    tables, q = SegmentTables(codes), queries.view(np.uint64)
-    best = np.empty((0, 4), np.int64)  # query, distance, id, entry
-    active = np.arange(len(q))
-    for step in range(tables.m * (max(tables.widths) + 1)):
-        if not len(active):
+def segments(entries: int) -> list[tuple[int, int]]:
+    """First bit and number of bits of each segment: about as many bits as it takes to number the entries."""
+    m = max(2, round(BITS / min(MOST_BITS, max(4, int(entries).bit_length()))))
+    edges = [BITS * i // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _part(code: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def probes(queries: DataFrame, cut: list[tuple[int, int]], radii: range) -> DataFrame:
+    """query, bound, seg, step, value of ``queries`` (query, bound): every value at one of ``radii`` bits from the query's own,
+    in each segment; ``step`` numbers pairs of a radius and a segment in the order of the search."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, bounds = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for (seg, (first, bits)), radius in product(enumerate(cut), radii):
+                masks = np.array([sum(1 << b for b in c) for c in combinations(range(bits), radius)], np.int64)
+                wide = max(1, PROBES // max(1, len(masks)))
+                for i in range(0, len(codes) if len(masks) else 0, wide):
+                    q = codes[i : i + wide]
+                    own = ((q.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                    values = (own[:, None] ^ masks[None, :]).ravel()
+                    cols = [np.repeat(q, len(masks)), np.repeat(bounds[i : i + wide], len(masks)), np.full(len(values), seg, np.int8), np.full(len(values), radius * len(cut) + seg, np.int32), values]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "bound", "seg", "step", "value"])
+
+    return queries.select("query", "bound").mapInArrow(run, "query long, bound int, seg tinyint, step int, value long")
+
+
+def search(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query, code, distance, first of the k nearest entries (code, first) by (distance, first) of each code in ``asked``
+    (query). With fewer than k entries, all of them."""
+    total = entries.count()
+    need = min(k, total)
+    cut = segments(total)
+    m = len(cut)
+    rows = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("seg"), _part(F.col("code"), *c).alias("value")) for i, c in enumerate(cut)])
+    table = written(entries.select("code", "first", F.explode(rows).alias("s")).select("s.seg", "s.value", "code", "first"), "segments")
+    nearest = W.partitionBy("query").orderBy("distance", "first")
+    total_asked = queries = asked.count()
+    best, open_, radius = None, asked.withColumn("bound", F.lit(BITS)), 0
+    while need and radius <= max(bits for _, bits in cut):
+        # the first two radii cost little and cover nobody alone: one round
+        radii = range(radius, radius + (2 if radius == 0 else 1))
+        x = F.col("query").bitwiseXOR(F.col("code"))
+        # a pair is met in every segment that is near enough: it counts in the first one of the least distance alone
+        met = F.least(*[F.bit_count(_part(x, *c)) * m + i for i, c in enumerate(cut)])
+        looks = sum(comb(bits, r) for _, bits in cut for r in radii)
+        dealt = open_.repartition(max(1, -(-queries * looks // PROBES)), "query")
+        pairs = probes(dealt, cut, radii).join(table, ["seg", "value"]).where((F.bit_count(x) <= F.col("bound")) & (met == F.col("step")))
+        new = pairs.select("query", "code", F.bit_count(x).cast("int").alias("distance"), "first")
+        every = new if best is None else best.unionByName(new)
+        best = written(every.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n"), "nearest")
+        # all segments are now searched to this radius: every code within m * (radius + 1) - 1 bits has been met
+        radius = radii.stop
+        kth = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("last")).where(F.col("n") == need).select("query", "last")
+        done = kth.where(F.col("last") <= m * radius - 1)
+        left = total_asked - done.count()
+        if not left:
             break
-        radius, seg = divmod(step, tables.m)
-        if radius <= tables.widths[seg]:
-            masks = np.array([sum(1 << b for b in c) for c in combinations(range(tables.widths[seg]), radius)], np.int64)
-            own, found = tables.part(q[active], seg), []
-            wide = max(1, PAIRS // (8 * len(masks)))
-            for i in range(0, len(active), wide):
-                probes = (own[i : i + wide, None] ^ masks[None, :]).ravel()
-                begin, end = tables.offsets[seg][probes], tables.offsets[seg][probes + 1]
-                n, who = end - begin, np.repeat(active[i : i + wide], len(masks))
-                hit = np.flatnonzero(n)
-                for part in np.array_split(hit, max(1, -(-int(n.sum()) // PAIRS))):
-                    size = n[part]
-                    total = int(size.sum())
-                    at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[part], size)
-                    entry, query = tables.orders[seg][at], np.repeat(who[part], size)
-                    x = tables.codes[entry] ^ q[query]
-                    new = tables.step_found(x) == step
-                    found.append(np.column_stack([query[new], np.bitwise_count(x[new]).astype(np.int64), ids[entry[new]], entry[new]]))
-            best = np.vstack([best, *found])
-            best = best[np.lexsort((best[:, 2], best[:, 1], best[:, 0]))]
-            rank = np.arange(len(best)) - np.searchsorted(best[:, 0], best[:, 0])
-            best = best[rank < k]
-        count = np.bincount(best[:, 0], minlength=len(q))
-        last = np.full(len(q), BITS + 1)
-        full = np.flatnonzero(count == min(k, len(codes)))
-        last[full] = best[np.cumsum(count)[full] - 1, 1] if len(full) else 0
-        active = active[last[active] > tables.m * radius + seg]  # the kth distance is not covered yet
-    return pd.DataFrame({"query": best[:, 0], "distance": best[:, 1], "entry": best[:, 3]})
-
-
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+        # farther codes than the kth so far are none of the nearest: they are dropped where they are met
+        bound = F.coalesce("last", F.lit(BITS))
+        queries, open_ = left, asked.join(kth, "query", "left").select("query", bound.alias("bound"), F.coalesce(F.col("last") <= m * radius - 1, F.lit(False)).alias("done")).where("not done")
+    return best if best is not None else entries.where("false").select(F.col("code").alias("query"), "code", F.lit(0).alias("distance"), "first")
+
+
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), neighbor_id, distance: the k nearest other rows by (distance, id) of each query.
 
     ``codes`` and ``queries`` have id and code; a query's own id is never its neighbour.
@@ -113,23 +122,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOCK,
     by_code = W.partitionBy("code").orderBy("id")
     nearest_ids = codes.distinct().withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= most)
     entries = written(nearest_ids.groupBy("code").agg(F.min("id").alias("first"), F.sort_array(F.collect_list("id")).alias("ids")), "entries")
-    asked = written(queries.select("code").distinct(), "asked")
-    blocks, chunks = max(1, -(-entries.count() // block)), max(1, -(-asked.count() // chunk))
-    left = entries.select("code", "first", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    right = asked.select("code", F.pmod(F.xxhash64("code"), F.lit(chunks)).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def run(index: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if index.empty or wanted.empty:
-            return pd.DataFrame({"query": [], "code": [], "distance": [], "first": []}).astype("int64")
-        codes, first, q = (x.to_numpy(np.int64) for x in (index["code"], index["first"], wanted["code"]))
-        got = search(codes, first, q, most)
-        return pd.DataFrame({"query": q[got["query"]], "code": codes[got["entry"]], "distance": got["distance"], "first": first[got["entry"]]})
-
-    # a stated number of tasks: adaptive execution would put all of these small rows, and their long work, into one
-    tasks = min(MOST_TASKS, 4 * blocks * chunks)
-    left, right = left.repartition(tasks, "block", "chunk"), right.repartition(tasks, "block", "chunk")
-    near = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(run, "query long, code long, distance long, first long")
-    near = near.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy("distance", "first"))).where(F.col("n") <= most)
+    asked = written(queries.select(F.col("code").alias("query")).distinct(), "asked")
+    near = search(entries.select("code", "first"), asked, most)
     rows = near.join(entries.select("code", "ids"), "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
     # equal queries share this list; it has one row more than any of them needs
     shared = rows.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbor_id"))).where(F.col("n") <= most)
