@@ -2,6 +2,8 @@
 
 Edges stay in DataFrames; each round is written to the shared folder, which cuts lineage. A node of very many edges costs
 its own edges in a map-side minimum and a join that adaptive execution can split, never a list of its neighbours.
+
+Edges with a null end are left out, loops and repeated edges do no harm, other columns are ignored, no edges give no rows.
 """
 
 from __future__ import annotations

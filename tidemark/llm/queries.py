@@ -47,24 +47,30 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document."""
-    found = secrets.findings(read(spark, sf_dir, "documents"))
+    """Secrets of every document, from a ledger that has all blobs under the rules as they were before: the second scan takes
+    only the pairs of a blob and a rule version that are new."""
+    docs, ledger = read(spark, sf_dir, "documents"), secrets.new_ledger(spark)
+    ledger.scan(docs, secrets.EARLIER_RULES)
+    found = ledger.scan(docs)
     count = {f"n_{kind}": F.size(F.filter("spans", lambda s, r=rank: s["rank"] == r)).cast("long") for rank, kind in enumerate(secrets.BASE)}
     base = secrets.as_string(F.filter("spans", lambda s: s["rank"] < len(secrets.BASE)))
     return found.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(base, 256).alias("base_sha256"), secrets.as_string(F.col("spans")).alias("spans"))
 
 
 def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and its edited text, and their likeness."""
+    """Fingerprints of every document and its edited text, their likeness, and how much of the one the other contains."""
     rows = sketches.fingerprints(read(spark, sf_dir, "documents"))
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        sketches.as_string(F.col("sketch")).alias("fingerprint"),
-        sketches.as_string(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketches.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        sketches.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketches.as_string(own).alias("fingerprint"),
+        sketches.as_string(edited).alias("edited_fingerprint"),
+        sketches.likeness(own, edited).alias("near_edited"),
+        sketches.likeness(own, after).alias("near_next"),
+        sketches.containment(edited, own).alias("edited_contained"),
+        sketches.containment(after, own).alias("next_contained"),
     )
 
 

@@ -5,9 +5,11 @@ within ``distance`` bits agree on ``blocks - distance`` whole blocks, so rows me
 distance is verified in the join's condition. The number of blocks follows the number of fingerprints: a key always has
 more bits than it takes to number them, so that chance meetings stay few at any size.
 
-A key that very many fingerprints share (near copies in their thousands) is not joined with itself: its rows are dealt into
-tiles, each pair of tiles is one task's work on arrays, and a task gives back a spanning forest of the links that it found,
-which keeps every group whole with fewer rows than it was given.
+A key that many fingerprints share is not joined with itself: one task compares them on arrays and gives back a spanning
+forest of the links that it found, which keeps every group whole with fewer rows than it was given. A key of more than
+``TILE`` fingerprints is cut first by finer blocks: the bits that it leaves free are split in their turn, and two within
+``distance`` agree on some of these blocks too. Only what then still shares a key in such numbers, near copies that differ
+nowhere else, is dealt into tiles that meet in pairs.
 
 Null text counts as empty; all documents without words have fingerprint zero and are linked like any other. Repeated rows
 come back as often as they occur. Extra columns are ignored. An empty table gives no rows.
@@ -91,26 +93,41 @@ def _signed(x: int) -> int:
 
 def _forest(a: np.ndarray, b: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links between ``a`` and ``b`` (one array twice: within it)."""
-    root = {x: x for x in {*a.tolist(), *b.tolist()}}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    values = np.unique(np.concatenate((a, b)))
+    group = np.arange(len(values))  # of each value: the least index in its tree so far
+    of_a, of_b = np.searchsorted(values, a), np.searchsorted(values, b)
     found = []
     for i in range(0, len(a), 256):
         near = np.bitwise_count((a[i : i + 256, None] ^ b[None, :]).view(np.uint64)) <= distance
-        for x, links in zip(a[i : i + 256].tolist(), near, strict=True):
-            for y in b[links].tolist():
-                p, q = find(x), find(y)
-                if p != q:
-                    root[p] = q
-                    found.append((x, y))
+        for x, links in zip(of_a[i : i + 256].tolist(), near, strict=True):
+            there = of_b[links]
+            trees, at = np.unique(group[there], return_index=True)
+            other = trees != group[x]
+            if other.any():
+                found += [(int(values[x]), int(values[y])) for y in there[at[other]].tolist()]
+                trees = np.append(trees, group[x])
+                group[np.isin(group, trees)] = trees.min()
     return found
 
 
+def finer_masks(masks: list[int], distance: int) -> list[tuple[int, int]]:
+    """(choice, bits) of each choice of blocks: its own bits and those of each choice of two out of ``distance + 2`` blocks of
+    the bits that it leaves free."""
+    out = []
+    for choice, mask in enumerate(masks):
+        free = [1 << i for i in range(64) if not mask >> i & 1]
+        edges = [len(free) * i // (distance + 2) for i in range(distance + 3)]
+        parts = [sum(free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        out += [(choice, mask | x | y) for x, y in combinations(parts, 2)]
+    return out
+
+
+def _counted(keyed: DataFrame, name: str) -> DataFrame:
+    """choice, key, fp of keys that several fingerprints share, with their count."""
+    counts = keyed.groupBy("choice", "key").count().where("count > 1")
+    return written(keyed.join(counts, ["choice", "key"]), name)
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect every group of fingerprints within ``distance``.
 
@@ -119,8 +136,12 @@ def links(distinct: DataFrame, distance: int = DISTANCE, small: int = SMALL, til
     n = distinct.count()
     masks = block_masks(blocks_for(n, distance), distance)
     keyed = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("k"), "fp").select("k.*", "fp")
-    counts = keyed.groupBy("choice", "key").count().where("count > 1")
-    shared = written(keyed.join(counts, ["choice", "key"]), "blocks")
+    shared = _counted(keyed, "blocks")
+    # a constant table: its size depends on the number of choices alone
+    rows = [(choice, len(masks) + i, _signed(m)) for i, (choice, m) in enumerate(finer_masks(masks, distance))]
+    table = F.broadcast(distinct.sparkSession.createDataFrame(rows, "choice int, finer int, mask long"))
+    hot = shared.where(F.col("count") > tile).join(table, "choice").select(F.col("finer").alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+    shared = shared.where(F.col("count") <= tile).unionByName(_counted(hot, "finer"))
     few = shared.where(F.col("count") <= small).drop("count")
     near = (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance)
     direct = few.alias("x").join(few.alias("y"), near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))

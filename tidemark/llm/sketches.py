@@ -6,6 +6,8 @@ sketch found in another estimates containment whatever the two sizes.
 
 Words are runs of characters other than white space; a text of fewer than five words is one shingle, a text of none has
 an empty sketch. Null text counts as empty. Two empty sketches are alike (1), an empty one and another are not (0).
+Rows that repeat, also in their doc_id, each get their sketch, and follow each other in the order of their texts; a null
+doc_id comes first. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -72,6 +74,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     one doc_id follow each other in the order of their first column; null doc_ids come first.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    docs = docs.select("doc_id", *columns)
     rows = docs.select(key.alias("_key"), "*")
     n = min(MOST_BUCKETS, max(1, rows.count() // BUCKET_ROWS))
     first, bounds = rows.agg(F.min("_key"), F.percentile_approx("_key", [i / n for i in range(1, n)] or [0.0], 10 * n)).first()

@@ -1,24 +1,29 @@
 """Toxicity scores of whole texts: a learned lexicon, misspellings, and the context of each hit.
 
 1. Lexicon. A bounded sample of labelled training rows (``MOST_LABELLED``) says which words, and which word beginnings,
-   stand in toxic texts far more often than elsewhere. Counts are summed per task before they are shuffled.
+   stand in toxic texts far more often than elsewhere; equal texts count once. Counts are summed per task before they are
+   shuffled. All terms that pass are kept: the sample bounds how many there can be.
 2. Matching. The lexicon is a trie; a Levenshtein automaton for one edit runs along it. Their intersection is built state by
-   state as words ask for it, so a word costs one table step a letter and most words die early. Whole-word terms match with
-   up to one edit and common letter look-alikes, beginnings match exactly.
-3. Context. Within ``WINDOW`` words of a hit, quotation marks on both sides and words of reporting mark a quotation,
-   address to a person marks abuse. Hits are summed apart by kind.
+   state as words ask for it, so a word costs one table step a letter and most words die early. Whole words of
+   ``LEAST_FUZZY`` letters or more match with up to one edit and common letter look-alikes; shorter ones, of which one edit
+   makes too many other words, and beginnings match exactly.
+3. Context. A hit inside a pair of quotation marks (an apostrophe inside a word is none), after a word of reporting in its
+   own sentence, or right after a word for a word, is quoted; other hits are abuse, the more so with an address to a person
+   within ``WINDOW`` words. Hits are summed apart by kind.
 4. Score. A logistic model over these sums, fitted on the same bounded sample, gives a number from 0 to 1 for every row.
 
 Labels are read only for rows whose crc32(doc_id as text) mod 4 is not 2. Labels, language, source and doc_id are never
-inputs of a score. Null text counts as empty and gets the score of a text without hits. Repeated rows are scored each.
-Extra columns are ignored. An empty table gives no rows. Without any usable labels (none, or one class) scores come from
-SEED_TERMS alone. If a doc_id has several labels the largest holds.
+inputs of a score. Null text counts as empty and gets the score of a text without hits. Repeated rows are scored each; of
+several texts of one doc_id learning takes the one that sorts first. Extra columns are ignored. An empty table gives no rows.
+Without any usable labels (none, or one class) scores come from SEED_TERMS alone. If a doc_id has several labels the largest
+holds.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -32,20 +37,33 @@ from .common import steps, written
 #: Labelled training rows that learning uses at most (rows are taken in the order of a hash of doc_id). Rates of terms and
 #: the model's eight weights do not get better from more.
 MOST_LABELLED = 20_000
-#: Terms of the lexicon at most; in how many toxic rows of the sample, and in which part of them, a term must stand.
-MOST_TERMS, LEAST_TOXIC, LEAST_PART = 400, 4, 0.0075
+#: In how many toxic texts of the sample a term must stand.
+LEAST_TOXIC = 4
+#: Letters of the shortest whole word that matches with an edit.
+LEAST_FUZZY = 5
 #: Lower bound of the toxic share among rows with the term (Wilson interval, z = 2).
 LEAST_SHARE = 0.5
 WINDOW = 8
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6)
-#: Seed terms, reporting words, address words, letters that look alike.
+#: Words before a hit, in its sentence, that a word of reporting may stand; and that a word for a word may stand.
+REPORTED, NAMED = 4, 2
+#: Characters of the longest passage between quotation marks that counts as a quotation; it ends with its paragraph.
+QUOTE_MOST = 1000
+#: Seed terms, words of reporting, words for a word, address words, letters that look alike.
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "worthless", "disgusting")
-REPORTING = frozenset("said says wrote called quoted quote reported term word slur insult sagte schrieb nannte dijo llamó escribió dit écrit appelé".split())
+REPORTING = frozenset("said says wrote writes called calls quoted quotes quote sagte schrieb nannte dijo llamó escribió dit écrit appelé".split())
+NAMES = frozenset("word words term slur insult wort begriff beleidigung palabra término insulto mot terme insulte".split())
 ADDRESS = frozenset("you your yours du dich dein ihr tu te toi tú usted vous ton votre".split())
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _WORD = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)*")
-_QUOTE = frozenset("\"“”„«»‘’")
+_QUOTED = re.compile(
+    "|".join(
+        [rf'"[^"\n]{{1,{QUOTE_MOST}}}"', rf"“[^“”\n]{{1,{QUOTE_MOST}}}”", rf"„[^„“”\n]{{1,{QUOTE_MOST}}}[“”]", rf"«[^«»\n]{{1,{QUOTE_MOST}}}»"]
+        + [rf"(?<!\w)[‘'](?=\S)(?:[^‘’'\n]|(?<=\w)[’'](?=\w)){{1,{QUOTE_MOST}}}(?<=\S)[’'](?!\w)"]
+    )
+)
+_STOP = re.compile(r"[.!?;:\n]")
 FEATURES = 8
 
 
@@ -60,7 +78,7 @@ class Matcher:
     accepts any continuation and allows no edit.
     """
 
-    def __init__(self, terms: Iterable[str], edits: int = 1, least: int = 5):
+    def __init__(self, terms: Iterable[str], edits: int = 1, least: int = LEAST_FUZZY):
         self.edits, self.children, self.exact, self.ends, self.opens = edits, [{}], [True], {}, {}
         for fuzzy in (False, True):
             for term in terms:
@@ -159,6 +177,16 @@ class Lexicon:
         return got
 
 
+def _reported(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
+    """Whether word ``i`` is what somebody said or a word that is spoken about, by what stands before it."""
+    if not NAMES.isdisjoint(words[max(0, i - NAMED) : i]):
+        return True
+    for j in range(max(0, i - REPORTED), i):
+        if words[j] in REPORTING and not _STOP.search(text, spans[j][1], spans[i][0]):
+            return True
+    return False
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """Sums over the hits of a text; see the order in the code. All are 0 for a text without hits."""
     lower = text.lower()
@@ -169,23 +197,23 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     exact = fuzzy = quoted = abusive = weight = 0.0
     terms, n = set(), 0
     spans = [m.span() for m in _WORD.finditer(lower)]
+    quotes = [m.span() for m in _QUOTED.finditer(lower)]
+    begins = [a for a, _ in quotes]
     for i, w in enumerate(words):
         if w not in hits:
             continue
         term, edits = hits[w]
         n += 1
         terms.add(term)
-        near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-        before = lower[spans[max(0, i - WINDOW)][0] : spans[i][0]]
-        after = lower[spans[i][1] : spans[min(len(words) - 1, i + WINDOW)][1] + 2]
-        in_quotes = not _QUOTE.isdisjoint(before) and not _QUOTE.isdisjoint(after)
-        if in_quotes or not REPORTING.isdisjoint(near):
+        at = bisect_right(begins, spans[i][0]) - 1
+        in_quotes = at >= 0 and quotes[at][1] >= spans[i][1]
+        if in_quotes or _reported(lower, words, spans, i):
             quoted += 1
         else:
             weight += lexicon.weights[term]
             exact += not edits
             fuzzy += bool(edits)
-            abusive += not ADDRESS.isdisjoint(near)
+            abusive += not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
     return [float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(quoted)), float(np.log1p(abusive)), float(np.log1p(weight)), float(np.log1p(len(terms))), n / max(20, len(words)) * 20, float(exact + fuzzy > 0)]
 
 
@@ -195,7 +223,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return train.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def learn_terms(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
+def learn_terms(sample: DataFrame) -> dict[str, float]:
     """term -> weight from rows of text and toxic. A term is a word, or a word's beginning with ``*`` after it."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +231,7 @@ def learn_terms(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
             every, toxic = Counter(), Counter()
             rows = toxic_rows = 0
             for text, label in zip(step["text"], step["toxic"], strict=True):
-                words = {w for w in _WORD.findall((text or "").lower()) if len(w) > 3}
+                words = {w for w in _WORD.findall((text or "").lower()) if len(w) > 1}
                 terms = words | {f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) >= n}
                 every.update(terms)
                 rows += 1
@@ -214,29 +242,28 @@ def learn_terms(sample: DataFrame, most: int = MOST_TERMS) -> dict[str, float]:
             names = list(every)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([every[t] for t in names], pa.int64()), pa.array([toxic[t] for t in names], pa.int64())], ["term", "n", "toxic"])
 
-    counts = sample.select("text", "toxic").mapInArrow(count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    # copies of a text would make terms of all its words
+    once = sample.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    counts = once.mapInArrow(count, "term string, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     p = F.col("toxic") / F.col("n")
     n = F.col("n")
     low = (p + 2 / n - 2 * F.sqrt(p * (1 - p) / n + 1 / (n * n))) / (1 + 4 / n)
     # the row of all texts stays whatever its share is; it sorts first
     good = counts.withColumn("low", low).where((F.col("term") == "") | ((F.col("toxic") >= LEAST_TOXIC) & (F.col("low") >= LEAST_SHARE)))
-    got = good.orderBy(F.col("term") != "", F.desc("low"), F.desc("toxic"), F.length("term"), "term").limit(4 * most + 1).collect()
+    got = good.orderBy(F.col("term") != "", F.desc("low"), F.desc("toxic"), F.length("term"), "term").collect()  # bounded by the sample
     if not got or not 0 < got[0]["toxic"] < got[0]["n"]:
         return dict.fromkeys(SEED_TERMS, 1.0)
     base = np.log(got[0]["toxic"] / (got[0]["n"] - got[0]["toxic"]))
-    least = LEAST_PART * got[0]["toxic"]
-    got = [got[0], *(r for r in got[1:] if r["toxic"] >= least)]
+    # toxic texts of each beginning that one word of it accounts for
+    alone = {(r["term"][:k], r["toxic"]) for r in got[1:] if not r["term"].endswith("*") for k in BEGINNINGS}
     weights: dict[str, float] = {}
     for row in got[1:]:
         term, word = row["term"], row["term"].rstrip("*")
-        # a beginning counts only where it unites several words; one that a kept beginning covers adds nothing
-        if any(f"{word[:k]}*" in weights for k in range(3, len(word) + 1)):
-            continue
-        if term.endswith("*") and any(r["toxic"] == row["toxic"] and not r["term"].endswith("*") and r["term"].startswith(word) for r in got[1:]):
+        covered = any(f"{word[:k]}*" in weights for k in BEGINNINGS if k <= len(word))
+        # a beginning counts only where it unites several words; a word that a beginning covers stays where it can be misspelt
+        if term.endswith("*") and (covered or (word, row["toxic"]) in alone) or covered and len(word) < LEAST_FUZZY:
             continue
         weights[term] = float(np.log((row["toxic"] + 0.5) / (row["n"] - row["toxic"] + 0.5)) - base)
-        if len(weights) == most:
-            break
     return weights or dict.fromkeys(SEED_TERMS, 1.0)
 
 
@@ -274,9 +301,10 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> n
 def model(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[dict[str, float], np.ndarray]:
     """Lexicon and weights of the score, from at most ``most`` labelled rows."""
     chosen = F.broadcast(_sampled(docs, labels, most))  # `most` rows of two numbers
-    sample = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    sample = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
     terms = learn_terms(sample)
-    got = featured(sample, terms).join(chosen, "doc_id").select("features", "toxic").collect()
+    got = featured(sample, terms).join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("features", "toxic").collect()
     y = np.array([r["toxic"] for r in got], float)
     if not got or not 0 < y.sum() < len(y):
         return terms, np.array([0, 0, 0, 0, 0, 0, 0, 5.0, -4.0])
