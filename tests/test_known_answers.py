@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import unicodedata
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,12 +15,18 @@ from tidemark.functions import recurrence as R
 from tidemark.functions import state as S
 from tidemark.functions import text as X
 from tidemark.functions import times as T
+from tidemark.functions.state import instant
 from tidemark.operators import content as C
 from tidemark.operators import diff as D
+from tidemark.operators import evidence as E
 from tidemark.operators import links as L
 from tidemark.operators import parse as K
+from tidemark.operators import publish as P
 from tidemark.operators import registry as G
+from tidemark.operators import robots as RB
+from tidemark.operators import validate as V
 from tidemark.sources import feeds
+from tidemark.sources.feeds import candidate
 from tidemark.streaming import ingest
 
 NOW = "2026-10-02 03:00:00"
@@ -120,7 +128,7 @@ def test_bad_rules(text):
 
 def test_texts(spark):
     html = "<p>Hello &amp; <b>you</b>&#33;</p><script>x()</script><p>a&#x1F600;b &bogus; &lt;i&gt;</p><!-- gone --><br>end"
-    assert values(spark, [html], X.html_text) == ["Hello & you !\n\na😀b &bogus; <i>\n\nend"]
+    assert values(spark, [html], X.html_text) == ["Hello & you !\na😀b &bogus; <i>\nend"]
     assert values(spark, ["a &#65; b", "no entity", "&#xD800; x", "&#99999999; y", None], X.decode_entities) == ["a A b", "no entity", "&#xD800; x", "&#99999999; y", None]
     assert values(spark, ["https://a.example.com/x", "https://example.com.evil.test/", "HTTP://EXAMPLE.COM", "nothing", None], lambda x: X.host_allowed(x, F.array(F.lit("example.com"))))[:4] == [True, False, True, False]
 
@@ -193,11 +201,40 @@ def test_directions(spark):
     assert values(spark, [([1.0, 1.0],), ([1.0, 2.5],), ([0.33333],)], D.ranks_text, "a array<double>") == ["1", "1/2.5", "0.3333"]
 
 
+ROBOTS = """\ufeffUser-agent: other
+Disallow: /
+# a comment
+User-agent: me
+User-agent: friend # both
+Disallow: /c
+Disallow:
+Allow: /c/open*
+Disallow: /*.pdf$
+
+User-agent: *
+Disallow: /a
+Allow: /a/b
+Disallow: /a.b
+"""
+
+
+def robots(spark, agent, paths, status=200, body=ROBOTS):
+    files = spark.createDataFrame([("h", status, body)], "host string, status int, body string")
+    asked = spark.createDataFrame([("h", p) for p in paths], "host string, path string")
+    return {r.path: r.allowed for r in RB.allowed(asked, RB.rules(files), agent).collect()}
+
+
 def test_robots(spark):
-    paths = spark.createDataFrame([("/a",), ("/a/b",), ("/c",)], "path string")
-    rules = spark.createDataFrame([("*", "^/a", False), ("*", "^/a/b", True), ("me", "^/c", False)], "agent string, pattern string, allow boolean")
-    assert {r.path: r.allowed for r in C.robots_allowed(paths, rules, "you").collect()} == {"/a": False, "/a/b": True, "/c": True}
-    assert {r.path: r.allowed for r in C.robots_allowed(paths, rules, "me").collect()} == {"/a": True, "/a/b": True, "/c": False}
+    assert robots(spark, "you", ["/a", "/a/b", "/c", "/axb"]) == {"/a": False, "/a/b": True, "/c": True, "/axb": False}
+    assert robots(spark, "Me-Collector/0.1 (+url)", ["/a", "/c", "/c/opened", "/x.pdf", "/x.pdf?y"]) == {"/a": True, "/c": False, "/c/opened": True, "/x.pdf": False, "/x.pdf?y": True}
+    assert robots(spark, "friend", ["/c"]) == {"/c": False}
+    for status in (None, 429, 500):
+        assert robots(spark, "you", ["/"], status, None) == {"/": False}
+    assert robots(spark, "you", ["/"], 404, "Disallow: /") == {"/": True} == robots(spark, "you", ["/"], 200, "")
+    at = lambda h: datetime(2024, 1, 1, h)
+    answers = spark.createDataFrame([("h", 200, "a", at(1)), ("h", 500, None, at(2)), ("g", 200, "b", at(3))], "host string, status int, body string, fetched_at timestamp_ntz")
+    assert {r.host: r.status for r in RB.fresh(answers, F.lit(at(8)).cast("timestamp_ntz")).collect()} == {"h": 500, "g": 200}
+    assert {r.host for r in RB.fresh(answers, F.lit(at(9)).cast("timestamp_ntz")).collect()} == {"g"}
 
 
 def test_children_and_entities(spark):
@@ -213,7 +250,7 @@ def test_children_and_entities(spark):
 
 def test_schedule_refuses_synthetic(spark):
     a = G.adapters_table(spark, (G.Adapter("x", "lol", ("fixture",), "ENABLED"),))
-    assert G.schedule(a, "fixture", synthetic_allowed=False).first().reason == "fixture mode is refused in production"
+    assert G.schedule(a, "fixture", synthetic_allowed=False).first().reason == "REFUSED_MODE"
     assert G.schedule(a, "fixture").first().every_minutes == 60
 
 
@@ -258,3 +295,83 @@ def test_stream_dedup_and_windows(spark, tmp_path):
     assert sorted(r.rows for r in done.collect()) == [1, 2]
     sess = ingest.sessions(ingest.files(spark, src, schema), "fetched_at", "90 minutes", "source_id")
     assert sess.isStreaming and "session_start" in sess.columns
+
+
+def test_titles_without_remarks(spark):
+    titles = ["[긴급] ＡＢＣ１２ ｄ", "<x> 〈공지〉 abc 12 D!", "【a】(b)（c）〔d〕「e」Abc12d", "(a remark of more than twenty-four letters) z", "abc12d"]
+    assert values(spark, titles, I.title_identity) == ["abc12d", "abc12d", "abc12d", "aremarkofmorethantwentyfourlettersz", "abc12d"]
+    assert values(spark, ["Épreuve d’été", "ﬁn", None], I.slug) == ["epreuve-d-ete", "fin", None]
+    assert values(spark, ["  Ｕｓｅ  ＣＯＤＥ ", "x"], X.for_match) == ["use code", "x"]
+
+
+def test_same_source_is_no_twin(spark):
+    schema = "source_id string, source_type string, source_key string, semantic_key string, content_hash string, decision string, number int"
+    strong, weak = ("a", "OFFICIAL_API"), ("b", "OFFICIAL_WEB")
+
+    def decided(rows, *store):
+        got = P.outcomes(spark.createDataFrame([(*s, key, "fact", h, d, i) for i, (s, key, h, d) in enumerate(rows)], schema), *store)
+        return got, {(r.source_id, r.source_key): (r.outcome, r.owner) for r in got.collect()}
+
+    one, got = decided([(strong, "k1", "h", "PUBLISHED"), (strong, "k2", "h", "PUBLISHED"), (weak, "k3", "h", "PUBLISHED"), (weak, "k4", "h", None)])
+    assert {k: o for k, (o, _) in got.items()} == {("a", "k1"): "created", ("a", "k2"): "created", ("b", "k3"): "duplicate", ("b", "k4"): "rejected"}
+    assert got["b", "k3"][1] == got["a", "k1"][1] != got["a", "k2"][1]
+    # a weaker owner first, then the stronger source: the record is taken over, and the old owner's candidates are duplicates
+    empty = spark.createDataFrame([], "content_id string, " + ", ".join(f"{c} string" for c in P.STORE))
+    at = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
+    one, first = decided([(weak, "k3", "h", "PUBLISHED"), (weak, "k5", "h", "PUBLISHED")])
+    assert {o for o, _ in first.values()} == {"created"}
+    stored, seen = P.merged(empty, one), P.sighted(None, one, at)
+    two, second = decided([(strong, "k1", "x", "PUBLISHED"), (weak, "k3", "h", "PUBLISHED"), (weak, "k5", "y", "PUBLISHED"), (strong, "k2", "x", "PENDING_REVIEW")], stored, seen)
+    taken = second["a", "k1"][1]
+    assert second["a", "k1"][0] == "updated" and taken in (first["b", "k3"][1], first["b", "k5"][1])
+    kept = "k5" if taken == first["b", "k3"][1] else "k3"
+    assert second["b", "k3" if kept == "k5" else "k5"] == ("duplicate", taken) and second["b", kept][0] == ("updated" if kept == "k5" else "unchanged")
+    assert second["a", "k2"][0] == "created"
+    stored, seen = P.merged(stored, two), P.sighted(seen, two, at)
+    assert {(r.source_id, r.role) for r in seen.where(F.col("content_id") == taken).collect()} == {("a", "PRIMARY"), ("b", "SUPPORTING")}
+    # what the weak source reported before is found through provenance, by another meaning too
+    _, third = decided([(weak, "k3" if kept == "k5" else "k5", "z", "PUBLISHED")], stored.withColumn("semantic_key", F.lit("other")), seen)
+    assert set(third.values()) == {("duplicate", taken)}
+
+
+def test_shape_timing_and_evidence(spark):
+    good = dict(kind="EVENT", game_id="lol", source_key="k", title="t", source_url="https://x.example/1", priority=50, confidence=1.0, is_synthetic=False)
+
+    def issues(excerpts=(), parser="deterministic", document=None, **more):
+        c = candidate(**{**good, **more})
+        of = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(x).alias("excerpt")) for f, x in excerpts]).cast("array<struct<field:string,excerpt:string>>")
+        rows = spark.range(1).select(F.explode(V.candidate_issues(c, of, F.lit(parser), F.lit(document).cast("string"), F.lit("lol"), F.lit("OFFICIAL_API"), F.array(F.lit("EVENT"), F.lit("REDEEM_CODE")), F.array(F.lit("x.example")), instant("2024-01-01 00:00:00"))).alias("i")).select("i.*")
+        return [(r.code, r.field) for r in rows.collect()]
+
+    end = instant("2024-02-01 00:00:00")
+    assert issues(end_at=end) == []
+    assert issues(kind="NONE", title=" ", priority=101, source_url="x") == [("SCHEMA", f) for f in ("kind", "title", "source_url", "priority")]
+    assert issues(kind="PATCH") == [("SCHEMA", "version")] and issues(kind="REDEEM_CODE", code="a b") == [("SCHEMA", "code")]
+    start = instant("2024-01-10 01:00:00")
+    assert issues(start_at=start, end_at=end, source_timezone="Asia/Seoul", start_at_source="2024년 1월 10일 (수) 10:00") == []
+    assert issues(start_at=start, end_at=end, source_timezone="Asia/Seoul", start_at_source="2024/01/10 11:00", end_at_source="2024-02-01T08:00") == [("TIMEZONE_MISMATCH", "startAt"), ("TIMEZONE_MISMATCH", "endAt")]
+    assert issues(start_at=start, end_at=end, source_timezone="Asia/Seoul", precision="DATE", start_at_source="2024/01/10 11:00") == []
+    assert issues(end_at=end, source_timezone="Mars/Base") == [("TIMEZONE_UNKNOWN", "timing.sourceTimezone")]
+    ai = dict(parser="ai", end_at=end, document="Ｅｎｄｓ on\n 1 February")
+    assert issues([("endAt", "ends on 1 february")], **ai) == [] and issues([], **ai) == [("AI_WITHOUT_EVIDENCE", None)]
+    assert issues([("title", "x")], **ai) == [("AI_FIELD_WITHOUT_EVIDENCE", "endAt"), ("EVIDENCE_NOT_IN_SOURCE", "title")]
+    assert issues([], kind="REDEEM_CODE", code="CODE1", end_at=end) == [("CODE_WITHOUT_EVIDENCE", "redeemCode.code")]
+    assert issues([("redeemCode.code", "Use code1 now")], kind="REDEEM_CODE", code="CODE1", end_at=end) == []
+
+
+def test_inactive_rules_give_nothing(spark):
+    rules = R.rules_table(spark, (R.Rule("on", "lol", "x", "DAILY", "UTC", 1, 0), R.Rule("off", "lol", "x", "DAILY", "UTC", 1, 0, is_active=False), R.Rule("over", "lol", "x", "CUSTOM_RRULE", "UTC", 1, 0, rrule="FREQ=DAILY;UNTIL=20230101T000000Z")))
+    now = instant("2024-01-01 00:00:00")
+    assert [r.id for r in R.next_occurrence(rules, now).collect()] == ["on"] == [r.id for r in R.previous_occurrence(rules, now).collect()]
+    assert [r.id for r in R.without_future(rules, now).collect()] == ["over"]
+    assert [r.id for r in R.listed(rules).collect()] == ["on", "over"] and R.listed(rules, ()).count() == 0
+
+
+def test_evidence_finds_every_passage(spark):
+    texts = ['He said: "The quick brown fox, (jumps) over it all today', "prefix ab suffix", "xquick brownish", "ＦＵＬＬ width  text", "", None]
+    asked = ["the quick brown fox, (jumps) over it", "quick brown", "ab", "k b", "full width text", "e fox", "o", "brown fox, (jumps) over it all tod", "nothing like it in here at all", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id int, text string")
+    norm = lambda t: " ".join(unicodedata.normalize("NFKC", t or "").lower().split())
+    want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(asked) if norm(p) and norm(p) in norm(t)}
+    assert {(r.doc_id, r.item_id) for r in E.containing(docs, items).collect()} == want

@@ -166,6 +166,17 @@ def problems(rule: Rule) -> list[str]:
     return [] if 0 <= rule.hour < 24 and 0 <= rule.minute < 60 else ["bad time"]
 
 
+def without_future(rules: DataFrame, after: Column) -> DataFrame:
+    """Active rules that have no occurrence after an instant: ended, or of a zone that is not known."""
+    return rules.where("is_active").join(next_occurrence(rules, after).select("id"), "id", "left_anti")
+
+
+def listed(rules: DataFrame, games: tuple[str, ...] | None = None) -> DataFrame:
+    """Active rules, of some games or of all, by game and id."""
+    kept = rules.where("is_active")
+    return (kept if games is None else kept.where(F.col("game_id").isin(*games) if games else F.lit(False))).orderBy("game_id", "id")
+
+
 def date_matches(d: Column) -> Column:
     """Whether the rule in this row has an occurrence on the local date ``d``."""
     anchor, every = F.col("anchor"), F.col("interval")
@@ -186,7 +197,7 @@ def date_matches(d: Column) -> Column:
 
 
 def _expanded(rules: DataFrame, first: Column, last: Column) -> DataFrame:
-    days = rules.where("zone is not null").withColumn("day", F.explode(F.sequence(first, last)))
+    days = rules.where("is_active and zone is not null").withColumn("day", F.explode(F.sequence(first, last)))
     rows = days.where(date_matches(F.col("day"))).withColumn("minute", F.explode("times"))
     wall = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"))
     at = T.to_instant(wall, F.col("zone"))

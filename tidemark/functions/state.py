@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from . import model as M
 
 
-
 def instant(value: datetime | str | Column) -> Column:
     """A literal without time zone, or the column itself."""
     if isinstance(value, Column):
@@ -185,21 +184,24 @@ def worst_status(a: Column, b: Column) -> Column:
     return F.when(M.severity(b) > M.severity(a), b).otherwise(a)
 
 
-def presentation(now: Column) -> Column:
-    """struct<tone, label> of an item's badge; null where it has none."""
-    status, kept, eff = F.col("time_status"), F.col("upkeep"), F.coalesce("start_at", "source_published_at")
-    state = reward_state(status)
-
-    def is_(tone: str, label: Column | str) -> Column:
-        return F.struct(F.lit(tone).alias("tone"), (label if isinstance(label, Column) else F.lit(label)).alias("label"))
-
-    tones = {"UPCOMING": "upcoming", "SCHEDULED": "upcoming", "LIVE": "live", "AVAILABLE": "live", "IN_PROGRESS": "warning", "ENDING_SOON": "warning", "ENDED": "ended", "EXPIRED": "ended", "COMPLETED": "ended", "UNKNOWN": "unknown"}
+#: The tone of each label of a badge.
+TONES = {
+    "UPCOMING": "upcoming", "SCHEDULED": "upcoming", "RELEASING": "upcoming", "LIVE": "live", "AVAILABLE": "live", "IN_PROGRESS": "urgent", "ENDING_SOON": "soon", "CLAIM_SOON": "soon",
+    "NEW": "info", "ENDED": "ended", "EXPIRED": "ended", "COMPLETED": "ended", "RELEASED": "neutral", "UNKNOWN": "neutral",
+}
 
-    def toned(label: Column) -> Column:
-        return F.struct(M.mapped(label, tones).alias("tone"), label.alias("label"))
 
-    release = F.when(eff > now, is_("upcoming", "UPCOMING")).when(now - eff <= span(M.NEW_CONTENT), is_("live", "NEW")).when(eff.isNotNull(), is_("ended", "RELEASED"))
-    return F.when(is_type("PATCH", "UPDATE"), release).when(is_type("MAINTENANCE"), toned(kept)).when(is_type("REWARD", "REDEEM_CODE"), toned(state)).when(is_type("EVENT", "BANNER"), toned(status))
+def presentation(now: Column) -> Column:
+    """struct<tone, label> of an item's badge; null where it has none: announcements, releases without a date, and events
+    and banners of unknown time."""
+    status, release = F.col("time_status"), F.coalesce("start_at", "source_published_at")
+    label = (
+        F.when(is_type("MAINTENANCE"), F.col("upkeep"))
+        .when(is_type("REWARD", "REDEEM_CODE"), F.when(status == "ENDING_SOON", "CLAIM_SOON").otherwise(reward_state(status)))
+        .when(is_type("PATCH", "UPDATE"), F.when(release > now, "RELEASING").when(now - release <= span(M.NEW_CONTENT), "NEW").when(release.isNotNull(), "RELEASED"))
+        .when(is_type("EVENT", "BANNER") & (status != "UNKNOWN"), status)
+    )
+    return F.when(label.isNotNull(), F.struct(M.mapped(label, TONES).alias("tone"), label.alias("label")))
 
 
 def focus() -> Column:

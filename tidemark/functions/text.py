@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 #: Fixed values; the ampersand comes last so that nothing is decoded twice.
 ENTITIES = (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("middot", "·"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("amp", "&"))
-BLOCKS = "p|div|section|article|header|footer|ul|ol|li|table|tr|h[1-6]|blockquote|pre"
+#: Elements whose content is never shown, and elements that begin and end lines.
+HIDDEN = ("noscript", "script", "style", "svg", "template")
+LINES = ("article", "blockquote", "br", "div", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "ol", "p", "pre", "section", "table", "tr", "ul")
+#: Characters that are no text, and white space at the ends of a line (Java's classes).
+_CONTROLS = r"[\p{Cc}\u200B\uFEFF&&[^\t\n\r]]"
+_ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,25 +48,35 @@ def decode_entities(text: Column) -> Column:
     return once(text, decoded)
 
 
-def plain_text(text: Column, numeric: bool = True) -> Column:
-    """Tags away, entities decoded, control characters and blanks in order. ``numeric``: numeric entities too."""
-    x = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    x = F.regexp_replace(x, r"(?i)<br\s*/?>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", " ")
-    x = decode_entities(x) if numeric else x
-    x = F.regexp_replace(x, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F​﻿]", "")
-    x = F.regexp_replace(x, r"[ \t ]+", " ")
-    x = F.regexp_replace(x, r" *\r?\n *", "\n")
-    return F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))
+def _tidy_lines(text: Column) -> Column:
+    """Lines without control characters, with single blanks and none at their ends; empty lines go."""
+    lines = F.transform(F.split(F.regexp_replace(text, _CONTROLS, ""), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t\u00A0]+", " "), _ENDS, ""))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def _shown(text: Column, hidden: tuple[str, ...], lines: tuple[str, ...]) -> Column:
+    """A text without markup: what lies between the tags, with a line end for a tag in ``lines`` and a blank for any other.
+    A hidden element, tags and content, counts as one tag."""
+    tag = "(?is)<!--.*?-->|" + "|".join(rf"<{n}\b[^>]*>.*?</{n}\s*>" for n in hidden) + "|<[^>]+>"
+
+    def mark(t: Column) -> Column:
+        return F.when(F.lower(F.regexp_extract(t, "^</?([a-zA-Z0-9]+)", 1)).isin(*lines), "\n").otherwise(" ")
+
+    def joined(t: Column) -> Column:
+        marks = F.transform(F.regexp_extract_all(t, F.lit(tag), F.lit(0)), mark)
+        return F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(t, tag, -1).alias("text"), marks.alias("mark")), lambda x: F.array(x["text"], F.coalesce(x["mark"], F.lit(""))))), "")
+
+    return once(text, lambda t: F.when(F.contains(t, F.lit("<")), joined(t)).otherwise(t))
+
+
+def plain_text(text: Column) -> Column:
+    """A text that may hold inline markup: tags away, entities decoded, lines and blanks in order."""
+    return _tidy_lines(decode_entities(_shown(text, ("script", "style"), ("br",))))
 
 
 def html_text(html: Column) -> Column:
-    """Readable text of a page: invisible elements away, a line for each block, at most one blank line in a row."""
-    x = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"(?is)<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>", " ")
-    x = F.regexp_replace(x, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"(?i)</t[dh]\s*>", "\t")
-    return F.regexp_replace(plain_text(x), r"\n{3,}", "\n\n")
+    """Readable text of a page: hidden elements away, a line for each block, no empty lines."""
+    return _tidy_lines(decode_entities(_shown(html, HIDDEN, LINES)))
 
 
 def truncated(text: Column, most: int) -> Column:
@@ -69,11 +84,22 @@ def truncated(text: Column, most: int) -> Column:
 
 
 def single_line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\u00A0]+", " "))
+
+
+#: What brings texts into a Unicode form; Spark ships the class.
+_FORMS = {"NFKC": "compose", "NFKD": "decompose"}
+
+
+def normalized(text: Column, form: str) -> Column:
+    """Unicode normalisation of texts beyond ASCII, in the JVM."""
+    other = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(_FORMS[form]), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), other).otherwise(text)
 
 
 def for_match(text: Column) -> Column:
-    return F.lower(single_line(text))
+    """A text as it is compared: without forms of width and composition, case and runs of blanks."""
+    return F.lower(single_line(normalized(text, "NFKC")))
 
 
 def host(url: Column) -> Column:

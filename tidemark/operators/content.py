@@ -93,13 +93,3 @@ def changes_of_raw(raw: DataFrame) -> DataFrame:
     w = W.partitionBy("source_id", "document_key").orderBy("fetched_at", "content_hash")
     before = F.lag("content_hash").over(w)
     return raw.withColumn("change", F.when(before.isNull(), "new").when(before == F.col("content_hash"), "unchanged").otherwise("changed"))
-
-
-def robots_allowed(paths: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """path, allowed: the rules (agent, pattern as a regular expression, length, allow) of the agent's own group, else of
-    ``*``; the longest pattern decides, Allow wins ties, no pattern allows. Rules are one host's file: small."""
-    own = rules.where(F.col("agent") == agent)
-    group = own.unionByName(rules.where("agent = '*'").join(F.broadcast(own.limit(1).select(F.lit(1).alias("x"))), F.lit(True), "left_anti"))
-    hit = paths.join(F.broadcast(group), F.expr("path rlike pattern"), "left")
-    best = hit.groupBy("path").agg(F.max_by("allow", F.struct(F.length("pattern").alias("n"), "allow")).alias("allow"))
-    return best.select("path", F.coalesce("allow", F.lit(True)).alias("allowed"))

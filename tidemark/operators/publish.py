@@ -1,8 +1,9 @@
 """De-duplication and publication of candidates as set operations.
 
 A batch is decided in one pass of joins and windows. Candidates that name the same fact stand in a defined order (authority,
-source, key, number), which replaces arrival order: the first creates, the others become duplicates, or supersede where
-their source is stronger than the stored owner's.
+source, key, number), which replaces arrival order. A candidate's record is found in three steps: its own record by source
+and key; the record that its source has reported before, by provenance; the record of another source with the same meaning,
+the strongest first. A source never supersedes or duplicates itself: two keys of one source are two records, whatever they say.
 """
 
 from __future__ import annotations
@@ -28,50 +29,99 @@ def last_of_key(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def outcomes(candidates: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+STORE = ("source_id", "source_key", "source_type", "semantic_key", "content_hash", "status")
+
+
+def twins(candidates: DataFrame, stored: DataFrame) -> DataFrame:
+    """source_id, semantic_key and ``t``, the strongest stored record of that meaning that another source owns."""
+    # the strongest record of each source and meaning, then the strongest source that is not the asking one: two records of
+    # a meaning at most stay, so no meaning gathers rows
+    best = F.struct(M.authority(F.col("source_type")).alias("authority"), "content_id", "source_id", "source_type", "status")
+    each = stored.groupBy("semantic_key", "source_id").agg(F.min(best).alias("t")).select("semantic_key", "t")
+    first = each.groupBy("semantic_key").agg(F.min("t").alias("first"))
+    second = each.join(first, "semantic_key").where(F.col("t.source_id") != F.col("first.source_id")).groupBy("semantic_key").agg(F.min("t").alias("second"))
+    asked = candidates.select("source_id", "semantic_key").distinct()
+    both = asked.join(first.join(second, "semantic_key", "left"), "semantic_key")
+    return both.select("source_id", "semantic_key", F.when(F.col("first.source_id") != F.col("source_id"), F.col("first")).otherwise(F.col("second")).alias("t"))
+
+
+def outcomes(candidates: DataFrame, stored: DataFrame | None = None, reported: DataFrame | None = None) -> DataFrame:
     """Candidates (source_id, source_type, source_key, semantic_key, content_hash, decision, number) with ``outcome``:
     created, updated, unchanged, duplicate, review-held or rejected, and ``owner`` (content id of the fact).
 
     ``decision`` is PUBLISHED, PENDING_REVIEW or null (invalid). ``stored`` has source_id, source_key, source_type,
-    semantic_key, content_hash, status, content_id.
+    semantic_key, content_hash, status, content_id; ``reported`` is provenance (content_id, source_id, source_key).
+
+    The first candidate of a meaning that may own it, by the order, makes those of other sources after it duplicates. Only
+    the first of several keys of that source supersedes a stored record; the others are created.
     """
-    mine = content_id(F.col("source_id"), F.col("source_key"))
-    rows = last_of_key(candidates).withColumn("own_id", mine)
+    rows = last_of_key(candidates).withColumn("own_id", content_id(F.col("source_id"), F.col("source_key")))
+    record = "struct<source_type:string,status:string,content_hash:string,content_id:string>"
     if stored is None:
-        same = rows.withColumns({f"s_{c}": F.lit(None).cast("string") for c in ("hash", "status", "id")})
-        twin = same.withColumns({f"t_{c}": F.lit(None).cast("string") for c in ("type", "status", "id")})
+        found = rows.withColumns({x: F.lit(None).cast(record) for x in ("own", "past", "twin")})
     else:
-        by_key = stored.select("source_id", "source_key", F.col("content_hash").alias("s_hash"), F.col("status").alias("s_status"), F.col("content_id").alias("s_id"))
-        same = rows.join(by_key, ["source_id", "source_key"], "left")
-        best = stored.groupBy("semantic_key").agg(F.min_by(F.struct("source_type", "status", "content_id"), F.struct(M.authority(F.col("source_type")), "content_id")).alias("t"))
-        twin = same.join(best, "semantic_key", "left").select(*same.columns, F.col("t.source_type").alias("t_type"), F.col("t.status").alias("t_status"), F.col("t.content_id").alias("t_id"))
-    # within the batch the strongest valid candidate of a fact owns it
-    valid = F.col("decision").isNotNull()
-    order = W.partitionBy("semantic_key", valid).orderBy(M.authority(F.col("source_type")), "source_id", "source_key", "number")
-    first = twin.withColumn("first_id", F.first("own_id").over(order)).withColumn("place", F.row_number().over(order))
-    own, other = F.col("s_id").isNotNull(), F.col("t_id").isNotNull() & (F.col("t_id") != F.coalesce("s_id", "own_id"))
-    held = F.lit("review-held")
+        kept = F.struct("source_type", "status", "content_hash", "content_id")
+        own = stored.select("source_id", "source_key", kept.alias("own"))
+        found = rows.join(own, ["source_id", "source_key"], "left")
+        if reported is None:
+            found = found.withColumn("past", F.lit(None).cast(record))
+        else:
+            past = reported.select("content_id", "source_id", "source_key").join(stored.select(F.col("source_id").alias("o"), "content_id", F.struct(M.authority(F.col("source_type")).alias("a"), kept.alias("r")).alias("x")), "content_id").where(F.col("o") != F.col("source_id"))
+            found = found.join(past.groupBy("source_id", "source_key").agg(F.min("x").alias("x")).select("source_id", "source_key", F.col("x.r").alias("past")), ["source_id", "source_key"], "left")
+        t = twins(rows, stored).select("source_id", "semantic_key", F.when(F.col("t").isNotNull(), F.struct("t.source_type", "t.status", F.lit(None).cast("string").alias("content_hash"), "t.content_id")).alias("twin"))
+        found = found.join(t, ["source_id", "semantic_key"], "left")
+    valid, own, past = F.col("decision").isNotNull(), F.col("own").isNotNull(), F.col("past").isNotNull()
+    free = valid & ~own & ~past
+    source = F.struct(M.authority(F.col("source_type")).alias("a"), F.col("source_id").alias("s"))
+    may_own = free & (F.col("twin").isNull() | stronger(F.col("source_type"), F.col("twin.source_type")))
+    order = W.partitionBy("semantic_key", "free").orderBy(source, "source_key", "number")
+    placed = found.withColumns({"free": free, "source": source, "may_own": may_own}).withColumns({"place": F.row_number().over(W.partitionBy("semantic_key", "free", "may_own").orderBy("source", "source_key", "number")), "first": F.first(F.when(F.col("may_own"), F.struct("source", "own_id")), ignorenulls=True).over(order)})
+    after = F.col("free") & (F.col("first.source.s") != F.col("source_id"))
+    leads = F.col("free") & F.col("may_own") & ((F.col("place") == 1) | F.col("first").isNull())
+    target = F.coalesce(F.col("past"), F.when(F.col("free") & (~F.col("may_own") | leads), F.col("twin")))
+    held = (F.col("decision") == "PENDING_REVIEW")
     outcome = (
         F.when(~valid, "rejected")
-        .when(own & (F.col("s_hash") == F.col("content_hash")) & (F.col("s_status") == F.col("decision")), "unchanged")
-        .when(own & (F.col("s_status") == "PUBLISHED") & (F.col("decision") == "PENDING_REVIEW"), held)
+        .when(own & (F.col("own.content_hash") == F.col("content_hash")) & (F.col("own.status") == F.col("decision")), "unchanged")
+        .when(own & (F.col("own.status") == "PUBLISHED") & held, "review-held")
         .when(own, "updated")
-        .when(F.col("place") > 1, "duplicate")
-        .when(other & ~stronger(F.col("source_type"), F.col("t_type")), "duplicate")
-        .when(other & (F.col("t_status") == "PUBLISHED") & (F.col("decision") == "PENDING_REVIEW"), held)
-        .when(other, "updated")
-        .otherwise("created")
+        .when(after, "duplicate")
+        .when(F.col("target").isNull(), "created")
+        .when(~stronger(F.col("source_type"), F.col("target.source_type")), "duplicate")
+        .when((F.col("target.status") == "PUBLISHED") & held, "review-held")
+        .otherwise("updated")
     )
-    owner = F.when(valid, F.coalesce("s_id", F.when(F.col("place") > 1, F.coalesce("t_id", "first_id")), "t_id", "own_id"))
-    return first.withColumn("outcome", outcome).withColumn("owner", owner).drop("s_hash", "s_status", "s_id", "t_type", "t_status", "t_id", "first_id", "place", "own_id")
+    led = F.when(after, F.col("first.own_id"))
+    owner = F.when(valid, F.coalesce("own.content_id", led, "target.content_id", "own_id"))
+    scratch = ("own", "past", "twin", "free", "source", "may_own", "place", "first", "target", "own_id")
+    decided = placed.withColumn("target", target).withColumn("outcome", outcome).withColumn("owner", owner)
+    if stored is not None:
+        # a stronger source takes a record over before its weaker owner's own candidate comes
+        taken = decided.where(~own & (F.col("outcome") == "updated")).select(F.col("owner").alias("record")).distinct().withColumn("lost", F.lit(True))
+        decided = decided.join(taken, decided["own.content_id"] == taken["record"], "left").withColumn("outcome", F.when(F.col("lost") & valid, "duplicate").otherwise(F.col("outcome"))).drop("record", "lost")
+    return decided.drop(*scratch)
 
 
 def merged(stored: DataFrame, decided: DataFrame) -> DataFrame:
-    """The store after a batch: stored rows with what was updated, and what was created. One full join by content id."""
-    new = decided.where(F.col("outcome").isin("created", "updated")).select(F.col("owner").alias("content_id"), F.struct("source_id", "source_key", "source_type", "semantic_key", "content_hash", F.col("decision").alias("status")).alias("new"))
+    """The store after a batch: stored rows with what was updated, and what was created. Several candidates that update one
+    record leave the strongest, then the latest. One full join by content id."""
+    new = decided.where(F.col("outcome").isin("created", "updated")).withColumn("status", F.col("decision"))
+    new = new.groupBy(F.col("owner").alias("content_id")).agg(F.min_by(F.struct(*STORE), F.struct(M.authority(F.col("source_type")), -F.col("number"))).alias("new"))
     both = stored.join(new, "content_id", "full_outer")
-    fields = ("source_id", "source_key", "source_type", "semantic_key", "content_hash", "status")
-    return both.select("content_id", *[F.when(F.col("new").isNotNull(), F.col(f"new.{f}")).otherwise(F.col(f)).alias(f) for f in fields])
+    return both.select("content_id", *[F.when(F.col("new").isNotNull(), F.col(f"new.{f}")).otherwise(F.col(f)).alias(f) for f in STORE])
+
+
+def sighted(reported: DataFrame | None, decided: DataFrame, now: Column) -> DataFrame:
+    """Provenance (content_id, source_id, source_key, role, first_seen, last_seen) after a batch: candidates that name a record
+    are sightings of it; where another source has taken a record over, all that reported it before are SUPPORTING."""
+    named = decided.where(F.col("outcome").isin("created", "updated", "unchanged", "duplicate"))
+    fresh = named.groupBy(F.col("owner").alias("content_id"), "source_id", "source_key").agg(F.max(F.col("outcome") != "duplicate").alias("owns"))
+    owned = fresh.where("owns").select("content_id", F.lit(True).alias("taken")).distinct()
+    key = ["content_id", "source_id", "source_key"]
+    before = (decided.sparkSession.createDataFrame([], "content_id string, source_id string, source_key string, role string, first_seen timestamp_ntz, last_seen timestamp_ntz") if reported is None else reported)
+    both = before.join(fresh, key, "full_outer").join(owned, "content_id", "left")
+    role = F.when(F.col("owns"), "PRIMARY").when(F.col("taken"), "SUPPORTING").otherwise(F.coalesce("role", F.lit("SUPPORTING")))
+    return both.select(*key, role.alias("role"), F.coalesce("first_seen", now).alias("first_seen"), F.when(F.col("owns").isNotNull(), now).otherwise(F.col("last_seen")).alias("last_seen"))
 
 
 def provenance(sightings: DataFrame) -> DataFrame:
@@ -104,7 +154,8 @@ def run_status(failed: Column, succeeded: Column) -> Column:
 
 
 def content_hash(*parts: Column) -> Column:
-    return sha256(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])))
+    """A hash of all that a candidate says; nulls count."""
+    return sha256(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}))
 
 
 def unique_slugs(content: DataFrame, slug: str = "slug", key: str = "id") -> DataFrame:

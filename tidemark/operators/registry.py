@@ -31,20 +31,21 @@ def adapters_table(spark: SparkSession, adapters: tuple[Adapter, ...]) -> DataFr
 
 
 def schedule(adapters: DataFrame, mode: str, configured: tuple[str, ...] = (), synthetic_allowed: bool = True) -> DataFrame:
-    """adapter_id, every_minutes and the first reason why an adapter is not scheduled (null if it is)."""
-    live = F.lit(mode == "live")
-    have = F.array(*[F.lit(c) for c in configured]).cast("array<string>")
-    missing = F.array_except("credentials", have)
-    reason = (
-        F.when(F.lit(mode != "live" and not synthetic_allowed), F.lit(f"{mode} mode is refused in production"))
-        .when(~F.array_contains("modes", mode), F.lit(f"does not support {mode} mode"))
-        .when(F.lit(mode == "fixture"), None)
-        .when(live & (F.col("collector_status") != "ENABLED"), F.concat(F.lit("source is "), "collector_status"))
-        .when(live & (F.size(missing) > 0), F.concat(F.lit("missing credentials: "), F.array_join(missing, ", ")))
-        .when(F.col("every_minutes").isNull(), "no schedule defined")
+    """adapter_id, every_minutes, and why an adapter is not scheduled: a code (null if it is) with what it is about. The
+    checks come in this order, and the first that fails names the reason: REFUSED_MODE, UNSUPPORTED_MODE, NOT_ENABLED,
+    MISSING_CREDENTIALS, NO_SCHEDULE. The last three ask about live collection, the very last about recorded one too."""
+    missing = F.array_except("credentials", F.array(*[F.lit(c) for c in configured]).cast("array<string>"))
+    live, none = F.lit(mode == "live"), F.lit(None).cast("string")
+    checks = (
+        (F.lit(mode != "live" and not synthetic_allowed), "REFUSED_MODE", F.lit(mode)),
+        (~F.array_contains("modes", mode), "UNSUPPORTED_MODE", F.lit(mode)),
+        (live & (F.col("collector_status") != "ENABLED"), "NOT_ENABLED", F.col("collector_status")),
+        (live & (F.size(missing) > 0), "MISSING_CREDENTIALS", F.array_join(missing, ", ")),
+        (F.lit(mode != "fixture") & F.col("every_minutes").isNull(), "NO_SCHEDULE", none),
     )
+    failed = F.coalesce(*[F.when(bad, F.struct(F.lit(code).alias("reason"), about.alias("about"))) for bad, code, about in checks])
     every = F.lit(FIXTURE_EVERY_MINUTES) if mode == "fixture" else F.col("every_minutes")
-    return adapters.select("adapter_id", reason.alias("reason"), F.when(reason.isNull(), every).alias("every_minutes"))
+    return adapters.withColumn("f", failed).select("adapter_id", "f.reason", "f.about", F.when(F.col("f").isNull(), every).alias("every_minutes"))
 
 
 def last_by_id(*sources: DataFrame) -> DataFrame:
@@ -122,10 +123,18 @@ def retryable(status: Column) -> Column:
     return status.isin(408, 425, 429, 500, 502, 503, 504)
 
 
+#: What pages of protection services say.
+CHALLENGE_MARKS = ("captcha", "cf-chl-", "challenge-platform", "attention required", "access denied by security policy")
+CHALLENGE_STATUSES = (403, 429, 503)
+#: Characters of a page in which a mark counts.
+CHALLENGE_HEAD = 5000
+
+
 def challenged(status: Column, mitigated: Column, body: Column) -> Column:
     """Whether an answer is a protection page."""
-    page = F.lower(F.substring(body, 1, 5000)).rlike("captcha|cf-chl-|challenge-platform|attention required|access denied by security policy")
-    return status.isin(403, 429, 503) & (F.coalesce(mitigated == "challenge", F.lit(False)) | F.coalesce(page, F.lit(False)))
+    head = F.lower(F.substring(body, 1, CHALLENGE_HEAD))
+    marked = F.exists(F.array(*[F.lit(m) for m in CHALLENGE_MARKS]), lambda m: F.contains(head, m))
+    return status.isin(*CHALLENGE_STATUSES) & (F.coalesce(mitigated == "challenge", F.lit(False)) | F.coalesce(marked, F.lit(False)))
 
 
 _HTTP_DATE = "EEE, dd MMM yyyy HH:mm:ss zzz"

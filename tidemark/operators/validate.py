@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import model as M
 from ..functions import state as S
-from ..functions.text import for_match, host_allowed
+from ..functions import times as T
+from ..functions.text import for_match, host_allowed, once
 
 ISSUE = "array<struct<code:string,severity:string,field:string>>"
 
@@ -33,17 +34,36 @@ def gathered(*issues: Column) -> Column:
     return F.array_compact(F.array(*issues)).cast(ISSUE)
 
 
-def shape(kind: Column, title: Column, priority: Column | None = None, confidence: Column | None = None) -> Column:
-    """Issues of the candidate's own form."""
-    out = [
-        issue(~F.coalesce(kind.isin(*M.CONTENT_TYPES), F.lit(False)), "SCHEMA", "INVALID", "kind"),
-        issue(~F.coalesce(F.length(F.trim(title)).between(1, 300), F.lit(False)), "SCHEMA", "INVALID", "title"),
-    ]
-    if priority is not None:
-        out.append(issue(~F.coalesce(priority.between(0, 100), F.lit(False)), "SCHEMA", "INVALID", "priority"))
-    if confidence is not None:
-        out.append(issue(~F.coalesce(confidence.between(0, 1), F.lit(False)), "SCHEMA", "INVALID", "confidence"))
-    return gathered(*out)
+#: Bounds of a candidate's texts and numbers, and the fields that some kinds must have.
+TEXT_BOUNDS = {"title": (1, 300), "source_key": (1, 200), "summary": (0, 1000), "slug_hint": (0, 120)}
+NUMBER_BOUNDS = {"priority": (0, 100), "confidence": (0, 1)}
+NEEDED = ("kind", "game_id", "source_key", "title", "source_url", "priority", "confidence")
+OF_KIND = {"PATCH": "version", "REDEEM_CODE": "code", "MAINTENANCE": "maintenance_type"}
+MAINTENANCE_TYPES = ("SCHEDULED", "EMERGENCY", "EXTENDED")
+PRECISIONS = ("DATETIME", "DATE")
+CODE = "^[A-Za-z0-9][A-Za-z0-9-]{3,39}$"
+
+
+def shape(candidate: Column) -> Column:
+    """Issues of the form of a candidate (a struct of ``sources.feeds.CANDIDATE``), one for each bad field: what is missing,
+    not of the known values, out of bounds, no http address, or not there for its kind."""
+    c = candidate
+    bad = {n: c[n].isNull() for n in NEEDED}
+
+    def also(name: str, when: Column) -> None:
+        bad[name] = bad.get(name, F.lit(False)) | F.coalesce(when, F.lit(False))
+
+    for name, (low, high) in TEXT_BOUNDS.items():
+        also(name, ~F.length(F.trim(c[name])).between(low, high))
+    for name, (low, high) in NUMBER_BOUNDS.items():
+        also(name, ~c[name].between(low, high))
+    for name, known in (("kind", M.CONTENT_TYPES), ("maintenance_type", MAINTENANCE_TYPES), ("precision", PRECISIONS)):
+        also(name, ~c[name].isin(*known))
+    also("source_url", ~c["source_url"].rlike("^https?://[^/\\s]+"))
+    also("code", ~c["code"].rlike(CODE))
+    for kind, name in OF_KIND.items():
+        also(name, (c["kind"] == kind) & c[name].isNull())
+    return gathered(*[issue(when, "SCHEMA", "INVALID", name) for name, when in bad.items()])
 
 
 def source(game: Column, source_game: Column, kind: Column, kinds: Column, url: Column, hosts: Column) -> Column:
@@ -69,11 +89,18 @@ def dates(kind: Column, start: Column, end: Column, now: Column, limits: Limits
     return F.when(upside_down, gathered(issue(F.lit(True), "END_BEFORE_START", "INVALID", "endAt"))).otherwise(usual)
 
 
-def timing(stated: Column, zone: Column, normal_zone: Column, wall: Column, instant: Column, to_instant: Column, precision: Column) -> Column:
-    """A stated zone has to exist, and the local time of the source has to be the instant that was made of it."""
-    unknown = zone.isNotNull() & normal_zone.isNull()
-    wrong = normal_zone.isNotNull() & (precision != "DATE") & stated.isNotNull() & wall.isNotNull() & (to_instant != instant)
-    return gathered(issue(unknown, "TIMEZONE_UNKNOWN", "WARNING", "timing"), issue(~unknown & wrong, "TIMEZONE_MISMATCH", "INVALID", "timing"))
+def timing(zone: Column, precision: Column, start_text: Column, start: Column, end_text: Column, end: Column) -> Column:
+    """A stated zone has to exist, and a local time that the source states has to be, in that zone, the instant made of it."""
+    normal = T.normal_zone(zone)
+
+    def wrong(text: Column, at: Column) -> Column:
+        return normal.isNotNull() & (F.coalesce(precision, F.lit("DATETIME")) != "DATE") & (T.to_instant(T.source_wall_time(text), normal) != at)
+
+    return gathered(
+        issue(zone.isNotNull() & normal.isNull(), "TIMEZONE_UNKNOWN", "WARNING", "timing.sourceTimezone"),
+        issue(wrong(start_text, start), "TIMEZONE_MISMATCH", "INVALID", "startAt"),
+        issue(wrong(end_text, end), "TIMEZONE_MISMATCH", "INVALID", "endAt"),
+    )
 
 
 def quantities(items: Column, limits: Limits = Limits()) -> Column:
@@ -100,19 +127,36 @@ def synthetic(source_type: Column, is_synthetic: Column, code: Column) -> Column
     )
 
 
-def evidence(parser: Column, excerpts: Column, fields: Column, code: Column, is_synthetic: Column, start: Column, end: Column, document: Column) -> Column:
-    """``excerpts`` and ``fields`` are arrays of equal length; ``document`` is the source's text."""
+def evidence(parser: Column, excerpts: Column, kind: Column, code: Column, is_synthetic: Column, start: Column, end: Column, document: Column) -> Column:
+    """``excerpts``: array<struct<field, excerpt>>; ``document``: the source's text. A real code needs an excerpt that has it.
+    What a model read needs excerpts, one for each date, and every excerpt has to stand in the source: an issue for each."""
+    none = F.size(excerpts) == 0
+    read = (parser == "ai") & ~none
+    backed = lambda name: F.exists(excerpts, lambda e: F.substring_index(e["field"], ".", 1) == name)
     text = for_match(document)
-    missing = F.exists(excerpts, lambda x: ~F.contains(text, for_match(x)))
-    backed = lambda name: F.exists(fields, lambda f: F.substring_index(F.substring_index(f, ".", 1), "[", 1) == name)
-    ai, none = parser == "ai", F.size(excerpts) == 0
-    return gathered(
-        issue(code.isNotNull() & ~is_synthetic & ~F.exists(excerpts, lambda x: F.contains(x, code)), "CODE_WITHOUT_EVIDENCE", "REVIEW", "code"),
-        issue(ai & none, "AI_WITHOUT_EVIDENCE", "REVIEW", "evidence"),
-        issue(ai & ~none & start.isNotNull() & ~backed("startAt"), "AI_FIELD_WITHOUT_EVIDENCE", "REVIEW", "startAt"),
-        issue(ai & ~none & end.isNotNull() & ~backed("endAt"), "AI_FIELD_WITHOUT_EVIDENCE", "REVIEW", "endAt"),
-        issue(~(ai & none) & document.isNotNull() & missing, "EVIDENCE_NOT_IN_SOURCE", "REVIEW", "evidence"),
+    one = lambda e: F.struct(F.lit("EVIDENCE_NOT_IN_SOURCE").alias("code"), F.lit("REVIEW").alias("severity"), e["field"].alias("field"))
+    # the text is normalised once, then asked for each excerpt
+    lost = once(F.when(read, text), lambda t: F.transform(F.filter(excerpts, lambda e: ~F.contains(t, for_match(e["excerpt"]))), one))
+    fixed = gathered(
+        issue((kind == "REDEEM_CODE") & ~is_synthetic & ~F.exists(excerpts, lambda e: F.contains(for_match(e["excerpt"]), F.lower(code))), "CODE_WITHOUT_EVIDENCE", "REVIEW", "redeemCode.code"),
+        issue((parser == "ai") & none, "AI_WITHOUT_EVIDENCE", "REVIEW"),
+        issue(read & start.isNotNull() & ~backed("startAt"), "AI_FIELD_WITHOUT_EVIDENCE", "REVIEW", "startAt"),
+        issue(read & end.isNotNull() & ~backed("endAt"), "AI_FIELD_WITHOUT_EVIDENCE", "REVIEW", "endAt"),
+    )
+    return F.concat(fixed, F.coalesce(lost, F.array()).cast(ISSUE))
+
+
+def candidate_issues(c: Column, excerpts: Column, parser: Column, document: Column, source_game: Column, source_type: Column, kinds: Column, hosts: Column, now: Column) -> Column:
+    """All issues of a candidate (a struct of ``sources.feeds.CANDIDATE``): those of its form alone if it has any."""
+    form = shape(c)
+    rest = F.concat(
+        source(c["game_id"], source_game, c["kind"], kinds, c["source_url"], hosts),
+        dates(c["kind"], c["start_at"], c["end_at"], now),
+        timing(c["source_timezone"], c["precision"], c["start_at_source"], c["start_at"], c["end_at_source"], c["end_at"]),
+        synthetic(source_type, c["is_synthetic"], c["code"]),
+        evidence(parser, excerpts, c["kind"], c["code"], c["is_synthetic"], c["start_at"], c["end_at"], document),
     )
+    return once(form, lambda f: F.when(F.size(f) > 0, f).otherwise(rest))
 
 
 def worst(issues: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import model as M
 from ..functions.state import instant
+from ..sources.feeds import candidate
 
 #: The instant at which all time-dependent queries stand.
 NOW = "2024-01-16 00:00:00"
@@ -95,6 +96,44 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PARSERS = ("deterministic", "ai", "manual", "fixture")
+HOSTS = ("example.com", "news.example.org")
+
+
+def checked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole candidates from ``events`` with what their validation asks for: ``c`` (the candidate), source_id, source_type,
+    source_game, number, parser, excerpts and document. Now and then a field is bad, in ways that differ by number."""
+    e = F.col("event_id")
+    source = _element(e, M.SOURCE_TYPES)
+    n, start = e.cast("string"), F.date_trunc("minute", "ts").cast("timestamp_ntz")
+    game, kind = _element(F.col("user_id"), M.GAMES), _element(e, M.CONTENT_TYPES)
+    stated = F.when(e % 5 == 0, F.date_format(start + F.when(e % 15 == 0, _hours(F.lit(0))).otherwise(_hours(F.lit(9))), "yyyy/MM/dd HH:mm"))
+    site = F.when(e % 13 == 0, "://example.com.evil.test").when(e % 2 == 0, "://www.example.com").otherwise("://news.example.org")
+    code = F.when((kind == "REDEEM_CODE") & (e % 113 != 0), F.concat(F.when((source == "FIXTURE") & (e % 3 != 1), "GPTEST-").otherwise("CODE"), (e % 50).cast("string")))
+    c = candidate(
+        kind=kind, game_id=game, source_key=(e % 997).cast("string"), title=F.when(e % 101 != 0, F.concat(F.lit("["), F.col("event_type"), F.lit("] ＴＩＴＬＥ "), (F.col("user_id") % 3).cast("string"))).otherwise(" "),
+        start_at=start, end_at=start + _hours(F.floor("value") - 5), source_timezone=F.when(e % 5 == 0, "Asia/Seoul").when(e % 5 == 1, "Mars/Base"), start_at_source=stated,
+        precision=F.when(e % 10 == 0, "DATE").when(e % 5 < 2, "DATETIME"), source_url=F.when(e % 103 == 0, "ftp").otherwise(F.concat(F.when(e % 9 == 0, "http").otherwise("https"), site, F.lit("/n/"), n)),
+        priority=F.when(e % 107 == 0, 200).otherwise(50), confidence=1.0, is_synthetic=(source == "FIXTURE") != (e % 109 == 0), code=code,
+        maintenance_type=F.when(kind == "MAINTENANCE", "SCHEDULED"), version=F.when(kind == "PATCH", F.concat(F.lit("1."), (e % 40).cast("string"))),
+    )
+    said = F.coalesce(code, F.lit("none"))
+    quote = lambda field, text: F.struct(F.lit(field).alias("field"), text.alias("excerpt"))
+    two = F.array(quote("startAt", F.concat(F.lit("Starts "), "event_type")), quote("redeemCode.code", F.concat(F.lit("use "), said)))
+    excerpts = F.when(e % 3 == 0, F.slice(two, 1, 0)).when(e % 3 == 1, two).otherwise(F.concat(two, F.array(quote("endAt", F.concat(F.lit("gone "), n)))))
+    document = F.when(e % 7 != 0, F.concat(F.lit("Ｓtarts \n  "), "event_type", F.lit(". Use "), said))
+    return read(spark, sf_dir, "events").select(
+        c.alias("c"),
+        F.concat(F.lit("src-"), M.authority(source).cast("string")).alias("source_id"),
+        source.alias("source_type"),
+        F.when(e % 29 == 0, "lol").otherwise(game).alias("source_game"),
+        e.alias("number"),
+        _element(e, PARSERS).alias("parser"),
+        excerpts.alias("excerpts"),
+        document.alias("document"),
+    )
+
+
 def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of a patch: line items with the price before and after their discount."""
     line = read(spark, sf_dir, "lineitem")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import CANDIDATES, ITEMS, NOW, ORACLE_SQL, RULES, _batch
+from .oracles import ITEMS, NOW, ORACLE_SQL, RULES
 
 _LINK = """CASE WHEN event_id % 5 = 0 THEN 'https://other.example.net' WHEN event_id % 2 = 0 THEN 'https://game.example.com' ELSE 'https://www.news.example.org' END || '/views/' || event_id"""
 _NONE = "NULL::VARCHAR"
@@ -115,10 +115,10 @@ FROM customer""",
     "viewer_feed": f"WITH {ITEMS} SELECT id, game_id FROM pub WHERE game_id IN ('lol', 'wuwa') AND number % 4 <> 0",
     "schedule_plan": """
 SELECT * FROM (VALUES
-  ('a-live', 'live', NULL, 15), ('b-paused', 'live', 'source is PAUSED', NULL), ('c-keyless', 'live', 'missing credentials: OTHER_KEY', NULL), ('d-manual', 'live', 'no schedule defined', NULL), ('e-fixture', 'live', 'does not support live mode', NULL),
-  ('a-live', 'mock', NULL, 15), ('b-paused', 'mock', 'does not support mock mode', NULL), ('c-keyless', 'mock', NULL, 30), ('d-manual', 'mock', 'does not support mock mode', NULL), ('e-fixture', 'mock', 'does not support mock mode', NULL),
-  ('a-live', 'fixture', 'does not support fixture mode', NULL), ('b-paused', 'fixture', 'does not support fixture mode', NULL), ('c-keyless', 'fixture', 'does not support fixture mode', NULL), ('d-manual', 'fixture', 'does not support fixture mode', NULL), ('e-fixture', 'fixture', NULL, 60)
-) t(adapter_id, mode, reason, every_minutes)""",
+  ('a-live', 'live', NULL, NULL, 15), ('b-paused', 'live', 'NOT_ENABLED', 'PAUSED', NULL), ('c-keyless', 'live', 'MISSING_CREDENTIALS', 'OTHER_KEY', NULL), ('d-manual', 'live', 'NO_SCHEDULE', NULL, NULL), ('e-fixture', 'live', 'UNSUPPORTED_MODE', 'live', NULL),
+  ('a-live', 'mock', NULL, NULL, 15), ('b-paused', 'mock', 'UNSUPPORTED_MODE', 'mock', NULL), ('c-keyless', 'mock', NULL, NULL, 30), ('d-manual', 'mock', 'UNSUPPORTED_MODE', 'mock', NULL), ('e-fixture', 'mock', 'UNSUPPORTED_MODE', 'mock', NULL),
+  ('a-live', 'fixture', 'UNSUPPORTED_MODE', 'fixture', NULL), ('b-paused', 'fixture', 'UNSUPPORTED_MODE', 'fixture', NULL), ('c-keyless', 'fixture', 'UNSUPPORTED_MODE', 'fixture', NULL), ('d-manual', 'fixture', 'UNSUPPORTED_MODE', 'fixture', NULL), ('e-fixture', 'fixture', NULL, NULL, 60)
+) t(adapter_id, mode, reason, about, every_minutes)""",
     "sitemap_rows": f"""
 WITH {ITEMS}
 SELECT 'https://example.com' || p AS url, NULL::TIMESTAMP AS last_modified, f AS frequency, r::DOUBLE AS priority FROM (VALUES ('/', 'hourly', 1.0), ('/today', 'hourly', 0.8), ('/terms', 'monthly', 0.2)) t(p, f, r)
@@ -136,13 +136,15 @@ FROM events""",
     "stale_runs": f"SELECT CASE WHEN event_id % 3 <> 0 THEN 'SUCCEEDED' WHEN {NOW} - ts > INTERVAL 30 MINUTE THEN 'ABANDONED' ELSE 'RUNNING' END AS status, count(*) AS runs FROM events GROUP BY 1",
     "item_badges": f"""
 WITH {ITEMS}, b AS (
-  SELECT *, coalesce(start_at, source_published_at) AS r, CASE
-    WHEN type = 'MAINTENANCE' THEN kept WHEN type IN ('REWARD','REDEEM_CODE') THEN CASE st WHEN 'LIVE' THEN 'AVAILABLE' WHEN 'ENDED' THEN 'EXPIRED' ELSE st END WHEN type IN ('EVENT','BANNER') THEN st END AS state
-  FROM pub
+  SELECT *, coalesce(start_at, source_published_at) AS r FROM pub
 ), l AS (
-  SELECT *, CASE WHEN type IN ('PATCH','UPDATE') THEN CASE WHEN r > {NOW} THEN 'UPCOMING' WHEN {NOW} - r <= INTERVAL 3 DAY THEN 'NEW' WHEN r IS NOT NULL THEN 'RELEASED' END ELSE state END AS label FROM b
+  SELECT *, CASE WHEN type = 'MAINTENANCE' THEN kept
+    WHEN type IN ('REWARD','REDEEM_CODE') THEN CASE st WHEN 'LIVE' THEN 'AVAILABLE' WHEN 'ENDED' THEN 'EXPIRED' WHEN 'ENDING_SOON' THEN 'CLAIM_SOON' ELSE st END
+    WHEN type IN ('EVENT','BANNER') THEN nullif(st, 'UNKNOWN')
+    WHEN type IN ('PATCH','UPDATE') THEN CASE WHEN r > {NOW} THEN 'RELEASING' WHEN {NOW} - r <= INTERVAL 3 DAY THEN 'NEW' WHEN r IS NOT NULL THEN 'RELEASED' END END AS label FROM b
 )
-SELECT id, CASE WHEN label IN ('UPCOMING','SCHEDULED') THEN 'upcoming' WHEN label IN ('LIVE','AVAILABLE','NEW') THEN 'live' WHEN label IN ('IN_PROGRESS','ENDING_SOON') THEN 'warning' WHEN label IN ('ENDED','EXPIRED','COMPLETED','RELEASED') THEN 'ended' WHEN label = 'UNKNOWN' THEN 'unknown' END AS tone, label,
+SELECT id, CASE WHEN label IN ('UPCOMING','SCHEDULED','RELEASING') THEN 'upcoming' WHEN label IN ('LIVE','AVAILABLE') THEN 'live' WHEN label = 'IN_PROGRESS' THEN 'urgent' WHEN label IN ('ENDING_SOON','CLAIM_SOON') THEN 'soon' WHEN label = 'NEW' THEN 'info'
+    WHEN label IN ('ENDED','EXPIRED','COMPLETED') THEN 'ended' WHEN label IN ('RELEASED','UNKNOWN') THEN 'neutral' END AS tone, label,
   CASE WHEN st = 'UPCOMING' THEN 'starts' WHEN st IN ('LIVE','ENDING_SOON') AND end_at IS NOT NULL THEN CASE WHEN type IN ('REWARD','REDEEM_CODE') THEN 'claim-by' ELSE 'ends' END END AS focus,
   CASE WHEN st = 'UPCOMING' THEN start_at WHEN st IN ('LIVE','ENDING_SOON') THEN end_at END AS focus_at
 FROM l""",
@@ -160,12 +162,11 @@ WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.
 SELECT page_id, CASE WHEN url LIKE 'https://%' AND starts_with(url, 'https://' || h || '/') AND length(h) % 2 = 0 AND h <> '' THEN 200 WHEN starts_with(url, 'https://blog.a.example.net/') THEN 200 ELSE 404 END::INTEGER AS http_status,
   CASE WHEN starts_with(url, 'https://blog.a.example.net/') THEN 'blog' WHEN starts_with(url, 'https://' || h || '/') AND length(h) % 2 = 0 AND h <> '' THEN h ELSE 'not found' END AS body FROM p""",
     "robots_paths": r"""
-WITH p AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages)
-SELECT path, NOT (path[-1] BETWEEN '0' AND '9' AND starts_with(path, '/')) AND (NOT starts_with(path, '/a') OR regexp_matches(path, '^/a.*e')) AS allowed FROM p""",
+WITH p AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/]+(/[^#]*)', 1) AS path FROM pages)
+SELECT host, path, CASE length(host) % 4 WHEN 0 THEN path NOT LIKE '/%' WHEN 1 THEN true WHEN 3 THEN true ELSE regexp_matches(path, '^/a.*e') OR NOT (starts_with(path, '/a') OR regexp_matches(path, '^/.*9$')) END AS allowed
+FROM p WHERE host <> ''""",
     "stream_event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL",
-    "stream_ingest": f"""
-WITH {CANDIDATES}, {_batch("all_of", "true")}
-SELECT source_type, decision AS status, count(*) AS records FROM all_of_placed WHERE decision IS NOT NULL AND place = 1 GROUP BY ALL""",
+    "stream_ingest": ORACLE_SQL["store_after_batches"],
 }
 
 ORACLE_SQL.update(_FEEDS | _REST)

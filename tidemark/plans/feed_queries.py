@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 from .. import session
 from ..functions import recurrence as R
 from ..functions import state as S
+from ..functions import text as X
 from ..operators import content as C
 from ..operators import diff as D
 from ..operators import links as L
 from ..operators import parse as K
 from ..operators import registry as G
+from ..operators import robots as RB
 from ..sources import feeds
 from ..streaming import ingest
 from . import driver_views as D7
 from . import feed_views as FV
 from . import views
 from .driver_views import now, read
-from .queries import _decided, query
+from .queries import _batches, query
 
 _SHOWN = ("kind", "source_key", "slug_hint", "title", "start_at", "end_at", "source_url", "source_published_at", "priority", "maintenance_type", "related_source_key")
 
@@ -224,10 +226,10 @@ def item_badges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def status_over_time(spark: SparkSession, sf: str) -> DataFrame:
-    """The same classification at many instants: items of each status on every day of the month."""
-    days = F.sequence(F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-01-31").cast("timestamp_ntz"), F.expr("interval 1 day"))
-    rows = D7.published(spark, sf).withColumn("instant", F.explode(days))
-    return rows.groupBy("instant", S.type_status(F.col("instant")).alias("time_status")).agg(F.count("*").alias("items"))
+    """The same classification at many instants: items of each status on every day of a month. An item is counted where its
+    status begins and where it ends, and the counts are summed up over the days."""
+    first, last = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-01", "2024-01-31"))
+    return views.statuses_by_day(D7.published(spark, sf), first, last)
 
 
 @query
@@ -259,8 +261,6 @@ def source_ranks(spark: SparkSession, sf: str) -> DataFrame:
 def recorded_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Pages answered from recorded routes."""
     routes = spark.createDataFrame([(0, "https://blog.a.example.net/", "prefix", 200, "blog"), (1, "https://none.example/", "exact", 500, "x")], "position int, url string, match string, status int, body string")
-    from ..functions import text as X
-
     pages = read(spark, sf, "pages").select("page_id", "url")
     # routes of hosts that the pages really have: one prefix for each host of an even length
     hosts = pages.select(X.host(F.col("url")).alias("h")).distinct().where((F.col("h") != "") & (F.length("h") % 2 == 0))
@@ -268,12 +268,25 @@ def recorded_routes(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.recorded(pages, routes.unionByName(more)).select("page_id", "http_status", F.col("raw_text").alias("body"))
 
 
+ROBOTS = """# what crawlers may read
+User-agent: other
+User-agent: crawl
+Allow: /a*e
+Disallow: /a
+Disallow: /*9$
+
+User-agent: *
+Disallow: /
+"""
+
+
 @query
 def robots_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Which paths of the pages a crawler may read."""
-    rules = spark.createDataFrame([("*", "^/.*[0-9]$", False), ("*", "^/a", False), ("*", "^/a.*e", True), ("other", "^/", False)], "agent string, pattern string, allow boolean")
-    path = F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1)
-    return C.robots_allowed(read(spark, sf, "pages").select(path.alias("path")).distinct(), rules, "crawler")
+    """Which paths of the pages a crawler may read: hosts answer with a file, a failure or nothing at all by turns."""
+    pages = read(spark, sf, "pages").select(X.host(F.col("url")).alias("host"), F.regexp_extract("url", r"^https?://[^/]+(/[^#]*)", 1).alias("path")).where("host <> ''")
+    size = F.length("host") % 4
+    answers = pages.select("host").distinct().select("host", F.when(size == 0, 503).when(size == 1, 404).otherwise(200).alias("status"), F.when(size == 2, ROBOTS).when(size == 3, "Sitemap: /x").alias("body"), now().alias("fetched_at"))
+    return RB.allowed(pages, RB.rules(RB.fresh(answers, now())), "Crawler/1.0 (+https://example.com)")
 
 
 @query
@@ -288,11 +301,13 @@ def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """What a store holds after a stream of candidates has been published into it."""
-    first = _decided(spark, sf).drop("issues", "kind", "game_id")
-    staged = session.scratch(spark, "candidates")
-    first.write.mode("overwrite").parquet(staged)
-    log = ingest.ContentLog(spark, session.scratch(spark, "content"))
-    # all staged files make one batch: order inside a batch is defined, order between batches is arrival
-    ingest.ingest(ingest.files(spark, staged, first.schema, per_batch=1_000_000), log, session.scratch(spark, "content-state")).awaitTermination()
-    return log.current().groupBy("source_type", "status").agg(F.count("*").alias("records"))
+    """What a store holds after a stream has published two micro-batches into it, one after the other."""
+    staged, log = session.scratch(spark, "candidates"), ingest.ContentLog(spark, session.scratch(spark, "content"), now())
+    state = session.scratch(spark, "content-state")
+    for n, rows in enumerate(_batches(spark, sf)):
+        # each run of the stream takes the files that have come since the last
+        rows.drop("validation").write.parquet(f"{staged}/part={n}")
+        ingest.ingest(ingest.files(spark, f"{staged}/*", rows.drop("validation").schema, per_batch=1_000_000), log, state).awaitTermination()
+    records = log.current().groupBy("source_id", "status").agg(F.count("*").alias("rows"))
+    sightings = log.sightings().groupBy("source_id", F.col("role").alias("status")).agg(F.count("*").alias("rows"))
+    return records.select(F.lit("record").alias("of"), "*").unionByName(sightings.select(F.lit("sighting").alias("of"), "*"))

@@ -105,20 +105,84 @@ cand AS (
     event_type || ' ' || (user_id % 30) AS title, ts AS start_at, ts + to_hours(floor(value)::BIGINT - 5) AS end_at,
     event_id AS number, value, event_id % 3 = 0 AS is_synthetic
   FROM events
+)"""
+
+_UUID = "substr(x,1,8) || '-' || substr(x,9,4) || '-4' || substr(x,14,3) || '-' || substr('89ab', ('0x' || substr(x,17,1))::INTEGER % 4 + 1, 1) || substr(x,18,3) || '-' || substr(x,21,12)"
+
+CHECKED = f"""
+full_ AS (
+  SELECT event_id AS number, event_id % 6 + 1 AS authority, 'src-' || (event_id % 6 + 1) AS source_id, event_id % 6 = 5 AS fixture, (event_id % 997)::VARCHAR AS source_key,
+    ['lol','lostark','maplestory','genshin','wuwa'][user_id % 5 + 1] AS game_id, ['PATCH','UPDATE','EVENT','REWARD','REDEEM_CODE','MAINTENANCE','BANNER','ANNOUNCEMENT'][event_id % 8 + 1] AS kind,
+    CASE WHEN event_id % 101 <> 0 THEN 'title' || (user_id % 3) ELSE '' END AS identity, event_type, user_id % 3 AS u, date_trunc('minute', ts) AS s, date_trunc('minute', ts) + to_hours(floor(value)::BIGINT - 5) AS e,
+    CASE WHEN event_id % 8 = 4 AND event_id % 113 <> 0 THEN CASE WHEN event_id % 6 = 5 AND event_id % 3 <> 1 THEN 'GPTEST-' ELSE 'CODE' END || (event_id % 50) END AS code,
+    (event_id % 6 = 5) <> (event_id % 109 = 0) AS synthetic, event_id % 4 = 1 AS ai
+  FROM events
+), formed AS (
+  SELECT *, number % 101 = 0 OR number % 103 = 0 OR number % 107 = 0 OR (kind = 'REDEEM_CODE' AND code IS NULL) AS misshapen FROM full_
+), checked AS (
+  SELECT *, list_filter([
+    CASE WHEN number % 101 = 0 THEN {{'code':'SCHEMA','severity':'INVALID','field':'title'}} END,
+    CASE WHEN number % 103 = 0 THEN {{'code':'SCHEMA','severity':'INVALID','field':'source_url'}} END,
+    CASE WHEN number % 107 = 0 THEN {{'code':'SCHEMA','severity':'INVALID','field':'priority'}} END,
+    CASE WHEN kind = 'REDEEM_CODE' AND code IS NULL THEN {{'code':'SCHEMA','severity':'INVALID','field':'code'}} END,
+    CASE WHEN NOT misshapen AND number % 29 = 0 AND game_id <> 'lol' THEN {{'code':'SOURCE_GAME_MISMATCH','severity':'INVALID','field':'gameId'}} END,
+    CASE WHEN NOT misshapen AND kind = 'BANNER' THEN {{'code':'UNEXPECTED_CONTENT_TYPE','severity':'REVIEW','field':'kind'}} END,
+    CASE WHEN NOT misshapen AND number % 13 = 0 THEN {{'code':'SOURCE_URL_HOST','severity':'REVIEW','field':'sourceUrl'}} END,
+    CASE WHEN NOT misshapen AND number % 13 <> 0 AND number % 9 = 0 THEN {{'code':'SOURCE_URL_INSECURE','severity':'WARNING','field':'sourceUrl'}} END,
+    CASE WHEN NOT misshapen AND e < s THEN {{'code':'END_BEFORE_START','severity':'INVALID','field':'endAt'}} END,
+    CASE WHEN NOT misshapen AND e >= s AND e - s > INTERVAL 366 DAY THEN {{'code':'RANGE_TOO_LONG','severity':'REVIEW','field':'endAt'}} END,
+    CASE WHEN NOT misshapen AND e >= s AND e < {NOW} THEN {{'code':'ALREADY_ENDED','severity':'WARNING','field':'endAt'}} END,
+    CASE WHEN NOT misshapen AND number % 5 = 1 THEN {{'code':'TIMEZONE_UNKNOWN','severity':'WARNING','field':'timing.sourceTimezone'}} END,
+    CASE WHEN NOT misshapen AND number % 15 = 0 AND number % 10 <> 0 THEN {{'code':'TIMEZONE_MISMATCH','severity':'INVALID','field':'startAt'}} END,
+    CASE WHEN NOT misshapen AND fixture AND NOT synthetic THEN {{'code':'FIXTURE_NOT_SYNTHETIC','severity':'INVALID','field':'isSynthetic'}} END,
+    CASE WHEN NOT misshapen AND NOT fixture AND synthetic THEN {{'code':'SYNTHETIC_FROM_REAL_SOURCE','severity':'INVALID','field':'isSynthetic'}} END,
+    CASE WHEN NOT misshapen AND synthetic AND code LIKE 'CODE%' THEN {{'code':'SYNTHETIC_CODE_UNMARKED','severity':'INVALID','field':'code'}} END,
+    CASE WHEN NOT misshapen AND kind = 'REDEEM_CODE' AND NOT synthetic AND number % 3 = 0 THEN {{'code':'CODE_WITHOUT_EVIDENCE','severity':'REVIEW','field':'redeemCode.code'}} END,
+    CASE WHEN NOT misshapen AND ai AND number % 3 = 0 THEN {{'code':'AI_WITHOUT_EVIDENCE','severity':'REVIEW','field':NULL}} END,
+    CASE WHEN NOT misshapen AND ai AND number % 3 = 1 THEN {{'code':'AI_FIELD_WITHOUT_EVIDENCE','severity':'REVIEW','field':'endAt'}} END,
+    CASE WHEN NOT misshapen AND ai AND number % 3 = 2 AND number % 7 <> 0 THEN {{'code':'EVIDENCE_NOT_IN_SOURCE','severity':'REVIEW','field':'endAt'}} END
+  ], lambda i: i IS NOT NULL) AS issues FROM formed
 ), decided AS (
-  SELECT *, game_id || ':' || kind || ':' || regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') || ':' || strftime(start_at, '%Y-%m-%d') AS semantic_key,
-    title || '|' || strftime(start_at, '%Y-%m-%d %H:%M:%S') AS content_hash,
-    CASE WHEN end_at < start_at THEN NULL WHEN end_at - start_at > INTERVAL 100 HOUR THEN 'PENDING_REVIEW' ELSE 'PUBLISHED' END AS decision
-  FROM cand
+  SELECT * EXCLUDE (x), {_UUID} AS own_id, CASE level WHEN 3 THEN NULL WHEN 2 THEN 'PENDING_REVIEW' ELSE 'PUBLISHED' END AS decision
+  FROM (SELECT *, coalesce(list_max(list_transform(issues, lambda i: CASE i.severity WHEN 'WARNING' THEN 1 WHEN 'REVIEW' THEN 2 ELSE 3 END)), 0) AS level,
+    sha256('content:' || source_id || ':' || source_key) AS x, concat_ws('|', kind, game_id, event_type, identity, u, s, e, code, number % 40, number % 107 = 0) AS content_hash,
+    CASE WHEN kind = 'PATCH' THEN game_id || ':PATCH:1.' || (number % 40) WHEN code IS NOT NULL THEN game_id || ':REDEEM_CODE:' || code
+      ELSE game_id || ':' || kind || ':' || identity || ':' || strftime(s, '%Y-%m-%d') END AS semantic_key FROM checked)
 )"""
 
-BATCH = """
+
+def _batch(name: str, where: str) -> str:
+    """A batch into an empty store."""
+    return f"""
 {name}_last AS (SELECT * FROM decided WHERE {where} QUALIFY row_number() OVER (PARTITION BY source_id, source_key ORDER BY number DESC) = 1),
-{name}_placed AS (SELECT *, row_number() OVER (PARTITION BY semantic_key, decision IS NOT NULL ORDER BY authority, source_id, source_key, number) AS place FROM {name}_last)"""
+{name}_first AS (SELECT semantic_key, arg_min(source_id, (authority, source_id, source_key, number)) AS f_source, arg_min(own_id, (authority, source_id, source_key, number)) AS f_id FROM {name}_last WHERE decision IS NOT NULL GROUP BY 1),
+{name}_out AS (SELECT l.*, CASE WHEN decision IS NULL THEN 'rejected' WHEN f_source <> source_id THEN 'duplicate' ELSE 'created' END AS outcome,
+  CASE WHEN decision IS NOT NULL THEN CASE WHEN f_source <> source_id THEN f_id ELSE own_id END END AS owner FROM {name}_last l LEFT JOIN {name}_first USING (semantic_key))"""
 
 
-def _batch(name: str, where: str) -> str:
-    return BATCH.format(name=name, where=where)
+#: A batch before now into an empty store, then the rest into that store.
+TWO_BATCHES = f"""{_batch("a", f"s < {NOW}")},
+stored AS (SELECT own_id AS id, source_id, source_key, authority, semantic_key, content_hash, decision AS status FROM a_out WHERE outcome = 'created'),
+prov AS (SELECT owner AS id, source_id, source_key, outcome = 'created' AS is_primary FROM a_out WHERE outcome IN ('created', 'duplicate')),
+b_last AS (SELECT * FROM decided WHERE s >= {NOW} QUALIFY row_number() OVER (PARTITION BY source_id, source_key ORDER BY number DESC) = 1),
+past AS (SELECT p.source_id, p.source_key, s.id, s.authority, s.status FROM prov p JOIN stored s ON p.id = s.id AND p.source_id <> s.source_id),
+twin AS (SELECT b.number, s.id, s.authority, s.status FROM b_last b JOIN stored s ON b.semantic_key = s.semantic_key AND b.source_id <> s.source_id QUALIFY row_number() OVER (PARTITION BY b.number ORDER BY s.authority, s.id) = 1),
+found AS (SELECT b.*, o.id AS o_id, o.content_hash AS o_hash, o.status AS o_status, p.id AS p_id, p.authority AS p_authority, p.status AS p_status, t.id AS t_id, t.authority AS t_authority, t.status AS t_status,
+    b.decision IS NOT NULL AND o.id IS NULL AND p.id IS NULL AS free, b.decision IS NOT NULL AND o.id IS NULL AND p.id IS NULL AND (t.id IS NULL OR b.authority < t.authority) AS may_own
+  FROM b_last b LEFT JOIN stored o USING (source_id, source_key) LEFT JOIN past p USING (source_id, source_key) LEFT JOIN twin t ON b.number = t.number),
+led AS (SELECT *, first_value(CASE WHEN may_own THEN source_id END IGNORE NULLS) OVER w AS f_source, first_value(CASE WHEN may_own THEN own_id END IGNORE NULLS) OVER w AS f_id,
+    row_number() OVER (PARTITION BY semantic_key, free, may_own ORDER BY authority, source_id, source_key, number) AS place
+  FROM found WINDOW w AS (PARTITION BY semantic_key, free ORDER BY authority, source_id, source_key, number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+aimed AS (SELECT *, CASE WHEN p_id IS NOT NULL THEN p_id WHEN free AND (NOT may_own OR place = 1) THEN t_id END AS g_id, CASE WHEN p_id IS NOT NULL THEN p_authority ELSE t_authority END AS g_authority, CASE WHEN p_id IS NOT NULL THEN p_status ELSE t_status END AS g_status FROM led),
+b_one AS (SELECT *, CASE WHEN decision IS NULL THEN 'rejected' WHEN o_hash = content_hash AND o_status = decision THEN 'unchanged' WHEN o_status = 'PUBLISHED' AND decision = 'PENDING_REVIEW' THEN 'review-held' WHEN o_id IS NOT NULL THEN 'updated'
+    WHEN free AND f_source <> source_id THEN 'duplicate' WHEN g_id IS NULL THEN 'created' WHEN authority >= g_authority THEN 'duplicate' WHEN g_status = 'PUBLISHED' AND decision = 'PENDING_REVIEW' THEN 'review-held' ELSE 'updated' END AS first_outcome,
+    CASE WHEN decision IS NOT NULL THEN coalesce(o_id, CASE WHEN free AND f_source <> source_id THEN f_id END, g_id, own_id) END AS owner FROM aimed),
+taken AS (SELECT DISTINCT owner AS k_id FROM b_one WHERE o_id IS NULL AND first_outcome = 'updated'),
+b_out AS (SELECT b.*, CASE WHEN k_id IS NOT NULL AND decision IS NOT NULL THEN 'duplicate' ELSE first_outcome END AS outcome FROM b_one b LEFT JOIN taken ON o_id = k_id),
+won AS (SELECT owner AS id, arg_min({{'source_id': source_id, 'status': decision}}, (authority, -number)) AS w FROM b_out WHERE outcome IN ('created', 'updated') GROUP BY 1),
+records AS (SELECT coalesce(w.source_id, s.source_id) AS source_id, coalesce(w.status, s.status) AS status FROM stored s FULL JOIN won USING (id)),
+named AS (SELECT owner AS id, source_id, source_key, outcome <> 'duplicate' AS owns FROM b_out WHERE outcome IN ('created', 'updated', 'unchanged', 'duplicate')),
+roles AS (SELECT source_id, CASE WHEN n.owns THEN 'PRIMARY' WHEN id IN (SELECT id FROM named WHERE owns) THEN 'SUPPORTING' WHEN p.is_primary THEN 'PRIMARY' ELSE 'SUPPORTING' END AS role FROM prov p FULL JOIN named n USING (id, source_id, source_key))"""
 
 
 ISSUES = f"""
@@ -169,8 +233,6 @@ _LINES = """lines AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 _FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({s}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
-_UUID = "substr(x,1,8) || '-' || substr(x,9,4) || '-4' || substr(x,14,3) || '-' || substr('89ab', ('0x' || substr(x,17,1))::INTEGER % 4 + 1, 1) || substr(x,18,3) || '-' || substr(x,21,12)"
-
 ORACLE_SQL = {
     "content_window_query": f"""WITH {ITEMS} SELECT id, game_id, type, title, start_at, end_at, eff AS effective_at FROM pub
 WHERE game_id IN ('lol','genshin') AND NOT is_synthetic AND CASE WHEN type IN ('PATCH','UPDATE','ANNOUNCEMENT') OR (start_at IS NULL AND end_at IS NULL)
@@ -237,21 +299,16 @@ SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY first_position, targ
   p.p_retailprice AS p1, c.p_retailprice AS c1, p.p_size::DOUBLE AS p2, c.p_size::DOUBLE AS c2 FROM prev p FULL JOIN cur c ON p.p_partkey = c.p_partkey)
 SELECT p_partkey, p_name AS name, NULL::VARCHAR AS field, CASE WHEN is_new THEN 'NEW' ELSE 'REMOVED' END AS change, NULL::DOUBLE AS before, NULL::DOUBLE AS after FROM both_sides WHERE is_new OR gone
 UNION ALL SELECT p_partkey, p_name, 'p_retailprice', CASE WHEN c1 < p1 THEN 'BUFF' ELSE 'NERF' END, p1, c1 FROM both_sides WHERE NOT is_new AND NOT gone AND p1 <> c1
-UNION ALL SELECT p_partkey, p_name, 'p_size', CASE WHEN c2 > p2 THEN 'BUFF' ELSE 'NERF' END, p2, c2 FROM both_sides WHERE NOT is_new AND NOT gone AND p2 <> c2""".replace("AS name", "AS name"),
+UNION ALL SELECT p_partkey, p_name, 'p_size', CASE WHEN c2 > p2 THEN 'BUFF' ELSE 'NERF' END, p2, c2 FROM both_sides WHERE NOT is_new AND NOT gone AND p2 <> c2""",
     "raw_change_detection": f"""WITH {RAW} SELECT source_id, document_key, fetched_at, content_hash, CASE WHEN b IS NULL THEN 'new' WHEN b = content_hash THEN 'unchanged' ELSE 'changed' END AS change
 FROM (SELECT *, lag(content_hash) OVER (PARTITION BY source_id, document_key ORDER BY fetched_at, content_hash) AS b FROM raw)""",
     "latest_raw_document": f"WITH {RAW} SELECT source_id, document_key, content_hash, fetched_at FROM raw QUALIFY row_number() OVER (PARTITION BY source_id, document_key ORDER BY fetched_at DESC, content_hash DESC) = 1",
-    "publish_outcomes": f"""WITH {CANDIDATES}, {_batch("a", "number % 2 = 0")} SELECT source_id, source_key, number, CASE WHEN decision IS NULL THEN 'rejected' WHEN place > 1 THEN 'duplicate' ELSE 'created' END AS outcome FROM a_placed""",
-    "publish_second_batch": f"""WITH {CANDIDATES}, {_batch("a", "number % 2 = 0")}, {_batch("b", "number % 2 = 1")},
-stored AS (SELECT * FROM a_placed WHERE decision IS NOT NULL AND place = 1),
-twins AS (SELECT semantic_key, min(authority) AS t_authority, arg_min(decision, authority) AS t_status FROM stored GROUP BY ALL),
-joined AS (SELECT b.*, s.content_hash AS s_hash, s.decision AS s_status, s.source_id IS NOT NULL AS own, t.t_authority, t.t_status, t.t_authority IS NOT NULL AS other
-  FROM b_placed b LEFT JOIN stored s ON b.source_id = s.source_id AND b.source_key = s.source_key LEFT JOIN twins t ON b.semantic_key = t.semantic_key)
-SELECT source_type, CASE WHEN decision IS NULL THEN 'rejected' WHEN own AND s_hash = content_hash AND s_status = decision THEN 'unchanged'
-  WHEN own AND s_status = 'PUBLISHED' AND decision = 'PENDING_REVIEW' THEN 'review-held' WHEN own THEN 'updated' WHEN place > 1 THEN 'duplicate'
-  WHEN other AND authority >= t_authority THEN 'duplicate' WHEN other AND t_status = 'PUBLISHED' AND decision = 'PENDING_REVIEW' THEN 'review-held' WHEN other THEN 'updated' ELSE 'created' END AS outcome, count(*) AS candidates
-FROM joined GROUP BY ALL""",
-    "authority_dedupe": f"""WITH {CANDIDATES} SELECT semantic_key, (array_agg(source_id ORDER BY authority, source_id, source_key, number))[1] AS source_id, (array_agg(source_key ORDER BY authority, source_id, source_key, number))[1] AS source_key, count(*) AS candidates
+    "candidate_issues": f"WITH {CHECKED}, i AS (SELECT number, unnest(issues) AS i FROM checked) SELECT number, i.code, i.severity, i.field FROM i",
+    "publish_outcomes": f"WITH {CHECKED}, {_batch('a', 'true')} SELECT source_id, source_key, number, outcome, owner FROM a_out",
+    "publish_second_batch": f"WITH {CHECKED}, {TWO_BATCHES} SELECT source_id, source_key, number, outcome, owner FROM b_out",
+    "store_after_batches": f"""WITH {CHECKED}, {TWO_BATCHES} SELECT 'record' AS of, source_id, status, count(*) AS rows FROM records GROUP BY ALL
+UNION ALL SELECT 'sighting', source_id, role, count(*) FROM roles GROUP BY ALL""",
+    "authority_dedupe": f"""WITH {CHECKED} SELECT semantic_key, (array_agg(source_id ORDER BY authority, source_id, source_key, number))[1] AS source_id, (array_agg(source_key ORDER BY authority, source_id, source_key, number))[1] AS source_key, count(*) AS candidates
 FROM decided WHERE decision IS NOT NULL GROUP BY semantic_key""",
     "provenance_rollup": f"""WITH {CANDIDATES}, rolled AS (SELECT game_id || ':' || kind || ':' || title AS content_id, source_id, source_key, min(start_at) AS first_seen, max(start_at) AS last_seen, count(*) AS sightings, min(authority) AS a FROM cand GROUP BY ALL)
 SELECT * EXCLUDE (a), CASE WHEN row_number() OVER (PARTITION BY content_id ORDER BY a, first_seen, source_id, source_key) = 1 THEN 'PRIMARY' ELSE 'SUPPORTING' END AS role FROM rolled""",
@@ -269,6 +326,13 @@ UNION ALL SELECT l_returnflag, 'PATCH_VALUE_HALF_PAIR', count(*) FROM v WHERE (a
 UNION ALL SELECT l_returnflag, 'PATCH_CHANGE_EMPTY', count(*) FROM v WHERE a IS NULL AND b IS NULL AND k % 3 = 0 AND k % 2 <> 0 GROUP BY ALL""",
     "host_allowlist": """WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host FROM pages)
 SELECT page_id, host, host <> '' AND (host IN ('example.net','example.org') OR host LIKE '%.example.net' OR host LIKE '%.example.org') AS allowed FROM h""",
+    "page_text": r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<noscript\b[^>]*>.*?</noscript\s*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<svg\b[^>]*>.*?</svg\s*>|<template\b[^>]*>.*?</template\s*>', ' ', 'g'),
+    '(?i)</?(article|blockquote|br|div|footer|h[1-6]|header|li|ol|p|pre|section|table|tr|ul)([^a-z0-9>][^>]*)?>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages),
+d AS (SELECT page_id, replace(replace(replace(replace(x, '&quot;', '"'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&') AS x FROM t),
+l AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(x, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), chr(10)), lambda y: trim(regexp_replace(y, '[ \t]+', ' ', 'g'))), lambda y: y <> ''), chr(10)) AS x FROM d)
+SELECT page_id, x AS text, length(x)::INTEGER AS n_chars, CASE WHEN length(replace(x, chr(10), ' ')) > 160 THEN rtrim(substr(replace(x, chr(10), ' '), 1, 159)) || '…' ELSE replace(x, chr(10), ' ') END AS summary FROM l""",
+    "evidence_in_source": r"""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents), b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM benchmark)
+SELECT DISTINCT doc_id, item_id FROM d JOIN b ON contains(t, p)""",
     "title_identity": f"WITH {ITEMS} SELECT id, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS identity, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM items",
     "semantic_keys": f"""WITH {ITEMS} SELECT id, CASE type WHEN 'PATCH' THEN game_id || ':PATCH:1.' || id WHEN 'REDEEM_CODE' THEN game_id || ':REDEEM_CODE:CODE-' || id
 ELSE game_id || ':' || type || ':' || regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') || ':' || coalesce(strftime(start_at, '%Y-%m-%d'), 'na') END AS semantic_key FROM items""",
@@ -279,11 +343,6 @@ r AS (SELECT id, slug, row_number() OVER (PARTITION BY slug ORDER BY id) AS n, {
 SELECT id, CASE WHEN n = 1 THEN slug ELSE substr(slug, 1, 110) || '-' || lpad(lower(to_hex(f)), 8, '0') END AS slug FROM r""",
     "registry_sync": f"""WITH {PARTS} SELECT CASE WHEN p.p_partkey IS NULL THEN 'created' WHEN p.p_name = c.p_name AND p.p_retailprice = c.p_retailprice AND p.p_size = c.p_size THEN 'unchanged' ELSE 'updated' END AS action, count(*) AS parts
 FROM cur c LEFT JOIN prev p ON p.p_partkey = c.p_partkey GROUP BY ALL""",
-    "evidence_in_source": r"""WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents), b AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS p FROM benchmark)
-SELECT DISTINCT doc_id, item_id FROM d JOIN b ON contains(t, p) WHERE contains(' ' || t || ' ', ' ' || array_to_string(string_split(p, ' ')[1:8], ' ') || ' ')""",
-    "latest_turn": """SELECT conv_id, max(turn) AS last_turn, (array_agg(text ORDER BY turn DESC, text DESC))[1] AS last_text,
-coalesce((array_agg(text ORDER BY turn, text) FILTER (role = 'assistant'))[1], (array_agg(text ORDER BY turn, text))[1]) AS preferred FROM conversations GROUP BY conv_id""",
-    "verification_join": "SELECT source, count(*) AS documents, count(quality) AS marked, count(*) FILTER (quality = 1) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
     "durations_and_labels": f"""WITH {ITEMS}, x AS (SELECT id, start_at, published_at AS moment, greatest(floor((epoch_us(published_at) - epoch_us({NOW})) / 1000000), 0)::BIGINT AS s, greatest(floor((epoch_us({NOW}) - epoch_us(published_at)) / 1000000), 0)::BIGINT AS ago_s,
   date_diff('day', DATE '2024-01-16', (published_at + INTERVAL 9 HOUR)::DATE) AS dd FROM items),
 y AS (SELECT *, CASE WHEN s // 3600 < 100 THEN lpad((s // 3600)::VARCHAR, 2, '0') ELSE (s // 3600)::VARCHAR END || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock,
@@ -292,11 +351,9 @@ SELECT id, clock, d_day, CASE WHEN moment <= {NOW} THEN NULL WHEN s < 86400 THEN
   CASE WHEN ago_s < 60 THEN 'just now' WHEN ago_s < 3600 THEN (ago_s // 60) || 'm ago' WHEN ago_s < 86400 THEN (ago_s // 3600) || 'h ago' ELSE (ago_s // 86400) || 'd ago' END AS ago,
   ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][isodow(moment + INTERVAL 9 HOUR)] AS weekday, coalesce(strftime(start_at, '%Y-%m-%d'), 'na') AS utc_day FROM y""",
     "last_updated": f"WITH {ITEMS} SELECT game_id, max(updated_at) AS last_updated_at FROM pub GROUP BY game_id",
-    "run_report": f"""WITH {CANDIDATES}, {_batch("a", "true")}, o AS (SELECT source_id, CASE WHEN decision IS NULL THEN 'rejected' WHEN place > 1 THEN 'duplicate' ELSE 'created' END AS outcome FROM a_placed),
-c AS (SELECT source_id, count(*) FILTER (outcome = 'created') AS created, 0::BIGINT AS updated, 0::BIGINT AS unchanged, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'rejected') AS rejected FROM o GROUP BY source_id)
+    "run_report": f"""WITH {CHECKED}, {_batch("a", "true")}, c AS (SELECT source_id, count(*) AS discovered, count(*) FILTER (outcome = 'created') AS created, 0::BIGINT AS updated, 0::BIGINT AS unchanged, count(*) FILTER (outcome = 'duplicate') AS duplicate, 0::BIGINT AS review_held,
+  count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (level = 0) AS valid, count(*) FILTER (level = 1) AS warning, count(*) FILTER (level = 2) AS review, count(*) FILTER (level = 3) AS invalid FROM a_out GROUP BY source_id)
 SELECT *, CASE WHEN rejected = 0 THEN 'SUCCEEDED' WHEN created + duplicate > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS run_status FROM c""",
-    "source_hierarchy": """SELECT r_name, row_number() OVER (PARTITION BY r_name ORDER BY s_acctbal DESC, s_suppkey)::INTEGER AS place, s_suppkey, n_name
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey QUALIFY place <= 3""",
     "home_highlights": f"""{DIGEST}, {PLACED} SELECT section, place, id FROM placed WHERE kind = 'item' AND section NOT IN ('resets','upcoming')
 ORDER BY list_position(['critical','rewards','resets','endingSoon','newEvents','maintenance','upcoming'], section), place LIMIT 8""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import identity as I
 from ..functions import model as M
 from ..functions import recurrence as R
@@ -14,6 +15,7 @@ from ..functions import text as X
 from ..functions import times as T
 from ..operators import content as C
 from ..operators import diff as D
+from ..operators import evidence as E
 from ..operators import publish as P
 from ..operators import validate as V
 from . import driver_views as D7
@@ -150,31 +152,67 @@ def latest_raw_document(spark: SparkSession, sf: str) -> DataFrame:
     return C.latest_version(D7.raw_documents(spark, sf).drop("raw_text")).select("source_id", "document_key", "content_hash", "fetched_at")
 
 
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates with all their issues."""
+    kinds = F.array(*[F.lit(k) for k in M.CONTENT_TYPES if k != "BANNER"])
+    hosts = F.array(*[F.lit(h) for h in D7.HOSTS])
+    rows = D7.checked_candidates(spark, sf)
+    issues = V.candidate_issues(F.col("c"), F.col("excerpts"), F.col("parser"), F.col("document"), F.col("source_game"), F.col("source_type"), kinds, hosts, now())
+    # out of a generator, so that the long expression stands once
+    return rows.select("*", F.explode(F.array(F.struct(issues.alias("issues")))).alias("v")).select("c", "source_id", "source_type", "number", "parser", "v.issues")
+
+
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
-    c = D7.candidates(spark, sf)
-    issues = F.concat(V.dates(F.col("kind"), F.col("start_at"), F.col("end_at"), now()), V.synthetic(F.col("source_type"), F.col("is_synthetic"), F.lit(None).cast("string")))
-    # only an end before its start rejects here: the synthetic flag of the projection is independent of the source type
-    decision = F.when(F.col("end_at") < F.col("start_at"), None).when(F.col("end_at") - F.col("start_at") > S.span(100 * M.HOUR), "PENDING_REVIEW").otherwise("PUBLISHED")
-    key = I.semantic_key(F.col("game_id"), F.col("kind"), F.col("title"), F.col("start_at"), F.lit(None).cast("string"), F.lit(None).cast("string"), plain=True)
-    hashed = I.sha256(F.concat_ws("|", "title", F.date_format("start_at", "yyyy-MM-dd HH:mm:ss")))
-    return c.select("source_id", "source_type", "source_key", "number", key.alias("semantic_key"), hashed.alias("content_hash"), decision.alias("decision"), issues.alias("issues"), "kind", "game_id")
+    """Validated candidates with what publication asks for: key, hash and decision."""
+    c = F.col("c")
+    rows = _validated(spark, sf).withColumn("status", V.worst(F.col("issues")))
+    key = I.semantic_key(c["game_id"], c["kind"], c["title"], c["start_at"], c["version"], c["code"])
+    said = P.content_hash(*[c[f] for f in ("kind", "game_id", "title", "start_at", "end_at", "version", "code", "priority")])
+    decision = S.publication(F.col("status"), F.col("source_type"), F.col("parser"))["status"]
+    return rows.select("source_id", "source_type", c["source_key"].alias("source_key"), "number", key.alias("semantic_key"), said.alias("content_hash"), decision.alias("decision"), c["start_at"].alias("seen_at"), F.col("status").alias("validation"))
+
+
+def _batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the time before now, and those after."""
+    rows = session.written(_decided(spark, sf), "decided")
+    return rows.where(F.col("seen_at") < now()), rows.where(F.col("seen_at") >= now())
+
+
+def _after_first(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Store and provenance after a first batch."""
+    done = session.written(P.outcomes(first), "outcomes")
+    empty = first.sparkSession.createDataFrame([], "content_id string, " + ", ".join(f"{c} string" for c in P.STORE))
+    return session.written(P.merged(empty, done), "stored"), session.written(P.sighted(None, done, now()), "reported")
+
+
+@query
+def candidate_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Every issue of every candidate: form, source, dates, local times, markings, evidence."""
+    return _validated(spark, sf).select("number", F.explode("issues").alias("i")).select("number", "i.code", "i.severity", "i.field")
 
 
 @query
 def publish_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """What becomes of a first batch: candidates of half of the events, into an empty store."""
-    first = _decided(spark, sf).where("number % 2 = 0").drop("issues", "kind", "game_id")
-    return P.outcomes(first).select("source_id", "source_key", "number", "outcome")
+    """What becomes of all candidates in one batch, into an empty store."""
+    return P.outcomes(_decided(spark, sf)).select("source_id", "source_key", "number", "outcome", "owner")
 
 
 @query
 def publish_second_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The other half, into the store that the first batch has filled: counts by source type and outcome."""
-    rows = _decided(spark, sf).drop("issues", "kind", "game_id")
-    first = P.outcomes(rows.where("number % 2 = 0")).where(F.col("outcome") == "created")
-    stored = first.select("source_id", "source_key", "source_type", "semantic_key", "content_hash", F.col("decision").alias("status"), F.col("owner").alias("content_id"))
-    second = P.outcomes(rows.where("number % 2 = 1"), stored)
-    return second.groupBy("source_type", "outcome").agg(F.count("*").alias("candidates"))
+    """A second batch into the store that a first has filled."""
+    first, second = _batches(spark, sf)
+    return P.outcomes(second, *_after_first(first)).select("source_id", "source_key", "number", "outcome", "owner")
+
+
+@query
+def store_after_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Records and sightings after both batches, by owner and role."""
+    first, second = _batches(spark, sf)
+    stored, reported = _after_first(first)
+    done = session.written(P.outcomes(second, stored, reported), "outcomes")
+    records = P.merged(stored, done).groupBy("source_id", "status").agg(F.count("*").alias("rows"))
+    sightings = P.sighted(reported, done, now()).groupBy("source_id", F.col("role").alias("status")).agg(F.count("*").alias("rows"))
+    return records.select(F.lit("record").alias("of"), "*").unionByName(sightings.select(F.lit("sighting").alias("of"), "*"))
 
 
 @query
@@ -201,7 +239,7 @@ def ttl_expiry(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def raw_text_retention(spark: SparkSession, sf: str) -> DataFrame:
     """How many texts of each source stay and go at a cutoff."""
-    raw = D7.raw_documents(spark, sf).select("source_id", "fetched_at", F.col("document_key").alias("raw_text"))
+    raw = D7.raw_documents(spark, sf).select("source_id", "fetched_at", "raw_text")
     kept = P.pruned(raw, S.instant("2024-01-20 00:00:00"))
     return kept.groupBy("source_id").agg(F.count("raw_text").alias("kept"), F.count_if(F.col("raw_text").isNull()).alias("pruned"))
 
@@ -271,14 +309,14 @@ def page_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def title_identity(spark: SparkSession, sf: str) -> DataFrame:
-    return D7.items(spark, sf).select("id", I.title_identity(F.col("title"), plain=True).alias("identity"), I.slug(F.col("title"), plain=True).alias("slug"))
+    return D7.items(spark, sf).select("id", I.title_identity(F.col("title")).alias("identity"), I.slug(F.col("title")).alias("slug"))
 
 
 @query
 def semantic_keys(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("string")
     version, code = F.when(F.col("type") == "PATCH", F.concat(F.lit(" 1."), F.col("id"))), F.when(F.col("type") == "REDEEM_CODE", F.concat(F.lit("code-"), F.col("id")))
-    key = I.semantic_key(F.col("game_id"), F.col("type"), F.col("title"), F.col("start_at"), F.coalesce(version, none), F.coalesce(code, none), plain=True)
+    key = I.semantic_key(F.col("game_id"), F.col("type"), F.col("title"), F.col("start_at"), F.coalesce(version, none), F.coalesce(code, none))
     return D7.items(spark, sf).select("id", key.alias("semantic_key"))
 
 
@@ -290,7 +328,7 @@ def content_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def slug_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """Unique slugs of all titles: the first of each keeps it, the others get a suffix."""
-    rows = D7.items(spark, sf).select("id", I.slug(F.concat_ws(" ", "game_id", "type", "title"), 110, plain=True).alias("slug"))
+    rows = D7.items(spark, sf).select("id", I.slug(F.concat_ws(" ", "game_id", "type", "title"), 110).alias("slug"))
     return P.unique_slugs(rows)
 
 
@@ -305,31 +343,8 @@ def registry_sync(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def evidence_in_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Which documents hold which benchmark passages word for word, joined on the passages' first eight words."""
-    lead = lambda w: F.array_join(F.slice(w, 1, 8), " ")
-    bench = D7.read(spark, sf, "benchmark").select("item_id", X.for_match(F.col("text")).alias("passage")).withColumn("key", F.xxhash64(lead(F.split("passage", " "))))
-    docs = D7.read(spark, sf, "documents").select("doc_id", X.for_match(F.col("text")).alias("document"))
-    words = F.split("document", " ")
-    keys = F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))))
-    # keys alone meet the passages; a text is looked at again only where a key has met
-    met = docs.select("doc_id", F.explode(F.element_at(keys, 1)).alias("key")).join(bench, "key").select("doc_id", "item_id", "passage")
-    return met.join(docs, "doc_id").where(F.contains("document", "passage")).select("doc_id", "item_id").distinct()
-
-
-@query
-def latest_turn(spark: SparkSession, sf: str) -> DataFrame:
-    """The last turn of each conversation, and the first of each role by preference."""
-    c = D7.read(spark, sf, "conversations")
-    order = F.struct("turn", "text")
-    return c.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("text", order).alias("last_text"), F.coalesce(F.min_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", order)), F.min_by("text", order)).alias("preferred"))
-
-
-@query
-def verification_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of each source with and without a verification mark."""
-    docs, marks = D7.read(spark, sf, "documents").select("doc_id", "source"), D7.read(spark, sf, "labels").select("doc_id", "quality")
-    rows = docs.join(marks, "doc_id", "left")
-    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count("quality").alias("marked"), F.count_if(F.col("quality") == 1).alias("good"))
+    """Which documents hold which benchmark passages word for word."""
+    return E.containing(D7.read(spark, sf, "documents"), D7.read(spark, sf, "benchmark"))
 
 
 @query
@@ -346,21 +361,14 @@ def last_updated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters of an ingestion run per source and its status."""
-    rows = P.outcomes(_decided(spark, sf).drop("issues", "kind", "game_id"))
-    counted = rows.groupBy("source_id").agg(*[F.count_if(F.col("outcome") == o).alias(o.replace("-", "_")) for o in ("created", "updated", "unchanged", "duplicate", "rejected")])
+    """Counters of an ingestion run per source: what was found, its validation, its outcomes, and the run's status."""
+    rows = P.outcomes(_decided(spark, sf))
+    named = {o.replace("-", "_"): F.count_if(F.col("outcome") == o) for o in ("created", "updated", "unchanged", "duplicate", "review-held", "rejected")}
+    levels = {v.lower(): F.count_if(F.col("validation") == v) for v in M.VALIDATION_STATUSES}
+    counted = rows.groupBy("source_id").agg(F.count("*").alias("discovered"), *[c.alias(n) for n, c in {**named, **levels}.items()])
     return counted.withColumn("run_status", P.run_status(F.col("rejected"), F.col("created") + F.col("duplicate")))
 
 
-@query
-def source_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as sources below nations and regions: the dimension joins of the registry."""
-    s, n, r = (D7.read(spark, sf, t) for t in ("supplier", "nation", "region"))
-    rows = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
-    w = W.partitionBy("r_name").orderBy(F.desc("s_acctbal"), "s_suppkey")
-    return rows.withColumn("place", F.row_number().over(w)).where("place <= 3").select("r_name", "place", "s_suppkey", "n_name")
-
-
 @query
 def home_highlights(spark: SparkSession, sf: str) -> DataFrame:
     return views.home(views.today(D7.published(spark, sf), R.rules_table(spark), now())).select("section", "place", "id")

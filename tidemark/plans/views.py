@@ -60,6 +60,39 @@ def timeline(items: DataFrame, now: Column, options: M.TimelineOptions = M.Timel
     return rows.where(~recent).withColumn("place", place).unionByName(short).drop("sort_key", "upkeep")
 
 
+def statuses_by_day(items: DataFrame, first: Column, last: Column) -> DataFrame:
+    """instant, time_status, items at each midnight from ``first`` to ``last``.
+
+    A status holds between instants that start, end and threshold give. An item adds one to the day from which it holds and
+    takes one from the day after; running sums over the few days then count. Nothing is multiplied by the days.
+    """
+    start, end = F.col("start_at"), F.col("end_at")
+    far = F.lit("9999-01-01").cast("timestamp_ntz")
+    soon = F.when(S.is_type("MAINTENANCE"), end).otherwise(end - S.span(M.ENDING_SOON))
+    began = F.coalesce(start, F.lit("0001-01-01").cast("timestamp_ntz"))
+    over = F.when(end.isNotNull(), F.greatest(end, began)).otherwise(far)  # what ends before it starts is upcoming, then ended
+    near = F.least(F.greatest(F.coalesce(soon, far), began), over)
+
+    def day(at: Column) -> Column:
+        """The first midnight at or after an instant, kept within the days asked for and the one after."""
+        up = F.date_trunc("day", at).cast("timestamp_ntz")
+        return F.least(F.greatest(F.when(up < at, up + F.expr("interval 1 day")).otherwise(up), first), last + F.expr("interval 1 day"))
+
+    def span(status: str, a: Column, b: Column) -> list[Column]:
+        one = lambda at, n: F.struct(at.alias("instant"), F.lit(status).alias("time_status"), F.lit(n).alias("n"))
+        return [one(a, 1), one(b, -1)]
+
+    begin, stop = first, last + F.expr("interval 1 day")
+    none = start.isNull() & end.isNull()
+    known = F.array(*span("UPCOMING", begin, day(began)), *span("LIVE", day(began), day(near)), *span("ENDING_SOON", day(near), day(over)), *span("ENDED", day(over), stop))
+    steps = items.select(F.explode(F.when(none, F.array(*span("UNKNOWN", begin, stop))).otherwise(known)).alias("s")).select("s.*")
+    summed = steps.groupBy("instant", "time_status").agg(F.sum("n").alias("n"))
+    # days times statuses: a small table whatever the items
+    days = summed.select("time_status").distinct().withColumn("instant", F.explode(F.sequence(first, last, F.expr("interval 1 day"))))
+    counted = days.join(summed, ["time_status", "instant"], "left").withColumn("items", F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("time_status").orderBy("instant")))
+    return counted.where("items > 0").select("instant", "time_status", "items")
+
+
 def moments() -> Column:
     """array<struct<kind, at>>: the instants at which an item is news."""
     start, end = F.col("start_at"), F.col("end_at")

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -52,3 +52,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     fs.mkdirs(p)
     fs.deleteOnExit(p)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: what several later steps read is computed once, and
+    lineage ends there. The files go when the session's JVM ends."""
+    path = f"{scratch(df.sparkSession, name)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 from ..operators import publish as P
 
+SIGHTING = ("content_id", "source_id", "source_key")
+SIGHTED = "content_id string, source_id string, source_key string, role string, first_seen timestamp_ntz, last_seen timestamp_ntz"
 STORED = "source_id string, source_key string, source_type string, semantic_key string, content_hash string, status string, content_id string"
 
 
@@ -51,34 +53,52 @@ def requests_within(requests: DataFrame, seconds: int, key: str = "host", at: st
 
 
 class ContentLog:
-    """Published content as a log of batches below ``path``."""
+    """Published content, and what sources have reported of it, as two logs of batches below ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, now: Column | None = None):
         self.spark, self.path = spark, path
+        self.now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
 
-    def rows(self) -> DataFrame:
+    def rows(self, kind: str = "content") -> DataFrame:
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        schema = (STORED if kind == "content" else SIGHTED) + ", batch bigint"
         if not fs.exists(p) or not any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(p)):
-            return self.spark.createDataFrame([], STORED + ", batch bigint")
-        return self.spark.read.schema(STORED + ", batch bigint").parquet(self.path)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(str(p))
+
+    @staticmethod
+    def _last(rows: DataFrame, *key: str) -> DataFrame:
+        """The last row of each key; it combines before the shuffle."""
+        fields = [c for c in rows.columns if c not in (*key, "batch")]
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(*key, "r.*")
 
     def current(self) -> DataFrame:
-        """The last row of each content id; it combines before the shuffle."""
-        fields = [c for c in self.rows().columns if c not in ("content_id", "batch")]
-        return self.rows().groupBy("content_id").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select("content_id", "r.*")
+        return self._last(self.rows(), "content_id")
+
+    def sightings(self) -> DataFrame:
+        return self._last(self.rows("sightings"), *SIGHTING)
 
     def apply(self, candidates: DataFrame, batch: int) -> DataFrame:
-        """Decide a batch against what stood before it and write what it creates or updates. Returns the outcomes."""
-        before = ContentLog(self.spark, self.path).rows().where(F.col("batch") < batch)
-        fields = [c for c in before.columns if c not in ("content_id", "batch")]
-        stored = before.groupBy("content_id").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select("content_id", "r.*")
-        decided = P.outcomes(candidates, stored)
-        # several candidates may update one fact in a batch: the strongest, then the latest, holds
-        new = decided.where(F.col("outcome").isin("created", "updated")).select(F.col("owner").alias("content_id"), F.struct("source_id", "source_key", "source_type", "semantic_key", "content_hash", F.col("decision").alias("status")).alias("r"), P.M.authority(F.col("source_type")).alias("a"), "number")
-        new = new.groupBy("content_id").agg(F.min_by("r", F.struct("a", (-F.col("number")).alias("n"))).alias("r")).select("r.*", "content_id")
-        new.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        """Decide a batch against what stood before it and write what it creates or updates. Returns the outcomes.
+
+        Only records that the batch may touch are looked at: those of its keys and meanings, and those that its sources have
+        reported. The batch is the small side of these joins, the log is scanned and not shuffled.
+        """
+        content, seen = (self.rows(k).where(F.col("batch") < batch) for k in ("content", "sightings"))
+        asked = candidates.select("source_id", "source_key", "semantic_key").distinct()
+        past = seen.join(asked.select("source_id", "source_key").distinct(), ["source_id", "source_key"], "left_semi").select("content_id")
+        own = content.join(asked.select("source_id", "source_key").distinct(), ["source_id", "source_key"], "left_semi").select("content_id")
+        same = content.join(asked.select("semantic_key").distinct(), "semantic_key", "left_semi").select("content_id")
+        ids = past.union(own).union(same).distinct()
+        stored = self._last(content.join(ids, "content_id", "left_semi"), "content_id")
+        reported = self._last(seen.join(ids, "content_id", "left_semi"), *SIGHTING)
+        decided = P.outcomes(candidates, stored, reported).persist()
+        touched = decided.where(F.col("outcome").isin("created", "updated")).select(F.col("owner").alias("content_id")).distinct()
+        P.merged(stored, decided).join(touched, "content_id", "left_semi").select(*[c.split()[0] for c in STORED.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/content/batch={batch}")
+        P.sighted(reported, decided, self.now).write.mode("overwrite").parquet(f"{self.path}/sightings/batch={batch}")
+        decided.unpersist()
         return decided
 
 
@@ -102,8 +122,3 @@ def drained(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> D
     rest = [c for c in stream.columns if c not in keys]
     out = stream.sparkSession.read.schema(StructType([*stream.schema.fields]).add("batch", "long")).parquet(path)
     return out.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
-
-
-def expired_now(rows: DataFrame, ttl_days: dict[str, int], now: Column) -> DataFrame:
-    """The daily job over a log's sightings: what has not been confirmed within its source's time to live."""
-    return P.expired(rows, ttl_days, now)
