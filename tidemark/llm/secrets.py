@@ -3,7 +3,8 @@
 Every text is a blob named by its SHA-256, and every rule has a version. The ledger says which blob was scanned by which
 rule versions; a scan takes only pairs of a blob and a rule version that it does not have, each blob once however many rows
 hold it: a new text is scanned by all rules, a known one by the rules that are new or changed. Findings are joined back to
-all rows. Blobs are found from (row, blob) pairs without texts; one copy of each text with something to scan is shuffled once.
+all rows. Blobs are found from (row, blob) pairs without texts; of the texts that pass a cheap test where they are read, one
+copy of each blob with something to scan is shuffled once.
 
 Positions come from the two halves of one regular expression pass: what lies between the matches and the matches
 themselves, whose lengths add up to starts and ends in code points.
@@ -17,6 +18,7 @@ record a pair twice: that is made good on reading.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,11 @@ def _none() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def _likely(text: Column, rule: Rule) -> Column:
+    """The rule's cheap test, which every text with a match passes."""
+    return text.rlike(rule.quick) if rule.quick else F.contains(text, F.lit(rule.mark))
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("m")
     counted = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("g")
@@ -81,8 +88,7 @@ def _spans(text: Column, rule: Rule) -> Column:
         span = F.struct(begin.alias("start"), F.lit(RANK[rule.kind]).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"))
         return F.struct(end.alias("at"), F.when(F.length(part["g"]) >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    present = text.rlike(rule.quick) if rule.quick else F.contains(text, F.lit(rule.mark))
-    return F.when(present, F.aggregate(parts, start, step, lambda state: state["found"])).otherwise(_none())
+    return F.when(_likely(text, rule), F.aggregate(parts, start, step, lambda state: state["found"])).otherwise(_none())
 
 
 def as_string(spans: Column) -> Column:
@@ -108,11 +114,13 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         todo = F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>")))
         unseen = unseen.join(seen, "blob_id", "left")
     unseen = unseen.select("blob_id", "doc_id", todo.alias("todo")).where(F.size("todo") > 0)
-    # the small side has no texts: a hash table of it saves sorting the texts
-    one = unseen.hint("shuffle_hash").alias("u")
-    texts = rows.alias("r").join(one, F.expr("r.doc_id <=> u.doc_id AND r.blob_id = u.blob_id")).select("r.blob_id", "r.text", "todo")
+    # texts that pass no rule's cheap test where they are read have no findings: only the others are shuffled, one of each blob.
+    # The small side has no texts: a hash table of it saves sorting the texts.
+    likely = rows.where(reduce(lambda x, y: x | y, [_likely(F.col("text"), r) for r in rules]))
+    texts = likely.alias("r").join(unseen.hint("shuffle_hash").alias("u"), F.expr("r.doc_id <=> u.doc_id AND r.blob_id = u.blob_id")).select("r.blob_id", "r.text", "todo")
     found = F.array_sort(F.concat(*[F.when(F.array_contains("todo", r.name), _spans(F.col("text"), r)).otherwise(_none()) for r in rules]))
-    return texts.select("blob_id", F.col("todo").alias("rules"), found.alias("spans")).dropDuplicates(["blob_id"])
+    spans = texts.select("blob_id", found.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["blob_id"])
+    return unseen.join(spans, "blob_id", "left").select("blob_id", F.col("todo").alias("rules"), F.coalesce("spans", _none()).alias("spans"))
 
 
 def current(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
