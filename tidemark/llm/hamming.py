@@ -96,7 +96,7 @@ def search(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         met = F.least(*[F.bit_count(_part(x, *c)) * m + i for i, c in enumerate(cut)])
         looks = sum(comb(bits, r) for _, bits in cut for r in radii)
         dealt = open_.repartition(max(1, -(-queries * looks // PROBES)), "query")
-        pairs = probes(dealt, cut, radii).join(table, ["seg", "value"]).where((F.bit_count(x) <= F.col("bound")) & (met == F.col("step")))
+        pairs = probes(dealt, cut, radii).join(table.hint("merge"), ["seg", "value"]).where((F.bit_count(x) <= F.col("bound")) & (met == F.col("step")))
         new = pairs.select("query", "code", F.bit_count(x).cast("int").alias("distance"), "first")
         every = new if best is None else best.unionByName(new)
         best = written(every.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n"), "nearest")
