@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, lines, packing, passages, secrets, simhash, sketches, toxicity
+from . import bpe, centroids, hamming, lines, negatives, packing, passages, quality, secrets, simhash, sketches, toxicity
 from .common import read
 
 
@@ -79,6 +81,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and squared distance of every vector of 64 components, after 10 rounds from 8 first centroids."""
+    rows, final, sums = centroids.clustered(centroids.prepared(read(spark, sf_dir, "embeddings")), k=8, rounds=10, salt="3:")
+    # a row for each cluster, so all that it says is a literal; without any there are no rows
+    of_cluster = lambda values, kind: F.get(F.array(*[F.lit(x) for x in values or [None]]), F.col("cluster")).cast(kind)
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in final]
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", of_cluster(sums, "long").alias("cluster_inertia"), F.lit(sum(sums)).cast("long").alias("inertia"), of_cluster(digests, "string").alias("centroid_sha256"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hardest negatives of each positive of the embeddings whose vec_id is divisible by 50; every seventh label is changed."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(negatives.prepared(read(spark, sf_dir, "embeddings"), label=label), F.col("id") % 50 == 0)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -86,7 +108,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_packed_sequences, op3_balanced_packing, op4_toxicity, op5_repeated_passages, op6_line_dedup, op7_simhash_groups, op8_secret_ledger, op9_scaled_sketch, op10_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_packed_sequences, op3_balanced_packing, op4_toxicity, op5_repeated_passages, op6_line_dedup, op7_simhash_groups, op8_secret_ledger, op9_scaled_sketch, op10_byte_bpe, op11_centroid_clusters, op12_hard_negatives, op13_quality, pipeline)}
 
 _CODES = """
 signs AS (
@@ -96,7 +118,55 @@ signs AS (
   SELECT DISTINCT id, array_to_string(list_transform(s, lambda x: CASE WHEN x THEN '1' ELSE '0' END), '')::BIT AS code FROM signs
 )"""
 
+
+
+def _clusters(rounds: int = 10) -> str:
+    """Lloyd's rounds, one after the other, with every distance computed."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x::DOUBLE), false))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS m FROM kept QUALIFY c < 8
+)"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, vec_id, v, c, list_sum(list_transform(generate_series(1, 64), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS d FROM kept, c{n}
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+)""")
+        if n < rounds:
+            steps.append(f"""s{n} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(generate_series(1, 64)) AS i FROM a{n}) GROUP BY c, i
+), n{n} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{n} GROUP BY c
+), c{n + 1} AS MATERIALIZED (
+  SELECT c{n}.c, coalesce(n{n}.m, c{n}.m) AS m FROM c{n} LEFT JOIN n{n} USING (c)
+)""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} USING (c)"""
+
+
 ORACLE_SQL = {
+    "op11_centroid_clusters": _clusters(),
+    "op12_hard_negatives": """
+WITH kept AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x::DOUBLE), false))) = len(embedding)
+), scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_sum(list_transform(generate_series(1, len(a.v)), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM kept a JOIN kept b ON a.id <> b.id WHERE a.id % 50 = 0
+), positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
     "op1_hamming_topk": f"""
 WITH {_CODES}, near AS (
   SELECT q.id AS query_id, b.id AS neighbor_id, bit_count(xor(q.code, b.code))::INTEGER AS distance
