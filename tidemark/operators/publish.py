@@ -1,9 +1,10 @@
 """De-duplication and publication of candidates as set operations.
 
-A batch is decided in one pass of joins and windows. Candidates that name the same fact stand in a defined order (authority,
-source, key, number), which replaces arrival order. A candidate's record is found in three steps: its own record by source
-and key; the record that its source has reported before, by provenance; the record of another source with the same meaning,
-the strongest first. A source never supersedes or duplicates itself: two keys of one source are two records, whatever they say.
+A batch is decided as a whole, by joins, minima and one window. Keys that name the same fact stand in a defined order
+(authority, source, key), which replaces arrival order; the candidates of a key stand in the order of their numbers, and each
+of them gets its outcome. A key's record is found in three steps: its own record by source and key; the record that its
+source has reported before, by provenance; the record of another source with the same meaning, the strongest first. A source
+never supersedes or duplicates itself: two keys of one source are two records, whatever they say.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import model as M
 from ..functions.identity import content_id, sha256
 
@@ -23,12 +25,9 @@ def stronger(a: Column, b: Column) -> Column:
     return M.authority(a) < M.authority(b)
 
 
-def last_of_key(candidates: DataFrame) -> DataFrame:
-    """The latest candidate of each (source_id, source_key) in a batch."""
-    w = W.partitionBy("source_id", "source_key").orderBy(F.desc("number"))
-    return candidates.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-
-
+KEY = ["source_id", "source_key"]
+#: The order of a key's candidates; of equal numbers the hash decides.
+ORDER = ("number", "content_hash", "decision")
 STORE = ("source_id", "source_key", "source_type", "semantic_key", "content_hash", "status")
 
 
@@ -45,61 +44,106 @@ def twins(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     return both.select("source_id", "semantic_key", F.when(F.col("first.source_id") != F.col("source_id"), F.col("first")).otherwise(F.col("second")).alias("t"))
 
 
+def _found(rows: DataFrame, stored: DataFrame | None, reported: DataFrame | None) -> DataFrame:
+    """Candidates with ``own``, the record of their source and key; ``past``, the record of another source that they have
+    reported before; and ``target``: the past one, or else the strongest record of another source with their meaning."""
+    record = "struct<source_type:string,status:string,content_hash:string,content_id:string>"
+    if stored is None:
+        return rows.withColumns({x: F.lit(None).cast(record) for x in ("own", "past", "target")})
+    kept = F.struct("source_type", "status", "content_hash", "content_id")
+    found = rows.join(stored.select(*KEY, kept.alias("own")), KEY, "left")
+    if reported is None:
+        found = found.withColumn("past", F.lit(None).cast(record))
+    else:
+        owners = stored.select(F.col("source_id").alias("o"), "content_id", F.struct(M.authority(F.col("source_type")).alias("a"), kept.alias("r")).alias("x"))
+        past = reported.select("content_id", *KEY).join(owners, "content_id").where(F.col("o") != F.col("source_id"))
+        found = found.join(past.groupBy(*KEY).agg(F.min("x").alias("x")).select(*KEY, F.col("x.r").alias("past")), KEY, "left")
+    t = twins(rows, stored).select("source_id", "semantic_key", F.when(F.col("t").isNotNull(), F.struct("t.source_type", "t.status", F.lit(None).cast("string").alias("content_hash"), "t.content_id")).alias("twin"))
+    return found.join(t, ["source_id", "semantic_key"], "left").withColumn("target", F.coalesce("past", "twin")).drop("twin")
+
+
+def _entries(found: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """How each key without a record of its own comes in: ``entry`` of ``at`` (where in the key's order), ``outcome`` and
+    ``owner``. A key comes in by its first valid candidate that need not be held. Keys whose record is taken over are there too.
+
+    Everything is a minimum that combines before the shuffle and a join by it, so a fact that many announce is no task's own."""
+    held = F.col("held")
+    at = F.struct(*ORDER)
+    fields = F.struct("source_type", "semantic_key", "own_id", "target", F.col("past").isNull().alias("free"), at.alias("at"))
+    entries = found.where(F.col("decision").isNotNull() & F.col("own").isNull() & ~held).groupBy(*KEY).agg(F.min_by(fields, at).alias("e")).select(*KEY, "e.*")
+    over = stronger(F.col("source_type"), F.col("target.source_type"))
+    may_own = F.col("free") & (F.col("target").isNull() | over)
+    place = F.struct(M.authority(F.col("source_type")).alias("a"), F.col("source_id").alias("s"))
+    entries = entries.withColumns({"over": over, "may_own": may_own, "place": place})
+    claim = F.struct("place", "source_key", "own_id", F.coalesce("target.content_id", "own_id").alias("record"))
+    leaders = entries.where("may_own").groupBy("semantic_key").agg(F.min(claim).alias("lead"))
+    entries = entries.join(leaders, "semantic_key", "left")
+    after = F.coalesce(F.col("free") & (F.col("lead.place") < F.col("place")) & (F.col("lead.place.s") != F.col("source_id")), F.lit(False))
+    leads = F.coalesce(F.col("lead.own_id") == F.col("own_id"), F.lit(True))
+    aim = F.when(~F.col("may_own") | leads, F.col("target.content_id"))
+    outcome = F.when(after, "duplicate").when(aim.isNull(), "created").when(~F.col("over"), "duplicate").otherwise("updated")
+    owner = F.when(after, F.col("lead.record")).otherwise(F.coalesce(aim, F.col("own_id")))
+    decided = entries.select(*KEY, "place", "own_id", "at", outcome.alias("outcome"), owner.alias("owner"))
+    if stored is None:
+        return decided.select(*KEY, F.struct("at", "outcome", "owner").alias("entry"))
+    # what would be held comes in all the same where another key of its source leads its meaning
+    waiting = found.where(held & F.col("past").isNull()).groupBy(*KEY, "semantic_key").agg(F.min(at).alias("at"), F.first("source_type").alias("source_type"), F.first("own_id").alias("own_id"))
+    early = waiting.join(leaders, "semantic_key").where((F.col("lead.place.s") == F.col("source_id")) & (F.col("lead.own_id") != F.col("own_id")))
+    early = early.select(*KEY, place.alias("place"), "own_id", "at", F.lit("created").alias("outcome"), F.col("own_id").alias("owner"))
+    fields = F.struct("place", "own_id", "at", "outcome", "owner")
+    decided = session.written(decided.unionByName(early).groupBy(*KEY).agg(F.min_by(fields, "at").alias("e")).select(*KEY, "e.*"), "entries")
+    # of several keys that take one record over the strongest gets it: those of its own source make records, others repeat it
+    winners = decided.where("outcome = 'updated'").groupBy(F.col("owner").alias("record")).agg(F.min(F.struct("place", "source_key")).alias("won"))
+    both = decided.join(winners, F.when(F.col("outcome") == "updated", F.col("owner")) == F.col("record"), "left")
+    lost = F.coalesce(F.col("won") != F.struct("place", "source_key"), F.lit(False))
+    again = lost & (F.col("won.place.s") == F.col("source_id"))
+    settled = both.select(*KEY, F.struct("at", F.when(again, "created").when(lost, "duplicate").otherwise(F.col("outcome")).alias("outcome"), F.when(again, F.col("own_id")).otherwise(F.col("owner")).alias("owner")).alias("entry"))
+    # a stronger source takes a record over before its weaker owner's own candidates come
+    nowhere = F.lit(None).cast(decided.schema["at"].dataType)
+    taken = stored.join(winners, stored["content_id"] == winners["record"]).select(*KEY, F.struct(nowhere.alias("at"), F.lit("duplicate").alias("outcome"), F.col("record").alias("owner")).alias("entry"))
+    return settled.unionByName(taken)
+
+
 def outcomes(candidates: DataFrame, stored: DataFrame | None = None, reported: DataFrame | None = None) -> DataFrame:
-    """Candidates (source_id, source_type, source_key, semantic_key, content_hash, decision, number) with ``outcome``:
-    created, updated, unchanged, duplicate, review-held or rejected, and ``owner`` (content id of the fact).
+    """Every candidate (source_id, source_type, source_key, semantic_key, content_hash, decision, number) with ``outcome``:
+    created, updated, unchanged, duplicate, review-held or rejected, and ``owner`` (content id of the fact, null if rejected).
 
     ``decision`` is PUBLISHED, PENDING_REVIEW or null (invalid). ``stored`` has source_id, source_key, source_type,
     semantic_key, content_hash, status, content_id; ``reported`` is provenance (content_id, source_id, source_key).
 
-    The first candidate of a meaning that may own it, by the order, makes those of other sources after it duplicates. Only
-    the first of several keys of that source supersedes a stored record; the others are created.
+    The candidates of a key are versions of one announcement, in the order of their numbers: the first valid one brings the
+    key in, each later one is held against what the record says by then. A published record is only changed by what may be
+    published, so what it says is its last such version, or its last version at all while there is none; invalid candidates
+    change nothing. A key that came in as a duplicate stays one. All sources see the store as it was before the batch. The
+    first key of a meaning that may own it, by the order, makes those of other sources after it duplicates; only the first
+    of several keys of that source supersedes a stored record, the others are created.
     """
-    rows = last_of_key(candidates).withColumn("own_id", content_id(F.col("source_id"), F.col("source_key")))
-    record = "struct<source_type:string,status:string,content_hash:string,content_id:string>"
-    if stored is None:
-        found = rows.withColumns({x: F.lit(None).cast(record) for x in ("own", "past", "twin")})
-    else:
-        kept = F.struct("source_type", "status", "content_hash", "content_id")
-        own = stored.select("source_id", "source_key", kept.alias("own"))
-        found = rows.join(own, ["source_id", "source_key"], "left")
-        if reported is None:
-            found = found.withColumn("past", F.lit(None).cast(record))
-        else:
-            past = reported.select("content_id", "source_id", "source_key").join(stored.select(F.col("source_id").alias("o"), "content_id", F.struct(M.authority(F.col("source_type")).alias("a"), kept.alias("r")).alias("x")), "content_id").where(F.col("o") != F.col("source_id"))
-            found = found.join(past.groupBy("source_id", "source_key").agg(F.min("x").alias("x")).select("source_id", "source_key", F.col("x.r").alias("past")), ["source_id", "source_key"], "left")
-        t = twins(rows, stored).select("source_id", "semantic_key", F.when(F.col("t").isNotNull(), F.struct("t.source_type", "t.status", F.lit(None).cast("string").alias("content_hash"), "t.content_id")).alias("twin"))
-        found = found.join(t, ["source_id", "semantic_key"], "left")
-    valid, own, past = F.col("decision").isNotNull(), F.col("own").isNotNull(), F.col("past").isNotNull()
-    free = valid & ~own & ~past
-    source = F.struct(M.authority(F.col("source_type")).alias("a"), F.col("source_id").alias("s"))
-    may_own = free & (F.col("twin").isNull() | stronger(F.col("source_type"), F.col("twin.source_type")))
-    order = W.partitionBy("semantic_key", "free").orderBy(source, "source_key", "number")
-    placed = found.withColumns({"free": free, "source": source, "may_own": may_own}).withColumns({"place": F.row_number().over(W.partitionBy("semantic_key", "free", "may_own").orderBy("source", "source_key", "number")), "first": F.first(F.when(F.col("may_own"), F.struct("source", "own_id")), ignorenulls=True).over(order)})
-    after = F.col("free") & (F.col("first.source.s") != F.col("source_id"))
-    leads = F.col("free") & F.col("may_own") & ((F.col("place") == 1) | F.col("first").isNull())
-    target = F.coalesce(F.col("past"), F.when(F.col("free") & (~F.col("may_own") | leads), F.col("twin")))
-    held = (F.col("decision") == "PENDING_REVIEW")
+    valid, published = F.col("decision").isNotNull(), F.col("decision") == "PUBLISHED"
+    rows = candidates.withColumn("own_id", content_id(F.col("source_id"), F.col("source_key")))
+    over = stronger(F.col("source_type"), F.col("target.source_type")) & (F.col("target.status") == "PUBLISHED")
+    # several steps read what each candidate found; it is computed once
+    found = session.written(_found(rows, stored, reported).withColumn("held", F.coalesce(valid & F.col("own").isNull() & over & ~published, F.lit(False))), "found")
+    all_ = found.join(_entries(found, stored), KEY, "left")
+    own, in_ = F.col("own").isNotNull(), F.coalesce(F.struct(*ORDER) >= F.col("entry.at"), F.lit(False))
+    counts = valid & (own | in_)
+    before = W.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    said = lambda hash_, status: F.struct(hash_.alias("hash"), status.alias("status"))
+    stands = said(F.col("own.content_hash"), F.col("own.status"))
+    last_published = F.coalesce(F.last(F.when(counts & published, said(F.col("content_hash"), F.col("decision"))), ignorenulls=True).over(before), F.when(F.col("own.status") == "PUBLISHED", stands))
+    last = F.coalesce(F.last(F.when(counts, said(F.col("content_hash"), F.col("decision"))), ignorenulls=True).over(before), F.when(own, stands))
+    repeats = F.coalesce((F.col("entry.outcome") == "duplicate") & (own | in_), F.lit(False))
+    state = F.col("state")
     outcome = (
         F.when(~valid, "rejected")
-        .when(own & (F.col("own.content_hash") == F.col("content_hash")) & (F.col("own.status") == F.col("decision")), "unchanged")
-        .when(own & (F.col("own.status") == "PUBLISHED") & held, "review-held")
-        .when(own, "updated")
-        .when(after, "duplicate")
-        .when(F.col("target").isNull(), "created")
-        .when(~stronger(F.col("source_type"), F.col("target.source_type")), "duplicate")
-        .when((F.col("target.status") == "PUBLISHED") & held, "review-held")
+        .when(repeats, "duplicate")
+        .when(~own & ~in_, "review-held")
+        .when(state.isNull(), F.col("entry.outcome"))
+        .when(state["hash"].eqNullSafe(F.col("content_hash")) & (state["status"] == F.col("decision")), "unchanged")
+        .when((state["status"] == "PUBLISHED") & ~published, "review-held")
         .otherwise("updated")
     )
-    led = F.when(after, F.col("first.own_id"))
-    owner = F.when(valid, F.coalesce("own.content_id", led, "target.content_id", "own_id"))
-    scratch = ("own", "past", "twin", "free", "source", "may_own", "place", "first", "target", "own_id")
-    decided = placed.withColumn("target", target).withColumn("outcome", outcome).withColumn("owner", owner)
-    if stored is not None:
-        # a stronger source takes a record over before its weaker owner's own candidate comes
-        taken = decided.where(~own & (F.col("outcome") == "updated")).select(F.col("owner").alias("record")).distinct().withColumn("lost", F.lit(True))
-        decided = decided.join(taken, decided["own.content_id"] == taken["record"], "left").withColumn("outcome", F.when(F.col("lost") & valid, "duplicate").otherwise(F.col("outcome"))).drop("record", "lost")
-    return decided.drop(*scratch)
+    owner = F.when(valid, F.when(~own & ~in_, F.col("target.content_id")).otherwise(F.coalesce("entry.owner", "own.content_id")))
+    return all_.withColumn("state", F.coalesce(last_published, last)).withColumns({"outcome": outcome, "owner": owner}).drop("own", "past", "target", "held", "entry", "state", "own_id")
 
 
 def merged(stored: DataFrame, decided: DataFrame) -> DataFrame:

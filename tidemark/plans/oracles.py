@@ -151,38 +151,59 @@ full_ AS (
 )"""
 
 
-def _batch(name: str, where: str) -> str:
-    """A batch into an empty store."""
+def _batch(name: str, where: str, stored: str = "") -> str:
+    """A batch, candidate by candidate of each key, into a store (tables ``stored`` and ``prov``) or an empty one."""
+    own = past = twin = "NULL"
+    joins = ""
+    if stored:
+        joins = f"""
+  LEFT JOIN stored o ON d.source_id = o.source_id AND d.source_key = o.source_key
+  LEFT JOIN (SELECT p.source_id, p.source_key, arg_min(s, (s.authority, s.id)) AS past FROM prov p JOIN stored s ON p.id = s.id AND p.source_id <> s.source_id GROUP BY ALL) h ON d.source_id = h.source_id AND d.source_key = h.source_key
+  LEFT JOIN (SELECT a.source_id, a.semantic_key, arg_min(s, (s.authority, s.id)) AS twin FROM (SELECT DISTINCT source_id, semantic_key FROM decided) a JOIN stored s ON a.semantic_key = s.semantic_key AND a.source_id <> s.source_id GROUP BY ALL) w ON d.source_id = w.source_id AND d.semantic_key = w.semantic_key"""
+        own, past, twin = "o.id", "past", "twin"
+    target = f"coalesce({past}, {twin})" if stored else "NULL"
+    field = lambda f: f"({target}).{f}" if stored else "NULL"
+    step = """CASE WHEN c.d IS NULL THEN 'rejected' WHEN e_out = 'duplicate' AND (o_id IS NOT NULL OR c.n >= e_n) THEN 'duplicate'
+      WHEN s.d IS NULL AND (e_n IS NULL OR c.n < e_n) THEN 'review-held' WHEN s.d IS NULL THEN e_out
+      WHEN s.h = c.h AND s.d = c.d THEN 'unchanged' WHEN s.d = 'PUBLISHED' AND c.d = 'PENDING_REVIEW' THEN 'review-held' ELSE 'updated' END"""
     return f"""
-{name}_last AS (SELECT * FROM decided WHERE {where} QUALIFY row_number() OVER (PARTITION BY source_id, source_key ORDER BY number DESC) = 1),
-{name}_first AS (SELECT semantic_key, arg_min(source_id, (authority, source_id, source_key, number)) AS f_source, arg_min(own_id, (authority, source_id, source_key, number)) AS f_id FROM {name}_last WHERE decision IS NOT NULL GROUP BY 1),
-{name}_out AS (SELECT l.*, CASE WHEN decision IS NULL THEN 'rejected' WHEN f_source <> source_id THEN 'duplicate' ELSE 'created' END AS outcome,
-  CASE WHEN decision IS NOT NULL THEN CASE WHEN f_source <> source_id THEN f_id ELSE own_id END END AS owner FROM {name}_last l LEFT JOIN {name}_first USING (semantic_key))"""
+{name}_in AS (SELECT d.*, {own}::VARCHAR AS o_id, {'o.content_hash' if stored else 'NULL'}::VARCHAR AS o_hash, {'o.status' if stored else 'NULL'}::VARCHAR AS o_status, {past} IS NULL AS free,
+    {field('id')}::VARCHAR AS g_id, {field('authority')}::BIGINT AS g_authority, {field('status')}::VARCHAR AS g_status
+  FROM decided d {joins} WHERE {where}),
+{name}_first AS (SELECT * FROM {name}_in WHERE decision IS NOT NULL AND o_id IS NULL AND NOT coalesce(authority < g_authority AND g_status = 'PUBLISHED' AND decision = 'PENDING_REVIEW', false)
+  QUALIFY row_number() OVER (PARTITION BY source_id, source_key ORDER BY number) = 1),
+{name}_lead AS (SELECT semantic_key, min((authority, source_id)) AS l_place, arg_min(source_id, (authority, source_id)) AS l_source, arg_min(own_id, (authority, source_id, source_key)) AS l_id, arg_min(coalesce(g_id, own_id), (authority, source_id, source_key)) AS l_record
+  FROM {name}_first WHERE free AND (g_id IS NULL OR authority < g_authority) GROUP BY 1),
+{name}_early AS (SELECT i.source_id, i.source_key, min(number) AS n, any_value(authority) AS h_authority, any_value(own_id) AS h_id FROM {name}_in i JOIN {name}_lead l ON i.semantic_key = l.semantic_key
+  WHERE decision = 'PENDING_REVIEW' AND o_id IS NULL AND free AND g_status = 'PUBLISHED' AND authority < g_authority AND l_source = i.source_id AND l_id <> own_id GROUP BY 1, 2),
+{name}_usual AS (SELECT source_id, source_key, authority, number, own_id,
+    CASE WHEN free AND l_place < (authority, source_id) THEN 'duplicate' WHEN g_id IS NULL THEN 'created' WHEN authority >= g_authority THEN 'duplicate' WHEN NOT free OR l_id = own_id THEN 'updated' ELSE 'created' END AS e_out,
+    CASE WHEN free AND l_place < (authority, source_id) THEN l_record WHEN g_id IS NULL THEN own_id WHEN authority >= g_authority OR NOT free OR l_id = own_id THEN g_id ELSE own_id END AS e_owner
+  FROM {name}_first LEFT JOIN {name}_lead USING (semantic_key)),
+{name}_came AS (SELECT source_id, source_key, coalesce(authority, h_authority) AS authority, least(number, n) AS number, coalesce(own_id, h_id) AS own_id,
+    CASE WHEN n < number OR number IS NULL THEN 'created' ELSE e_out END AS e_out, CASE WHEN n < number OR number IS NULL THEN h_id ELSE e_owner END AS e_owner FROM {name}_usual FULL JOIN {name}_early USING (source_id, source_key)),
+{name}_won AS (SELECT e_owner AS record, arg_min(source_id, (authority, source_id, source_key)) AS w_source, arg_min(source_key, (authority, source_id, source_key)) AS w_key FROM {name}_came WHERE e_out = 'updated' GROUP BY 1),
+{name}_entry AS (SELECT source_id, source_key, number AS e_n, CASE WHEN e_out <> 'updated' OR (w_source, w_key) = (source_id, source_key) THEN e_out WHEN w_source = source_id THEN 'created' ELSE 'duplicate' END AS e_out,
+    CASE WHEN e_out = 'updated' AND w_source = source_id AND w_key <> source_key THEN own_id ELSE e_owner END AS e_owner
+  FROM {name}_came LEFT JOIN {name}_won ON e_owner = record
+  {f"UNION ALL SELECT source_id, source_key, NULL, 'duplicate', record FROM stored JOIN {name}_won ON id = record" if stored else ""}),
+{name}_keys AS (SELECT source_id, source_key, o_id, any_value(o_hash) AS o_hash, any_value(o_status) AS o_status, list({{'n': number, 'h': content_hash, 'd': decision, 'g': g_id, 'out': []::VARCHAR[]}} ORDER BY number) AS said FROM {name}_in GROUP BY 1, 2, 3),
+{name}_folded AS (SELECT source_id, source_key, o_id, e_n, e_owner, said, list_reduce(list_prepend({{'n': NULL, 'h': o_hash, 'd': o_status, 'g': NULL, 'out': []::VARCHAR[]}}, said), lambda s, c: {{
+    'n': c.n, 'h': CASE WHEN ({step}) IN ('created', 'updated') THEN c.h ELSE s.h END, 'd': CASE WHEN ({step}) IN ('created', 'updated') THEN c.d ELSE s.d END, 'g': c.g, 'out': list_append(s.out, {step})}}).out AS outs
+  FROM {name}_keys LEFT JOIN {name}_entry USING (source_id, source_key)),
+{name}_one AS (SELECT o_id, e_n, e_owner, unnest(said) AS c, unnest(outs) AS outcome FROM {name}_folded),
+{name}_out AS (SELECT d.*, outcome, CASE WHEN decision IS NOT NULL THEN CASE WHEN o_id IS NULL AND (e_n IS NULL OR number < e_n) THEN c.g ELSE coalesce(e_owner, o_id) END END AS owner FROM {name}_one JOIN decided d ON c.n = number),
+{name}_won_last AS (SELECT owner AS id, arg_min({{'source_id': source_id, 'source_key': source_key, 'authority': authority, 'semantic_key': semantic_key, 'content_hash': content_hash, 'status': decision}}, (authority, -number)) AS w FROM {name}_out WHERE outcome IN ('created', 'updated') GROUP BY 1),
+{name}_named AS (SELECT owner AS id, source_id, source_key, bool_or(outcome <> 'duplicate') AS owns FROM {name}_out WHERE outcome IN ('created', 'updated', 'unchanged', 'duplicate') GROUP BY ALL)"""
 
 
 #: A batch before now into an empty store, then the rest into that store.
 TWO_BATCHES = f"""{_batch("a", f"s < {NOW}")},
-stored AS (SELECT own_id AS id, source_id, source_key, authority, semantic_key, content_hash, decision AS status FROM a_out WHERE outcome = 'created'),
-prov AS (SELECT owner AS id, source_id, source_key, outcome = 'created' AS is_primary FROM a_out WHERE outcome IN ('created', 'duplicate')),
-b_last AS (SELECT * FROM decided WHERE s >= {NOW} QUALIFY row_number() OVER (PARTITION BY source_id, source_key ORDER BY number DESC) = 1),
-past AS (SELECT p.source_id, p.source_key, s.id, s.authority, s.status FROM prov p JOIN stored s ON p.id = s.id AND p.source_id <> s.source_id),
-twin AS (SELECT b.number, s.id, s.authority, s.status FROM b_last b JOIN stored s ON b.semantic_key = s.semantic_key AND b.source_id <> s.source_id QUALIFY row_number() OVER (PARTITION BY b.number ORDER BY s.authority, s.id) = 1),
-found AS (SELECT b.*, o.id AS o_id, o.content_hash AS o_hash, o.status AS o_status, p.id AS p_id, p.authority AS p_authority, p.status AS p_status, t.id AS t_id, t.authority AS t_authority, t.status AS t_status,
-    b.decision IS NOT NULL AND o.id IS NULL AND p.id IS NULL AS free, b.decision IS NOT NULL AND o.id IS NULL AND p.id IS NULL AND (t.id IS NULL OR b.authority < t.authority) AS may_own
-  FROM b_last b LEFT JOIN stored o USING (source_id, source_key) LEFT JOIN past p USING (source_id, source_key) LEFT JOIN twin t ON b.number = t.number),
-led AS (SELECT *, first_value(CASE WHEN may_own THEN source_id END IGNORE NULLS) OVER w AS f_source, first_value(CASE WHEN may_own THEN own_id END IGNORE NULLS) OVER w AS f_id,
-    row_number() OVER (PARTITION BY semantic_key, free, may_own ORDER BY authority, source_id, source_key, number) AS place
-  FROM found WINDOW w AS (PARTITION BY semantic_key, free ORDER BY authority, source_id, source_key, number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-aimed AS (SELECT *, CASE WHEN p_id IS NOT NULL THEN p_id WHEN free AND (NOT may_own OR place = 1) THEN t_id END AS g_id, CASE WHEN p_id IS NOT NULL THEN p_authority ELSE t_authority END AS g_authority, CASE WHEN p_id IS NOT NULL THEN p_status ELSE t_status END AS g_status FROM led),
-b_one AS (SELECT *, CASE WHEN decision IS NULL THEN 'rejected' WHEN o_hash = content_hash AND o_status = decision THEN 'unchanged' WHEN o_status = 'PUBLISHED' AND decision = 'PENDING_REVIEW' THEN 'review-held' WHEN o_id IS NOT NULL THEN 'updated'
-    WHEN free AND f_source <> source_id THEN 'duplicate' WHEN g_id IS NULL THEN 'created' WHEN authority >= g_authority THEN 'duplicate' WHEN g_status = 'PUBLISHED' AND decision = 'PENDING_REVIEW' THEN 'review-held' ELSE 'updated' END AS first_outcome,
-    CASE WHEN decision IS NOT NULL THEN coalesce(o_id, CASE WHEN free AND f_source <> source_id THEN f_id END, g_id, own_id) END AS owner FROM aimed),
-taken AS (SELECT DISTINCT owner AS k_id FROM b_one WHERE o_id IS NULL AND first_outcome = 'updated'),
-b_out AS (SELECT b.*, CASE WHEN k_id IS NOT NULL AND decision IS NOT NULL THEN 'duplicate' ELSE first_outcome END AS outcome FROM b_one b LEFT JOIN taken ON o_id = k_id),
-won AS (SELECT owner AS id, arg_min({{'source_id': source_id, 'status': decision}}, (authority, -number)) AS w FROM b_out WHERE outcome IN ('created', 'updated') GROUP BY 1),
-records AS (SELECT coalesce(w.source_id, s.source_id) AS source_id, coalesce(w.status, s.status) AS status FROM stored s FULL JOIN won USING (id)),
-named AS (SELECT owner AS id, source_id, source_key, outcome <> 'duplicate' AS owns FROM b_out WHERE outcome IN ('created', 'updated', 'unchanged', 'duplicate')),
-roles AS (SELECT source_id, CASE WHEN n.owns THEN 'PRIMARY' WHEN id IN (SELECT id FROM named WHERE owns) THEN 'SUPPORTING' WHEN p.is_primary THEN 'PRIMARY' ELSE 'SUPPORTING' END AS role FROM prov p FULL JOIN named n USING (id, source_id, source_key))"""
+stored AS (SELECT id, w.* FROM a_won_last),
+prov AS (SELECT id, source_id, source_key, owns AS is_primary FROM a_named),
+{_batch("b", f"(s < {NOW}) IS NOT TRUE", "stored")},
+records AS (SELECT coalesce(w.source_id, s.source_id) AS source_id, coalesce(w.status, s.status) AS status FROM stored s FULL JOIN b_won_last USING (id)),
+roles AS (SELECT source_id, CASE WHEN n.owns THEN 'PRIMARY' WHEN id IN (SELECT id FROM b_named WHERE owns) THEN 'SUPPORTING' WHEN p.is_primary THEN 'PRIMARY' ELSE 'SUPPORTING' END AS role FROM prov p FULL JOIN b_named n USING (id, source_id, source_key))"""
 
 
 ISSUES = f"""
@@ -351,7 +372,7 @@ SELECT id, clock, d_day, CASE WHEN moment <= {NOW} THEN NULL WHEN s < 86400 THEN
   CASE WHEN ago_s < 60 THEN 'just now' WHEN ago_s < 3600 THEN (ago_s // 60) || 'm ago' WHEN ago_s < 86400 THEN (ago_s // 3600) || 'h ago' ELSE (ago_s // 86400) || 'd ago' END AS ago,
   ['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][isodow(moment + INTERVAL 9 HOUR)] AS weekday, coalesce(strftime(start_at, '%Y-%m-%d'), 'na') AS utc_day FROM y""",
     "last_updated": f"WITH {ITEMS} SELECT game_id, max(updated_at) AS last_updated_at FROM pub GROUP BY game_id",
-    "run_report": f"""WITH {CHECKED}, {_batch("a", "true")}, c AS (SELECT source_id, count(*) AS discovered, count(*) FILTER (outcome = 'created') AS created, 0::BIGINT AS updated, 0::BIGINT AS unchanged, count(*) FILTER (outcome = 'duplicate') AS duplicate, 0::BIGINT AS review_held,
+    "run_report": f"""WITH {CHECKED}, {_batch("a", "true")}, c AS (SELECT source_id, count(*) AS discovered, count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'duplicate') AS duplicate, count(*) FILTER (outcome = 'review-held') AS review_held,
   count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (level = 0) AS valid, count(*) FILTER (level = 1) AS warning, count(*) FILTER (level = 2) AS review, count(*) FILTER (level = 3) AS invalid FROM a_out GROUP BY source_id)
 SELECT *, CASE WHEN rejected = 0 THEN 'SUCCEEDED' WHEN created + duplicate > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS run_status FROM c""",
     "home_highlights": f"""{DIGEST}, {PLACED} SELECT section, place, id FROM placed WHERE kind = 'item' AND section NOT IN ('resets','upcoming')

@@ -173,9 +173,10 @@ def _decided(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates of the time before now, and those after."""
+    """Candidates of the time before now, and those after or without a time."""
     rows = session.written(_decided(spark, sf), "decided")
-    return rows.where(F.col("seen_at") < now()), rows.where(F.col("seen_at") >= now())
+    early = F.coalesce(F.col("seen_at") < now(), F.lit(False))
+    return rows.where(early), rows.where(~early)
 
 
 def _after_first(first: DataFrame) -> tuple[DataFrame, DataFrame]:
