@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values; the ampersand comes last so that nothing is decoded twice.
+#: Fixed values.
 ENTITIES = (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("middot", "·"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("amp", "&"))
 #: Elements whose content is never shown, and elements that begin and end lines.
 HIDDEN = ("noscript", "script", "style", "svg", "template")
 LINES = ("article", "blockquote", "br", "div", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "ol", "p", "pre", "section", "table", "tr", "ul")
-#: Characters that are no text, and white space at the ends of a line (Java's classes).
-_CONTROLS = r"[\p{Cc}\u200B\uFEFF&&[^\t\n\r]]"
+#: Characters that are no text. And white space at the ends of a line (Java's classes).
+_CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\u200B\uFEFF]"
 _ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -22,30 +22,34 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _numeric_decoded(pieces: Column) -> Column:
-    """Pieces of a text that was split at ``&#`` before digits and a semicolon, joined with their characters."""
+#: An entity: a name, or a number in decimal or hexadecimal digits.
+_ENTITY = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z]+);"
 
-    def one(piece: Column) -> Column:
-        body, rest = F.substring_index(piece, ";", 1), F.substring(piece, F.instr(piece, ";") + 1, F.length(piece))
-        hexa = F.lower(F.substring(body, 1, 1)) == "x"
-        code = F.when(hexa, F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).try_cast("bigint")
-        bytes_ = F.unhex(F.lpad(F.hex(code), 8, "0"))
-        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(good, F.concat(F.decode(bytes_, "UTF-32"), rest)).otherwise(F.concat(F.lit("&#"), piece))
 
-    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))
+def _interleaved(pieces: Column, between: Column) -> Column:
+    """Pieces of a text that was split, joined with what stands between them."""
+    return F.array_join(F.flatten(F.transform(F.arrays_zip(pieces.alias("piece"), between.alias("mark")), lambda x: F.array(x["piece"], F.coalesce(x["mark"], F.lit(""))))), "")
+
+
+def _entity(found: Column) -> Column:
+    """The character of an entity; one that names none stays."""
+    body = F.substring(found, 2, F.length(found) - 2)
+    hexa = F.lower(F.substring(body, 2, 1)) == "x"
+    digits = F.ltrim(F.substring(body, F.when(hexa, 3).otherwise(2), F.length(body)), F.lit("0"))
+    code = F.when(F.length(digits) <= 8, F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"))
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    number = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES for x in pair])
+    return F.coalesce(F.when(body.startswith("#"), number).otherwise(F.try_element_at(names, F.lower(body))), found)
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and numeric entities; unknown ones stay."""
+    """Named (in either case) and numeric entities, in one pass, so that nothing is decoded twice; unknown ones stay."""
 
     def decoded(t: Column) -> Column:
-        numeric = F.when(F.contains(t, F.lit("&#")), once(F.split(t, r"&#(?=[xX]?[0-9a-fA-F]{1,8};)"), _numeric_decoded)).otherwise(t)
-        for name, char in ENTITIES:
-            numeric = F.replace(numeric, F.lit(f"&{name};"), F.lit(char))
-        return F.when(F.contains(t, F.lit("&")), numeric).otherwise(t)
+        return _interleaved(F.split(t, _ENTITY, -1), F.transform(F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0)), _entity))
 
-    return once(text, decoded)
+    return once(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def _tidy_lines(text: Column) -> Column:
@@ -64,7 +68,7 @@ def _shown(text: Column, hidden: tuple[str, ...], lines: tuple[str, ...]) -> Col
 
     def joined(t: Column) -> Column:
         marks = F.transform(F.regexp_extract_all(t, F.lit(tag), F.lit(0)), mark)
-        return F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(t, tag, -1).alias("text"), marks.alias("mark")), lambda x: F.array(x["text"], F.coalesce(x["mark"], F.lit(""))))), "")
+        return _interleaved(F.split(t, tag, -1), marks)
 
     return once(text, lambda t: F.when(F.contains(t, F.lit("<")), joined(t)).otherwise(t))
 
@@ -103,7 +107,11 @@ def for_match(text: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    """The host of a URL in lower case, as browsers read it: a backslash ends it like a slash, what stands before the last
+    ``@`` is a name, a port may follow. Empty for what is no URL or has no proper host."""
+    part = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*:[/\\]{2}([^/\\?#]*)", 1)
+    named = F.regexp_extract(F.substring_index(part, "@", -1), r"^(\[[0-9a-fA-F:.]+\]|[\p{L}\p{N}._~-]+)(?::\d*)?$", 1)
+    return F.lower(named)
 
 
 def host_allowed(url: Column, hosts: Column) -> Column:

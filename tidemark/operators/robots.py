@@ -45,7 +45,7 @@ def rules(files: DataFrame) -> DataFrame:
 def matches(path: Column, pattern: Column) -> Column:
     """Whether a path begins with a pattern; ``*`` stands for anything, ``$`` at its end for the path's end."""
     bare = F.regexp_replace(pattern, r"\$$", "")
-    quoted = F.array_join(F.transform(F.split(bare, r"\*", -1), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), ".*")
+    quoted = F.array_join(F.transform(F.split(bare, r"\*", -1), lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), ".*")
     return F.regexp_like(path, F.concat(F.lit("^(?s)"), quoted, F.when(pattern.endswith("$"), "$").otherwise("")))
 
 

@@ -345,7 +345,7 @@ SELECT number, CASE WHEN status = 'INVALID' THEN NULL WHEN status = 'REVIEW' THE
 SELECT l_returnflag, 'PATCH_VALUE_UNCHANGED' AS code, count(*) AS issues FROM v WHERE a = b GROUP BY ALL
 UNION ALL SELECT l_returnflag, 'PATCH_VALUE_HALF_PAIR', count(*) FROM v WHERE (a IS NULL) <> (b IS NULL) AND k % 11 <> 0 GROUP BY ALL
 UNION ALL SELECT l_returnflag, 'PATCH_CHANGE_EMPTY', count(*) FROM v WHERE a IS NULL AND b IS NULL AND k % 3 = 0 AND k % 2 <> 0 GROUP BY ALL""",
-    "host_allowlist": """WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host FROM pages)
+    "host_allowlist": r"""WITH h AS (SELECT page_id, lower(regexp_extract(replace(url, chr(92), '/'), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9a-fA-F:.]+\]|[^/@:?#\s%]+)(?::[0-9]*)?(?:[/?#]|$)', 1)) AS host FROM pages)
 SELECT page_id, host, host <> '' AND (host IN ('example.net','example.org') OR host LIKE '%.example.net' OR host LIKE '%.example.org') AS allowed FROM h""",
     "page_text": r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<noscript\b[^>]*>.*?</noscript\s*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<svg\b[^>]*>.*?</svg\s*>|<template\b[^>]*>.*?</template\s*>', ' ', 'g'),
     '(?i)</?(article|blockquote|br|div|footer|h[1-6]|header|li|ol|p|pre|section|table|tr|ul)([^a-z0-9>][^>]*)?>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages),

@@ -80,7 +80,7 @@ def hidden_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    raw = D7.raw_documents(spark, sf).withColumn("raw_text", F.substring("raw_text", 1, 10))
+    raw = D7.raw_documents(spark, sf)
     first = raw.where(F.minute("fetched_at") == 0).groupBy(*ST.RAW_KEY).agg(F.min("raw_text").alias("raw_text"), F.min("fetched_at").alias("first_seen"), F.min("fetched_at").alias("last_checked"))
     return first.where(F.col("first_seen") < S.instant("2024-01-20 00:00:00")), raw.where(F.col("fetched_at") >= S.instant("2024-01-10 00:00:00"))
 
