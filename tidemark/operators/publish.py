@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import model as M
-from ..functions.identity import content_id, sha256
+from ..functions.identity import content_id, sha256, slug_with_suffix
 
 
 def stronger(a: Column, b: Column) -> Column:
@@ -203,8 +203,8 @@ def content_hash(*parts: Column) -> Column:
 
 
 def unique_slugs(content: DataFrame, slug: str = "slug", key: str = "id") -> DataFrame:
-    """Slugs made unique: the first row of a slug keeps it, the others get a suffix from their key."""
-    from ..functions.identity import slug_with_suffix
-
-    w = W.partitionBy(slug).orderBy(key)
-    return content.withColumn(slug, F.when(F.row_number().over(w) == 1, F.col(slug)).otherwise(slug_with_suffix(F.col(slug), F.col(key))))
+    """Slugs made unique: the first row of a slug keeps it, the others get a suffix from their key. The first is a minimum, so
+    a slug that most rows have is no task's own."""
+    firsts = content.groupBy(slug).agg(F.min(key).alias("_first"))
+    rows = content.join(firsts.withColumnRenamed(slug, "_slug"), F.col(slug).eqNullSafe(F.col("_slug")))
+    return rows.withColumn(slug, F.when(F.col(key).eqNullSafe(F.col("_first")), F.col(slug)).otherwise(slug_with_suffix(F.col(slug), F.col(key)))).drop("_slug", "_first")

@@ -133,6 +133,21 @@ SELECT event_id AS number, event_id % 7 > 2 AS retry, event_id % 7 IN (1, 4, 6)
   least(30000, 500 * 2 ** (event_id % 9))::BIGINT AS ceiling_ms
 FROM events""",
     "request_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) AS recent FROM events",
+    "window_matches": f"""
+WITH {ITEMS}, w AS (SELECT s_suppkey AS window_id, TIMESTAMP '2024-01-01 00:30:00' + to_hours(s_suppkey * 7919 % 720) AS a, TIMESTAMP '2024-01-01 00:30:00' + to_hours(s_suppkey * 7919 % 720 + s_suppkey % 48) AS b FROM supplier)
+SELECT window_id, count(*) AS items, min(number) AS first_item FROM w JOIN pub ON
+  CASE WHEN type IN ('PATCH', 'UPDATE', 'ANNOUNCEMENT') OR (start_at IS NULL AND end_at IS NULL) THEN coalesce(eff BETWEEN a AND b, false) ELSE coalesce(start_at <= b, true) AND coalesce(end_at >= a, true) AND coalesce(start_at <= end_at, true) END
+GROUP BY window_id""",
+    "run_admissions": """
+WITH RECURSIVE r AS (
+  SELECT (user_id % 20)::VARCHAR AS adapter_id, event_id::VARCHAR AS run_id, ts AS t, CASE WHEN event_id % 7 <> 0 THEN ts + to_minutes((floor(value * 7)::BIGINT % 600 + 1)) END AS f FROM events
+), chain AS (
+  SELECT adapter_id, unnest(arg_min({'run_id': run_id, 't': t, 'f': f, 'released': NULL::VARCHAR}, (t, run_id))) FROM r GROUP BY adapter_id
+  UNION ALL
+  SELECT adapter_id, unnest(arg_min({'run_id': n.run_id, 't': n.t, 'f': n.f, 'released': CASE WHEN n.t - c.t > INTERVAL 6 HOUR AND (c.f IS NULL OR c.f > n.t) THEN c.run_id END}, (n.t, n.run_id)))
+  FROM chain c JOIN r n USING (adapter_id) WHERE (n.t, n.run_id) > (c.t, c.run_id) AND (c.f <= n.t OR n.t - c.t > INTERVAL 6 HOUR) GROUP BY adapter_id
+)
+SELECT r.adapter_id, r.run_id, c.run_id IS NOT NULL AS admitted, c.released FROM r LEFT JOIN chain c USING (adapter_id, run_id)""",
     "stale_runs": f"SELECT CASE WHEN event_id % 3 <> 0 THEN 'SUCCEEDED' WHEN {NOW} - ts > INTERVAL 30 MINUTE THEN 'ABANDONED' ELSE 'RUNNING' END AS status, count(*) AS runs FROM events GROUP BY 1",
     "item_badges": f"""
 WITH {ITEMS}, b AS (

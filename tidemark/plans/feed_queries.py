@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,12 +14,14 @@ from ..functions import state as S
 from ..functions import text as X
 from ..operators import content as C
 from ..operators import diff as D
+from ..operators import intervals as V
 from ..operators import links as L
 from ..operators import parse as K
 from ..operators import registry as G
 from ..operators import robots as RB
+from ..operators import runs as RN
 from ..sources import feeds
-from ..streaming import ingest
+from ..streaming import ingest, limiter
 from . import driver_views as D7
 from . import feed_views as FV
 from . import views
@@ -209,6 +213,55 @@ def request_rate(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.requests_within(rows, 86_400).select("event_id", "recent")
 
 
+@query
+def window_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """How many published items touch the window that each viewer looks at, and which is the first."""
+    k = F.col("s_suppkey")
+    first = S.instant("2024-01-01 00:00:00") + F.make_dt_interval(F.lit(0), (k * 7919 % 720).cast("int"), F.lit(30))
+    windows = read(spark, sf, "supplier").select(k.alias("window_id"), first.alias("first"), (first + F.make_dt_interval(F.lit(0), (k % 48).cast("int"))).alias("last"))
+    at = S.effective()
+    span = F.when(S.point_in_time(), F.struct(at.alias("a"), at.alias("b"), at.isNotNull().alias("known"))).otherwise(F.struct(F.col("start_at").alias("a"), F.col("end_at").alias("b"), F.lit(True).alias("known")))
+    items = D7.published(spark, sf).select("id", "number", span.alias("s")).where("s.known").select(F.col("number").alias("id"), F.col("s.a").alias("start_at"), F.col("s.b").alias("end_at"))
+    return V.touching(items, windows).groupBy("window_id").agg(F.count("*").alias("items"), F.min("id").alias("first_item"))
+
+
+@query
+def run_admissions(spark: SparkSession, sf: str) -> DataFrame:
+    """Which runs of each adapter got its lock, and which lock each found stale: users' events as runs of some minutes or
+    hours, some of which never end."""
+    e, minutes = F.col("event_id"), (F.floor(F.col("value") * 7) % 600 + 1).cast("int")
+    finish = F.when(e % 7 != 0, F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+    runs = read(spark, sf, "events").select((F.col("user_id") % 20).cast("string").alias("adapter_id"), e.cast("string").alias("run_id"), F.col("ts").alias("started_at"), finish.alias("finished_at"))
+    return RN.admitted(runs, timedelta(hours=6))
+
+
+def limited_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests and answers of a rate limiter: every fifth event is an answer, of which some ask for a pause."""
+    e = F.col("event_id")
+    rows = read(spark, sf, "events").select(F.concat(F.lit("h"), (F.col("user_id") % 40).cast("string")).alias("host"), e.alias("id"), F.col("ts").alias("at"))
+    n = F.col("id")
+    told = rows.where("id % 5 = 0").select("*", F.when(n % 25 == 0, 429).otherwise(200).alias("status"), F.when(n % 3 == 0, "100").alias("limit"), F.when(n % 10 == 0, "0").otherwise("7").alias("remaining"), F.when(n % 2 == 0, "5400").alias("reset"), F.when(n % 50 == 0, "7200").alias("retry_after"))
+    return limiter.requests(rows.where("id % 5 <> 0")).unionByName(limiter.answers(told))
+
+
+#: What a host takes in the query and its test: two requests an hour, a quarter of an hour apart.
+POLICY = limiter.Policy(2, timedelta(hours=1), timedelta(minutes=15))
+
+
+@query
+def rate_grants(spark: SparkSession, sf: str) -> DataFrame:
+    """When each request may start, out of a stream that takes requests and answers in two batches."""
+    staged, state, out = (session.scratch(spark, f"limiter-{n}") for n in ("in", "state", "out"))
+    events = session.written(limited_events(spark, sf), "limited")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", limiter.PROVIDER)
+    early = F.col("at") < now()
+    for n, rows in enumerate((events.where(early), events.where(~early))):
+        rows.write.parquet(f"{staged}/part={n}")
+        grants = limiter.granted(ingest.files(spark, f"{staged}/*", events.schema, per_batch=1_000_000), POLICY)
+        grants.writeStream.format("parquet").option("path", f"{out}/grants").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/grants")
+
+
 @query
 def stale_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs by status after those that hang are given up."""

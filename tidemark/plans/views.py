@@ -12,6 +12,7 @@ from ..functions import model as M
 from ..functions import recurrence as R
 from ..functions import state as S
 from ..functions import times as T
+from ..operators.places import numbered
 
 
 def _classified(items: DataFrame, of: Column, name: str) -> DataFrame:
@@ -53,11 +54,11 @@ def timeline(items: DataFrame, now: Column, options: M.TimelineOptions = M.Timel
     far = ((F.col("timeline") == "upcoming") & (eff - now > S.span(options.upcoming))) | ((F.col("timeline") == "recent") & (now - closed > S.span(options.past)))
     key = F.when(F.col("timeline") == "current", F.unix_micros(F.col("end_at").cast("timestamp"))).when(F.col("timeline") == "upcoming", F.unix_micros(eff.cast("timestamp"))).otherwise(-F.unix_micros(closed.cast("timestamp")))
     rows = rows.where(~far).withColumn("sort_key", key)
-    place = F.row_number().over(W.partitionBy("timeline", *by).orderBy(F.col("sort_key").asc_nulls_last(), "id"))
+    order = [F.col("sort_key").asc_nulls_last(), F.col("id")]
     recent = F.col("timeline") == "recent"
-    # the limited part is cut per task before it is shuffled
-    short = rows.where(recent).withColumn("place", place).where(F.col("place") <= options.recent)
-    return rows.where(~recent).withColumn("place", place).unionByName(short).drop("sort_key", "upkeep")
+    # the limited part is cut per task before it is shuffled; the rest has few groups and no limit, so no group is a task's own
+    short = rows.where(recent).withColumn("place", F.row_number().over(W.partitionBy("timeline", *by).orderBy(*order))).where(F.col("place") <= options.recent)
+    return numbered(rows.where(~recent), ["timeline", *by], order).unionByName(short).drop("sort_key", "upkeep")
 
 
 def statuses_by_day(items: DataFrame, first: Column, last: Column) -> DataFrame:
