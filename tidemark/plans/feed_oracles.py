@@ -133,6 +133,27 @@ SELECT event_id AS number, event_id % 7 > 2 AS retry, event_id % 7 IN (1, 4, 6)
   least(30000, 500 * 2 ** (event_id % 9))::BIGINT AS ceiling_ms
 FROM events""",
     "request_rate": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '86399.999999 seconds' PRECEDING AND CURRENT ROW) AS recent FROM events",
+    "content_details": f"""
+WITH {ITEMS}, i AS (SELECT *, number % 17 <> 0 AS kept, lower(type) || '-' || id AS slug FROM items),
+lines AS (SELECT l_orderkey AS number, list({{'afterValue': l_linenumber::VARCHAR, 'beforeValue': l_suppkey::VARCHAR, 'changeType': 'ADJUST', 'description': l_linestatus, 'field': CASE WHEN l_linenumber % 2 = 0 THEN 'size' END, 'targetKey': l_partkey::VARCHAR,
+    'targetName': 'part ' || l_partkey, 'targetType': l_returnflag, 'unit': NULL::VARCHAR}} ORDER BY l_linenumber, l_returnflag, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linestatus) AS changes,
+  list({{'name': 'part ' || l_partkey, 'quantity': CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber::DOUBLE END, 'unit': l_linestatus}} ORDER BY l_linenumber, 'part ' || l_partkey, l_linestatus) AS items,
+  list({{'entityKey': l_partkey::VARCHAR, 'name': 'part ' || l_partkey, 'rarity': l_linenumber}} ORDER BY l_linenumber, 'part ' || l_partkey) AS featured FROM lineitem GROUP BY 1),
+slugs AS (SELECT source_type, source_key, slug FROM i),
+d AS (SELECT i.*, l.changes, l.items, l.featured, r.slug AS related, c.slug AS compensation FROM i LEFT JOIN lines l USING (number)
+  LEFT JOIN slugs r ON i.kept AND i.type = 'REWARD' AND i.number % 2 = 1 AND r.source_key = (i.number - 24)::VARCHAR AND r.source_type = i.source_type
+  LEFT JOIN slugs c ON i.kept AND i.type = 'MAINTENANCE' AND c.source_key = (i.number + 6)::VARCHAR AND c.source_type = i.source_type)
+SELECT id, type, CASE type
+  WHEN 'PATCH' THEN json_object('changes', coalesce(changes, []), 'releaseAt', CASE WHEN kept THEN strftime(start_at, '%Y-%m-%dT%H:%M:%S.%gZ') END, 'type', type, 'version', CASE WHEN kept THEN '1.' || number ELSE '' END)
+  WHEN 'EVENT' THEN json_object('eligibility', CASE WHEN kept AND number % 4 = 2 THEN 'all' END, 'eventType', CASE WHEN kept AND number % 3 = 0 THEN 'LOGIN' ELSE 'OTHER' END, 'rewardSummary', CASE WHEN kept THEN title END, 'rewards', coalesce(items, []), 'type', type)
+  WHEN 'REWARD' THEN json_object('howToClaim', CASE WHEN kept AND number % 3 = 0 THEN 'mail' END, 'items', coalesce(items, []), 'relatedSlug', related, 'rewardType', CASE WHEN kept THEN 'LOGIN' ELSE 'OTHER' END, 'type', type)
+  WHEN 'REDEEM_CODE' THEN json_object('code', CASE WHEN kept THEN 'CODE' || number ELSE '' END, 'items', coalesce(items, []), 'region', CASE WHEN kept AND number % 3 = 0 THEN 'KR' END, 'type', type)
+  WHEN 'MAINTENANCE' THEN json_object('affectedServers', CASE WHEN kept AND number % 2 = 1 THEN [game_id, 'all'] ELSE [] END, 'compensationSlug', compensation, 'maintenanceType', CASE WHEN kept AND number % 3 <> 0 THEN 'EMERGENCY' ELSE 'SCHEDULED' END, 'type', type)
+  WHEN 'BANNER' THEN json_object('bannerType', CASE WHEN kept AND number % 3 = 0 THEN 'WEAPON' ELSE 'OTHER' END, 'featured', coalesce(featured, []), 'phase', CASE WHEN kept THEN priority::VARCHAR END, 'type', type)
+  ELSE json_object('type', type) END::VARCHAR AS detail FROM d""",
+    "localized_names": """
+WITH n AS (SELECT l_partkey, arg_max('part ' || l_partkey || ' ' || l_orderkey, l_orderkey) AS value FROM lineitem WHERE l_partkey % 4 = 0 GROUP BY 1), s AS (SELECT * FROM part WHERE p_partkey % 3 <> 0)
+SELECT coalesce(p_partkey, l_partkey)::VARCHAR AS entity_id, coalesce(value, p_name) AS value, CASE WHEN value IS NULL THEN 'HUMAN' ELSE 'SOURCE' END AS origin FROM s FULL JOIN n ON p_partkey = l_partkey""",
     "window_matches": f"""
 WITH {ITEMS}, w AS (SELECT s_suppkey AS window_id, TIMESTAMP '2024-01-01 00:30:00' + to_hours(s_suppkey * 7919 % 720) AS a, TIMESTAMP '2024-01-01 00:30:00' + to_hours(s_suppkey * 7919 % 720 + s_suppkey % 48) AS b FROM supplier)
 SELECT window_id, count(*) AS items, min(number) AS first_item FROM w JOIN pub ON

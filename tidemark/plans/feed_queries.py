@@ -13,6 +13,7 @@ from ..functions import recurrence as R
 from ..functions import state as S
 from ..functions import text as X
 from ..operators import content as C
+from ..operators import details as DT
 from ..operators import diff as D
 from ..operators import intervals as V
 from ..operators import links as L
@@ -130,6 +131,44 @@ def patch_children(spark: SparkSession, sf: str) -> DataFrame:
     return full.select("id", "o_orderstatus", F.size("changes").alias("n_changes"), F.get("changes", F.lit(0))["l_partkey"].alias("first_part"), F.element_at(F.when(F.size("changes") > 0, F.col("changes")), -1)["l_partkey"].alias("last_part"))
 
 
+def detail_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Records, and the tables of their details and children: line items are what their order's record consists of. Every
+    seventeenth record has lost its detail."""
+    i = D7.items(spark, sf).withColumns({"source_id": F.concat(F.lit("src-"), F.col("authority").cast("string")), "slug": F.concat_ws("-", F.lower("type"), "id")})
+    n, kept = F.col("number"), i.where("number % 17 <> 0").withColumn("content_id", F.col("id"))
+    of = lambda kind: kept.where(F.col("type") == kind)
+    line = read(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("content_id"), F.col("l_linenumber").cast("int").alias("position"), "*")
+    part = F.concat(F.lit("part "), F.col("l_partkey").cast("string"))
+    text = lambda c: F.col(c).cast("string")
+    tables = {
+        "patch": of("PATCH").select("content_id", F.concat(F.lit("1."), text("number")).alias("version"), F.col("start_at").alias("release_at")),
+        "event": of("EVENT").select("content_id", F.when(n % 3 == 0, "LOGIN").alias("event_type"), F.when(n % 4 == 2, "all").alias("eligibility"), F.col("title").alias("reward_summary")),
+        "reward": of("REWARD").select("content_id", F.lit("LOGIN").alias("reward_type"), F.when(n % 3 == 0, "mail").alias("how_to_claim"), F.when(n % 2 == 1, (n - 24).cast("string")).alias("related_source_key")),
+        "code": of("REDEEM_CODE").select("content_id", F.concat(F.lit("CODE"), text("number")).alias("code"), F.when(n % 3 == 0, "KR").alias("region")),
+        "maintenance": of("MAINTENANCE").select("content_id", F.when(n % 3 != 0, "EMERGENCY").alias("maintenance_type"), F.when(n % 2 == 1, F.array("game_id", F.lit("all"))).alias("affected_servers"), (n + 6).cast("string").alias("compensation_source_key")),
+        "banner": of("BANNER").select("content_id", F.when(n % 3 == 0, "WEAPON").alias("banner_type"), text("priority").alias("phase")),
+        "change": line.select("content_id", "position", F.col("l_returnflag").alias("target_type"), text("l_partkey").alias("target_key"), part.alias("target_name"), F.lit("ADJUST").alias("change_type"), F.when(F.col("l_linenumber") % 2 == 0, "size").alias("field"), text("l_suppkey").alias("before_value"), text("l_linenumber").alias("after_value"), F.lit(None).cast("string").alias("unit"), F.col("l_linestatus").alias("description")),
+        "item": line.select("content_id", "position", part.alias("name"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber").cast("double")).alias("quantity"), F.col("l_linestatus").alias("unit")),
+        "featured": line.select("content_id", "position", part.alias("name"), text("l_partkey").alias("entity_key"), F.col("l_linenumber").cast("int").alias("rarity")),
+    }
+    return i.select("id", "type", "source_id", "source_key", "slug"), tables
+
+
+@query
+def content_details(spark: SparkSession, sf: str) -> DataFrame:
+    """The details of all records with their children and links, as JSON."""
+    return DT.hydrated(*detail_tables(spark, sf)).select("id", "type", F.to_json("detail").alias("detail"))
+
+
+@query
+def localized_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of parts after a batch of line items has named some of them anew, by origin."""
+    of = lambda id_: (F.lit("game_entity").alias("entity_kind"), id_.cast("string").alias("entity_id"), F.lit("en-US").alias("locale"), F.lit("name").alias("field"))
+    stored = read(spark, sf, "part").where("p_partkey % 3 <> 0").select(*of(F.col("p_partkey")), F.col("p_name").alias("value"), F.lit("HUMAN").alias("origin"))
+    new = read(spark, sf, "lineitem").where("l_partkey % 4 = 0").select(*of(F.col("l_partkey")), F.concat_ws(" ", F.lit("part"), "l_partkey", "l_orderkey").alias("value"), F.lit("SOURCE").alias("origin"), F.col("l_orderkey").alias("number"))
+    return DT.localized(stored, new).select("entity_id", "value", "origin")
+
+
 @query
 def entity_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Entities that a batch adds: parts named by line items against the parts already known."""
