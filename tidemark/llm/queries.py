@@ -52,8 +52,9 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, from a ledger that has all blobs under the rules as they were before: the second scan takes
     only the pairs of a blob and a rule version that are new."""
     docs, ledger = read(spark, sf_dir, "documents"), secrets.new_ledger(spark)
-    ledger.scan(docs, secrets.EARLIER_RULES)
-    found = ledger.scan(docs)
+    where = secrets.paths(docs)
+    ledger.scan(docs, secrets.EARLIER_RULES, where)
+    found = ledger.scan(docs, where=where)
     count = {f"n_{kind}": F.size(F.filter("spans", lambda s, r=rank: s["rank"] == r)).cast("long") for rank, kind in enumerate(secrets.BASE)}
     base = secrets.as_string(F.filter("spans", lambda s: s["rank"] < len(secrets.BASE)))
     return found.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(base, 256).alias("base_sha256"), secrets.as_string(F.col("spans")).alias("spans"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .common import as_row, row_columns, text_or_empty
+from .common import as_row, row_columns, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -103,22 +103,31 @@ def _names(rules: tuple[Rule, ...]) -> Column:
     return F.array(*[F.lit(r.name) for r in rules])
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def paths(docs: DataFrame) -> DataFrame:
+    """doc_id, blob_id of every row of ``docs``, written once: what a scan and its report need of rows besides their texts."""
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_id(text_or_empty()).alias("blob_id")), "paths")
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, where: DataFrame | None = None) -> DataFrame:
     """blob_id, rules (names with versions), spans: a row for each blob of ``docs`` with rules that ``ledger`` (the same
-    columns) lacks, and what these rules find in it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("blob_id", blob_id(F.col("text")))
-    unseen = rows.groupBy("blob_id").agg(F.min("doc_id").alias("doc_id"))
+    columns) lacks, and what these rules find in it. ``where``: ``paths(docs)``, if they are known."""
+    unseen = (paths(docs) if where is None else where).groupBy("blob_id").agg(F.min("doc_id").alias("doc_id"))
     todo = _names(rules)
     if ledger is not None:
         seen = ledger.select("blob_id", F.explode("rules").alias("rule")).groupBy("blob_id").agg(F.collect_set("rule").alias("seen"))  # as many as there are rules
         todo = F.array_except(todo, F.coalesce("seen", F.array().cast("array<string>")))
         unseen = unseen.join(seen, "blob_id", "left")
-    unseen = unseen.select("blob_id", "doc_id", todo.alias("todo")).where(F.size("todo") > 0)
-    # texts that pass no rule's cheap test where they are read have no findings: only the others are shuffled, one of each blob.
-    # The small side has no texts: a hash table of it saves sorting the texts.
-    likely = rows.where(reduce(lambda x, y: x | y, [_likely(F.col("text"), r) for r in rules]))
+    unseen = written(unseen.select("blob_id", "doc_id", todo.alias("todo")).where(F.size("todo") > 0), "unseen")
+    # rules that some blob still lacks, no more than there are rules: texts are tested for these alone
+    lacked = {r.rule for r in unseen.select(F.explode("todo").alias("rule")).distinct().collect()}
+    due = tuple(r for r in rules if r.name in lacked)
+    if not due:
+        return unseen.select("blob_id", F.col("todo").alias("rules"), _none().alias("spans"))
+    # texts that pass no such test where they are read have no new findings: only the others are shuffled, one of each blob
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    likely = rows.where(reduce(lambda x, y: x | y, [_likely(F.col("text"), r) for r in due])).withColumn("blob_id", blob_id(F.col("text")))
     texts = likely.alias("r").join(unseen.hint("shuffle_hash").alias("u"), F.expr("r.doc_id <=> u.doc_id AND r.blob_id = u.blob_id")).select("r.blob_id", "r.text", "todo")
-    found = F.array_sort(F.concat(*[F.when(F.array_contains("todo", r.name), _spans(F.col("text"), r)).otherwise(_none()) for r in rules]))
+    found = F.array_sort(F.concat(*[F.when(F.array_contains("todo", r.name), _spans(F.col("text"), r)).otherwise(_none()) for r in due]))
     spans = texts.select("blob_id", found.alias("spans")).where(F.size("spans") > 0).dropDuplicates(["blob_id"])
     return unseen.join(spans, "blob_id", "left").select("blob_id", F.col("todo").alias("rules"), F.coalesce("spans", _none()).alias("spans"))
 
@@ -129,10 +138,9 @@ def current(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return ledger.select("blob_id", known.alias("spans")).groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
-def joined_back(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, blob_id, spans of every row of ``docs``; ``found`` has a row for each blob."""
-    paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_id(text_or_empty()).alias("blob_id"))
-    return paths.join(found.select("blob_id", "spans"), "blob_id", "left").select("doc_id", "blob_id", F.coalesce("spans", _none()).alias("spans"))
+def joined_back(where: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, blob_id, spans of every row of ``where``, the paths of documents; ``found`` has a row for each blob."""
+    return where.join(found.select("blob_id", "spans"), "blob_id", "left").select("doc_id", "blob_id", F.coalesce("spans", _none()).alias("spans"))
 
 
 class BlobLedger:
@@ -147,10 +155,12 @@ class BlobLedger:
             return None
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
-    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """doc_id, blob_id, spans of every row; pairs of blobs and rules that are new to the ledger are scanned and recorded."""
-        scan(docs, self.seen(), rules).write.mode("append").parquet(self.path)
-        return joined_back(docs, current(self.seen(), rules))
+    def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, where: DataFrame | None = None) -> DataFrame:
+        """doc_id, blob_id, spans of every row; pairs of blobs and rules that are new to the ledger are scanned and recorded.
+        ``where``: ``paths(docs)``, if several scans use them."""
+        where = paths(docs) if where is None else where
+        scan(docs, self.seen(), rules, where).write.mode("append").parquet(self.path)
+        return joined_back(where, current(self.seen(), rules))
 
 
 def new_ledger(spark: SparkSession) -> BlobLedger:
