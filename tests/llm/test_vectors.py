@@ -223,3 +223,38 @@ def test_quality_of_the_driver_s_held_out_rows(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     rows = quality.scored(docs, labels).join(labels, "doc_id").where("held_out and quality is not null").select("predicted", "quality").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.8
+
+
+# --- reading all codes in place of endless look-ups
+
+
+@pytest.mark.parametrize("scanned", [0, 16, 10**9])
+def test_far_queries_read_the_codes(spark, monkeypatch, scanned):
+    """Whether a radius is looked up or all codes are read, and where the one goes over into the other, changes no result."""
+    from tidemark.llm import hamming
+
+    rng = random.Random(9)
+    hot = rng.getrandbits(63)
+    rows = [(i, hot if i % 3 == 0 else (hot ^ (1 << rng.randrange(60))) if i % 3 == 1 else rng.getrandbits(63)) for i in range(240)] + [(1000, ~hot & (2**63 - 1)), (1001, 0)]
+    if scanned == 0:  # without reading, far queries list all masks: short codes keep that small
+        rows = [(i, c & 0xFF) for i, c in rows]
+    monkeypatch.setattr(hamming, "SCANNED", scanned)
+    monkeypatch.setattr(hamming, "PIECE", 33)
+    monkeypatch.setattr(hamming, "CELL", (50, 20))
+    codes = spark.createDataFrame(rows, "id long, code long").repartition(3)
+    asked = codes.where("id % 20 = 0 or id >= 1000")
+    want = []
+    for q, code in rows:
+        if q % 20 == 0 or q >= 1000:
+            near = sorted(((code ^ c).bit_count(), i) for i, c in rows if i != q)[:7]
+            want += [(q, n + 1, i, d) for n, (d, i) in enumerate(near)]
+    assert sorted(map(tuple, hamming.top_k(codes, asked, k=7).collect())) == sorted(want)
+
+
+def test_segments_keep_their_bound():
+    from tidemark.llm import hamming
+
+    for n in (1, 1000, 2**25, 2**26, 2**40):
+        cut = hamming.segments(n)
+        assert max(bits for _, bits in cut) <= hamming.MOST_BITS
+        assert [a for a, _ in cut] == [0, *np.cumsum([b for _, b in cut])[:-1]] and sum(b for _, b in cut) == 64

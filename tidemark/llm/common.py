@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +70,24 @@ def steps(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = STE
                 begin, size = i + 1, 0
         if begin < len(texts):
             yield {n: c[begin:] for n, c in cols.items()}
+
+
+def in_cells(rows: DataFrame, asked: DataFrame, keys: tuple[str, str], counts: tuple[int, int], size: tuple[int, int], work: Callable, schema: str) -> DataFrame:
+    """What ``work(rows, asked)``, two Arrow tables of a cell, gives over all cells of a grid in which every row of ``rows``
+    meets every row of ``asked`` once. ``counts``: how many there are of the two; ``size``: how many a cell has of them.
+
+    Rows are dealt by a hash of their ``keys``, which have to differ, so no value they share makes a large cell."""
+    down, across = (max(1, -(-n // k)) for n, k in zip(counts, size, strict=True))
+    tasks = max(1, down * across // 2)
+    left = rows.withColumn("r", F.pmod(F.xxhash64(keys[0]), F.lit(down)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    right = asked.withColumn("a", F.pmod(F.xxhash64(keys[1], F.lit(1)), F.lit(across)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    return left.repartition(tasks, "r", "a").groupBy("r", "a").cogroup(right.repartition(tasks, "r", "a").groupBy("r", "a")).applyInArrow(work, schema)
+
+
+def first_of(groups: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` first of each group by (value, id)."""
+    order = np.lexsort((ids, values, groups))
+    g = groups[order]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, int)
+    rank = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
+    return order[rank < k]

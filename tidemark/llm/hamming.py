@@ -3,7 +3,8 @@
 A code is cut into segments; a table for each segment maps its value to codes. A query looks up values at distance 0 from
 its own in each segment, then at distance 1, and so on. Having searched the first ``a + 1`` segments to radius ``r`` and the
 others to ``r - 1``, it has met every code within ``m * r + a`` bits, so it stops when its kth verified distance is no
-larger: growing radii, exact results, ties by id included.
+larger: growing radii, exact results, ties by id included. Where a radius would look up so many values that reading all
+codes is cheaper, the queries that are still open do that instead: far queries list no endless masks.
 
 On Spark: equal codes are one entry with its smallest ids. The tables of all segments are one table (segment, value, code),
 built and written once. A round takes one radius: the queries that are still open name the values they look up, these rows
@@ -28,11 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import first_of, in_cells, written
 
 BITS = 64
 #: Bits of a segment at most: no more values are listed for one query and segment than its powers of two.
 MOST_BITS = 26
+#: Codes that are compared in the time of one look-up, about: a radius with more look-ups than that share of the entries is
+#: not searched, the entries are read. And how many entries and queries meet in one cell, and in one step of it.
+SCANNED = 16
+CELL, PIECE = (2048, 1024), 512
 #: Look-ups that one batch of a task holds, and that one task is dealt.
 PROBES = 250_000
 
@@ -47,7 +52,7 @@ def binary_codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
 def segments(entries: int) -> list[tuple[int, int]]:
     """First bit and number of bits of each segment: about as many bits as it takes to number the entries."""
-    m = max(2, round(BITS / min(MOST_BITS, max(4, int(entries).bit_length()))))
+    m = max(2, -(-BITS // min(MOST_BITS, max(4, int(entries).bit_length()))))
     edges = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -76,6 +81,24 @@ def probes(queries: DataFrame, cut: list[tuple[int, int]], radii: range) -> Data
     return queries.select("query", "bound").mapInArrow(run, "query long, bound int, seg tinyint, step int, value long")
 
 
+def _nearest_of_all(k: int):
+    """The ``k`` nearest codes of a cell for each of its queries, by (distance, first)."""
+
+    def work(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        codes, firsts, queries = (t.column(n).to_numpy().astype(np.int64) for t, n in ((rows, "code"), (rows, "first"), (asked, "query")))
+        best = [np.empty(0, np.int64)] * 4
+        for i in range(0, len(codes) if len(queries) else 0, PIECE):
+            far = np.bitwise_count(queries.view(np.uint64)[:, None] ^ codes.view(np.uint64)[None, i : i + PIECE])
+            at = min(k, far.shape[1]) - 1
+            q, c = np.nonzero(far <= np.partition(far, at, axis=1)[:, at, None])
+            best = [np.r_[x, y] for x, y in zip(best, (q, far[q, c].astype(np.int64), firsts[i + c], codes[i + c]), strict=True)]
+            keep = first_of(*best[:3], k)
+            best = [x[keep] for x in best]
+        return pa.table({"query": queries[best[0]], "code": best[3], "distance": best[1].astype(np.int32), "first": best[2]})
+
+    return work
+
+
 def search(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query, code, distance, first of the k nearest entries (code, first) by (distance, first) of each code in ``asked``
     (query). With fewer than k entries, all of them."""
@@ -84,17 +107,23 @@ def search(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     cut = segments(total)
     m = len(cut)
     rows = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("seg"), _part(F.col("code"), *c).alias("value")) for i, c in enumerate(cut)])
-    table = written(entries.select("code", "first", F.explode(rows).alias("s")).select("s.seg", "s.value", "code", "first"), "segments")
+    table = None
     nearest = W.partitionBy("query").orderBy("distance", "first")
     total_asked = queries = asked.count()
     best, open_, radius = None, asked.withColumn("bound", F.lit(BITS)), 0
     while need and radius <= max(bits for _, bits in cut):
         # the first two radii cost little and cover nobody alone: one round
         radii = range(radius, radius + (2 if radius == 0 else 1))
+        looks = sum(comb(bits, r) for _, bits in cut for r in radii)
+        if looks * SCANNED > total:
+            near = in_cells(entries, open_.select("query"), ("code", "query"), (total, queries), CELL, _nearest_of_all(need), "query long, code long, distance int, first long")
+            rest = near.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
+            return rest if best is None else best.join(open_.select("query"), "query", "left_anti").unionByName(rest)
+        if table is None:
+            table = written(entries.select("code", "first", F.explode(rows).alias("s")).select("s.seg", "s.value", "code", "first"), "segments")
         x = F.col("query").bitwiseXOR(F.col("code"))
         # a pair is met in every segment that is near enough: it counts in the first one of the least distance alone
         met = F.least(*[F.bit_count(_part(x, *c)) * m + i for i, c in enumerate(cut)])
-        looks = sum(comb(bits, r) for _, bits in cut for r in radii)
         dealt = open_.repartition(max(1, -(-queries * looks // PROBES)), "query")
         pairs = probes(dealt, cut, radii).join(table.hint("merge"), ["seg", "value"]).where((F.bit_count(x) <= F.col("bound")) & (met == F.col("step")))
         new = pairs.select("query", "code", F.bit_count(x).cast("int").alias("distance"), "first")

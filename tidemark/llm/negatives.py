@@ -22,15 +22,13 @@ unequal lengths are filled up with zeros. Extra columns are ignored. An empty ta
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, first_of, in_cells, written
 from .vectors import inner, matrix, scaled, usable
 
 #: Rows and anchors of one cell, on average; scores of so many rows are in memory at a time.
@@ -48,15 +46,6 @@ def prepared(vectors: DataFrame, key: str = "vec_id", label: Column | str = "lab
     return kept.groupBy("id").agg(F.min("r").alias("r")).select("id", "r.label", "r.v")
 
 
-def in_cells(rows: DataFrame, anchors: DataFrame, counts: tuple[int, int], work: Callable, schema: str) -> DataFrame:
-    """What ``work(rows, anchors)``, two Arrow tables of a cell, gives over all cells. ``counts``: rows of the two."""
-    down, across = (max(1, -(-n // size)) for n, size in zip(counts, (ROWS, ANCHORS), strict=True))
-    tasks = max(1, down * across // 2)
-    left = rows.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(down)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    right = anchors.withColumn("a", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(across)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    return left.repartition(tasks, "r", "a").groupBy("r", "a").cogroup(right.repartition(tasks, "r", "a").groupBy("r", "a")).applyInArrow(work, schema)
-
-
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64)
 
@@ -78,15 +67,6 @@ class _Cell:
             yield part, inner(self.w, self.v[part]), self.anchor_labels[:, None] == self.labels[None, part]
 
 
-def first_of(groups: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` first of each group by (value, id)."""
-    order = np.lexsort((ids, values, groups))
-    g = groups[order]
-    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, int)
-    rank = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
-    return order[rank < k]
-
-
 def _positives(k: int):
     def work(rows: pa.Table, anchors: pa.Table) -> pa.Table:
         cell = _Cell(rows, anchors)
@@ -167,7 +147,8 @@ def mined(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     rows = written(rows, "scored")
     asked = written(rows.where(anchors), "anchors")
     counts = rows.count(), asked.count()
-    near = in_cells(rows, asked, counts, _positives(positives), "anchor long, id long, score long")
+    met = lambda anchors, work, schema: in_cells(rows, anchors, ("id", "id"), counts, (ROWS, ANCHORS), work, schema)
+    near = met(asked, _positives(positives), "anchor long, id long, score long")
     first = W.partitionBy("anchor").orderBy(F.desc("score"), "id")
     best = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= positives)
     low = F.expr("score div 2 + if(score > 0 and score % 2 = 1, 1, 0)")
@@ -176,11 +157,11 @@ def mined(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
     wins = written(wide.withColumn("found", F.lit(0).cast("long")).withColumn("need", F.lit(negatives)), "windows")
     widest = wins.agg(F.max("width")).first()[0] or 0
     for digit in reversed(range(max(1, -(-widest.bit_length() // DIGIT)))):
-        counted = in_cells(rows, _with_windows(asked, wins), counts, _counts(digit * DIGIT), "anchor long, positive long, digit long, n long")
+        counted = met(_with_windows(asked, wins), _counts(digit * DIGIT), "anchor long, positive long, digit long, n long")
         summed = counted.groupBy("anchor", "positive", "digit").agg(F.sum("n").alias("n"))
         so_far = summed.withColumn("upto", F.sum("n").over(W.partitionBy("anchor", "positive").orderBy("digit")))
-        met = wins.join(so_far, ["anchor", "positive"], "left").where("need > 0 and upto >= need and upto - n < need")
-        chosen = met.select("anchor", "positive", "digit", (F.col("need") - (F.col("upto") - F.col("n"))).cast("int").alias("left"))
+        kth = wins.join(so_far, ["anchor", "positive"], "left").where("need > 0 and upto >= need and upto - n < need")
+        chosen = kth.select("anchor", "positive", "digit", (F.col("need") - (F.col("upto") - F.col("n"))).cast("int").alias("left"))
         # a window that has fewer rows than wanted is taken whole: nothing is needed of it any more
         open_ = F.col("need") > 0
         found = F.when(~open_, F.col("found")).when(F.col("digit").isNull(), F.col("width")).otherwise(F.shiftleft("found", DIGIT) + F.col("digit"))
@@ -188,7 +169,7 @@ def mined(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
         new = written(wins.join(chosen, ["anchor", "positive"], "left").select("anchor", "positive", "score", "high", "width", found.alias("found"), need.alias("need")), "windows")
         discard(wins)
         wins = new
-    got = in_cells(rows, _with_windows(asked, wins), counts, _gathered(negatives), "anchor long, positive long, positive_score long, id long, score long")
+    got = met(_with_windows(asked, wins), _gathered(negatives), "anchor long, positive long, positive_score long, id long, score long")
     ranked = got.withColumn("rank", F.row_number().over(W.partitionBy("anchor", "positive").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= negatives)
     return ranked.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
