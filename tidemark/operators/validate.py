@@ -35,7 +35,7 @@ def gathered(*issues: Column) -> Column:
 
 
 #: Bounds of a candidate's texts and numbers, and the fields that some kinds must have.
-TEXT_BOUNDS = {"title": (1, 300), "source_key": (1, 200), "summary": (0, 1000), "slug_hint": (0, 120)}
+TEXT_BOUNDS = {"title": (1, 200), "source_key": (1, 300), "summary": (1, 600), "slug_hint": (1, 80), "game_id": (1, 40)}
 NUMBER_BOUNDS = {"priority": (0, 100), "confidence": (0, 1)}
 NEEDED = ("kind", "game_id", "source_key", "title", "source_url", "priority", "confidence")
 OF_KIND = {"PATCH": "version", "REDEEM_CODE": "code", "MAINTENANCE": "maintenance_type"}

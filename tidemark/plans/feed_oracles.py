@@ -151,6 +151,30 @@ SELECT id, type, CASE type
   WHEN 'MAINTENANCE' THEN json_object('affectedServers', CASE WHEN kept AND number % 2 = 1 THEN [game_id, 'all'] ELSE [] END, 'compensationSlug', compensation, 'maintenanceType', CASE WHEN kept AND number % 3 <> 0 THEN 'EMERGENCY' ELSE 'SCHEDULED' END, 'type', type)
   WHEN 'BANNER' THEN json_object('bannerType', CASE WHEN kept AND number % 3 = 0 THEN 'WEAPON' ELSE 'OTHER' END, 'featured', coalesce(featured, []), 'phase', CASE WHEN kept THEN priority::VARCHAR END, 'type', type)
   ELSE json_object('type', type) END::VARCHAR AS detail FROM d""",
+    "nested_issues": """
+WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS i,
+    ['PATCH','UPDATE','EVENT','REWARD','REDEEM_CODE','MAINTENANCE','BANNER','ANNOUNCEMENT'][l_orderkey % 8 + 1] AS kind FROM lineitem),
+c AS (SELECT DISTINCT k, kind FROM l),
+lists AS (SELECT *, CASE kind WHEN 'EVENT' THEN 'event.rewards.' WHEN 'REWARD' THEN 'reward.items.' WHEN 'REDEEM_CODE' THEN 'redeemCode.items.' END || i AS item FROM l WHERE kind <> 'REWARD' OR k % 3 <> 0),
+paths AS (
+  SELECT k, 'patch' AS field FROM c WHERE kind = 'PATCH' AND k % 16 = 0
+  UNION ALL SELECT k, 'patch.version' FROM c WHERE kind = 'PATCH' AND k % 16 <> 0 AND k % 5 = 0
+  UNION ALL SELECT k, 'patch.changes.' || i || '.targetType' FROM l WHERE kind = 'PATCH' AND k % 16 <> 0 AND p % 2 <> 0
+  UNION ALL SELECT k, 'patch.changes.' || i || '.targetName' FROM l WHERE kind = 'PATCH' AND k % 16 <> 0 AND p % 7 = 0
+  UNION ALL SELECT k, 'patch.changes.' || i || '.afterValue' FROM l WHERE kind = 'PATCH' AND k % 16 <> 0 AND s % 9 = 0
+  UNION ALL SELECT k, 'event.eventType' FROM c WHERE kind = 'EVENT' AND k % 3 <> 0
+  UNION ALL SELECT k, 'event.eligibility' FROM c WHERE kind = 'EVENT' AND (k % 400 = 0 OR k % 400 > 300)
+  UNION ALL SELECT k, 'reward.items' FROM c WHERE kind = 'REWARD' AND k % 3 = 0
+  UNION ALL SELECT k, 'redeemCode.code' FROM c WHERE kind = 'REDEEM_CODE' AND k % 3 = 0
+  UNION ALL SELECT k, item || '.name' FROM lists WHERE item IS NOT NULL AND p % 7 = 0
+  UNION ALL SELECT k, item || '.quantity' FROM lists WHERE item IS NOT NULL AND p % 5 <> 0 AND n <= 2
+  UNION ALL SELECT k, rtrim(item, '0123456789.') FROM (SELECT k, min(item) AS item, count(*) AS n FROM lists WHERE item IS NOT NULL GROUP BY k) WHERE n > 50
+  UNION ALL SELECT k, 'maintenance.affectedServers.' || i FROM l WHERE kind = 'MAINTENANCE' AND p % 7 = 0
+  UNION ALL SELECT k, 'banner.phase' FROM c WHERE kind = 'BANNER' AND k % 13 NOT BETWEEN 1 AND 10
+  UNION ALL SELECT k, 'banner.featured.' || i || '.rarity' FROM l WHERE kind = 'BANNER' AND n > 4
+  UNION ALL SELECT k, 'banner.featured' FROM (SELECT k, count(*) AS n FROM l WHERE kind = 'BANNER' GROUP BY k) WHERE n > 20
+)
+SELECT k AS candidate, 'SCHEMA' AS code, 'INVALID' AS severity, field FROM paths""",
     "localized_names": """
 WITH n AS (SELECT l_partkey, arg_max('part ' || l_partkey || ' ' || l_orderkey, l_orderkey) AS value FROM lineitem WHERE l_partkey % 4 = 0 GROUP BY 1), s AS (SELECT * FROM part WHERE p_partkey % 3 <> 0)
 SELECT coalesce(p_partkey, l_partkey)::VARCHAR AS entity_id, coalesce(value, p_name) AS value, CASE WHEN value IS NULL THEN 'HUMAN' ELSE 'SOURCE' END AS origin FROM s FULL JOIN n ON p_partkey = l_partkey""",

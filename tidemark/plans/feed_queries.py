@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import session
+from ..functions import model as M
 from ..functions import recurrence as R
 from ..functions import state as S
 from ..functions import text as X
@@ -21,6 +22,7 @@ from ..operators import parse as K
 from ..operators import registry as G
 from ..operators import robots as RB
 from ..operators import runs as RN
+from ..operators import shapes as SH
 from ..sources import feeds
 from ..streaming import ingest, limiter
 from . import driver_views as D7
@@ -160,6 +162,35 @@ def content_details(spark: SparkSession, sf: str) -> DataFrame:
     return DT.hydrated(*detail_tables(spark, sf)).select("id", "type", F.to_json("detail").alias("detail"))
 
 
+@query
+def nested_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value inside the details of candidates that has not the form it should, by its path. Orders are candidates, their
+    lines the elements; now and then a value is bad."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    rows = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    k, text = F.col("k"), lambda: F.lit(None).cast("string")
+    name = lambda x: F.when(x["l_partkey"] % 7 == 0, "").otherwise("p").alias("name")
+    each = lambda f: F.transform("lines", f)
+    items = each(lambda x: F.struct(name(x), F.when(x["l_partkey"] % 5 != 0, x["l_linenumber"] - 2.0).alias("quantity"), text().alias("unit")))
+    changes = each(lambda x: F.struct(
+        F.when(x["l_partkey"] % 2 == 0, "ITEM").otherwise(x["l_returnflag"]).alias("targetType"), text().alias("targetKey"), name(x).alias("targetName"), F.lit("BUFF").alias("changeType"), text().alias("field"),
+        text().alias("beforeValue"), F.when(x["l_suppkey"] % 9 == 0, "").alias("afterValue"), text().alias("unit"), text().alias("description"),
+    ))
+    details = {
+        "patch": F.when(k % 16 != 0, F.struct(F.when(k % 5 != 0, F.concat(F.lit("1."), k.cast("string"))).alias("version"), F.lit(None).cast("timestamp_ntz").alias("releaseAt"), changes.alias("changes"))),
+        "event": F.struct(F.when(k % 3 == 0, "LOGIN").otherwise("PARTY").alias("eventType"), F.repeat(F.lit("x"), (k % 400).cast("int")).alias("eligibility"), text().alias("rewardSummary"), items.alias("rewards")),
+        "reward": F.struct(F.lit("LOGIN").alias("rewardType"), text().alias("howToClaim"), F.when(k % 3 != 0, items).alias("items"), text().alias("relatedSourceKey")),
+        "redeemCode": F.struct(F.when(k % 3 == 0, "a b").otherwise("CODE1").alias("code"), text().alias("region"), items.alias("items")),
+        "maintenance": F.struct(F.lit("SCHEDULED").alias("maintenanceType"), each(lambda x: name(x)).alias("affectedServers"), text().alias("compensationSourceKey")),
+        "banner": F.struct(F.lit("WEAPON").alias("bannerType"), (k % 13).alias("phase"), each(lambda x: F.struct(F.lit("f").alias("name"), text().alias("entityKey"), (x["l_linenumber"] + 2).alias("rarity"))).alias("featured")),
+    }
+    kind = F.element_at(F.array(*[F.lit(t) for t in M.CONTENT_TYPES]), (k % 8 + 1).cast("int"))
+    # out of a generator, so that the details stand once
+    built = rows.select("k", kind.alias("kind"), F.explode(F.array(F.struct(*[c.alias(n) for n, c in details.items()]))).alias("d"))
+    found = SH.detail_issues(F.col("kind"), {n: F.col(f"d.{n}") for n in details})
+    return built.select("k", F.explode(found).alias("i")).select(F.col("k").alias("candidate"), "i.code", "i.severity", "i.field")
+
+
 @query
 def localized_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names of parts after a batch of line items has named some of them anew, by origin."""
