@@ -137,3 +137,13 @@ def test_headers_of_answers(spark):
     df = limiter.answers(spark.createDataFrame(rows, "host string, id int, at timestamp_ntz, status int, limit string, remaining string, reset string, retry_after string"))
     base = int((T0 - datetime(1970, 1, 1)) / timedelta(milliseconds=1))
     assert [(r.until and (r.until - base) // 1000, r.server_limit) for r in df.orderBy("id").collect()] == [(None, 5), (60, None), (10, None), (20, None), (None, None), (7, None), (None, None)]
+
+
+def test_titles_by_language(spark):
+    from tidemark.plans.views import placed
+
+    titles = ["Z", "b", "a", "A", "ab", "a-b", "가", "10", "2", "나", "É", "e", "f"]
+    rows = [("s", 1, T0, 50, t, str(i)) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "section string, tier int, at timestamp_ntz, priority int, title string, id string")
+    for got in (placed(df), placed(df, 20)):
+        assert [r.title for r in got.orderBy("place").collect()] == ["10", "2", "a", "A", "a-b", "ab", "b", "e", "É", "f", "Z", "가", "나"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.recurrence import RESET_RULES
+
 NOW = "TIMESTAMP '2024-01-16 00:00:00'"
 
 ITEMS = f"""
@@ -378,3 +380,14 @@ SELECT *, CASE WHEN rejected = 0 THEN 'SUCCEEDED' WHEN created + duplicate > 0 T
     "home_highlights": f"""{DIGEST}, {PLACED} SELECT section, place, id FROM placed WHERE kind = 'item' AND section NOT IN ('resets','upcoming')
 ORDER BY list_position(['critical','rewards','resets','endingSoon','newEvents','maintenance','upcoming'], section), place LIMIT 8""",
 }
+
+_NAMES = "CASE id " + " ".join(f"WHEN '{r.id}' THEN '{r.name}'" for r in RESET_RULES) + " END"
+ORACLE_SQL |= {
+    "pulse_places": f"SELECT id, row_number() OVER (ORDER BY moment, id)::INTEGER AS place FROM ({ORACLE_SQL['pulse_stream']})",
+    "section_places": ORACLE_SQL["today_places"].replace(" QUALIFY place <= 20", ""),
+    "calendar_places": f"""WITH {ITEMS}, {RULES}, marks AS (SELECT id || ':RELEASE' AS id, title, coalesce(start_at, source_published_at) AS moment FROM pub WHERE type IN ('PATCH','UPDATE')
+  UNION ALL SELECT id || ':START', title, start_at FROM pub WHERE type IN ('EVENT','BANNER','REWARD','REDEEM_CODE','MAINTENANCE')
+  UNION ALL SELECT id || ':END', title, end_at FROM pub WHERE type IN ('EVENT','BANNER','REWARD','REDEEM_CODE','MAINTENANCE')
+  UNION ALL SELECT id || ':' || strftime(moment, '%Y-%m-%dT%H:%M:%S.000Z'), {_NAMES}, moment FROM occ WHERE frequency <> 'DAILY')
+SELECT id, row_number() OVER (ORDER BY moment, title, id)::INTEGER AS place FROM marks WHERE moment >= TIMESTAMP '2024-01-01' AND moment < TIMESTAMP '2024-02-01'""",
+}

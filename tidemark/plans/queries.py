@@ -95,6 +95,25 @@ def pulse_stream(spark: SparkSession, sf: str) -> DataFrame:
     return views.pulse(D7.published(spark, sf), R.rules_table(spark), now()).select("id", "kind", F.col("at").alias("moment"), "game_id", "is_future")
 
 
+@query
+def pulse_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream of moments in its order, as places."""
+    return views.pulse_placed(views.pulse(D7.published(spark, sf), R.rules_table(spark), now())).select("id", "place")
+
+
+@query
+def calendar_places(spark: SparkSession, sf: str) -> DataFrame:
+    """A month's entries in their order, as places."""
+    month = (S.instant("2024-01-01 00:00:00"), S.instant("2024-02-01 00:00:00"))
+    return views.calendar_placed(views.calendar_entries(D7.published(spark, sf), R.rules_table(spark), *month)).select("id", "place")
+
+
+@query
+def section_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of every entry in its section, most urgent first."""
+    return views.placed(views.today(D7.published(spark, sf), R.rules_table(spark), now())).select("section", "place", "id")
+
+
 @query
 def game_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     facts = views.snapshot(D7.published(spark, sf), now())

@@ -32,11 +32,17 @@ def today(items: DataFrame, rules: DataFrame, now: Column, options: M.TodayOptio
     return of_items.unionByName(of_rules)
 
 
+def by_language(title: str) -> Column:
+    """A title as readers sort it: by the Unicode collation, not by code points."""
+    return F.collate(F.col(title), "UNICODE")
+
+
 def placed(entries: DataFrame, most: int | None = None) -> DataFrame:
     """Entries with their place in their section; with ``most`` only the first ones, found before the shuffle."""
-    w = W.partitionBy("section").orderBy("tier", F.col("at").asc_nulls_last(), F.desc("priority"), "title", "id")
-    out = entries.withColumn("place", F.row_number().over(w))
-    return out if most is None else out.where(F.col("place") <= most)
+    order = [F.col("tier"), F.col("at").asc_nulls_last(), F.desc("priority"), by_language("title"), F.col("id")]
+    if most is None:
+        return numbered(entries, ["section"], order)
+    return entries.withColumn("place", F.row_number().over(W.partitionBy("section").orderBy(*order))).where(F.col("place") <= most)
 
 
 def today_summary(entries: DataFrame) -> DataFrame:
@@ -124,6 +130,16 @@ def pulse(items: DataFrame, rules: DataFrame, now: Column, past: timedelta = 48
     return of_items.unionByName(resets).withColumn("is_future", F.col("at") > now)
 
 
+def pulse_placed(moments: DataFrame) -> DataFrame:
+    """What ``pulse`` gives, numbered by instant; equal ones by id."""
+    return numbered(moments, [], [F.col("at"), F.col("id")])
+
+
+def calendar_placed(entries: DataFrame) -> DataFrame:
+    """What ``calendar_entries`` gives, numbered by instant, then title."""
+    return numbered(entries, [], [F.col("at"), by_language("title"), F.col("id")])
+
+
 def snapshot(items: DataFrame, now: Column) -> DataFrame:
     """The facts of each game in one aggregation: ``min_by`` and ``max_by`` combine before the shuffle."""
     kind = F.col("type")
