@@ -1,7 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
 A rolling hash over the hashes of two lines in a row has a local minimum about every third line; chunks end there. Where
-they end depends on the lines nearby alone, so a passage that moves keeps its chunks. A chunk of two or more lines that are
+they end depends on the lines nearby alone, so a passage that moves keeps its chunks. A run of one line, which has no minimum,
+is a chunk of its own, and what is longer than ``MOST`` lines is cut from its beginning on, so runs of unequal lengths share
+pieces too. A chunk of two or more lines that are
 not blank and that stands in the corpus more than once stays where it comes first (by doc_id, then place) and is removed
 everywhere else, once its bytes are known to be equal, not only its 128-bit hash.
 
@@ -31,6 +33,10 @@ from .common import as_row, row_columns, steps, text_or_empty, written
 KEY = "doc long, key long"
 
 
+#: Lines of a chunk at most.
+MOST = 32
+
+
 def line_hashes(lines: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x) for x in lines), np.uint64, len(lines))
 
@@ -43,9 +49,11 @@ def chunk_bounds(lines: list[str]) -> list[tuple[int, int]]:
     rolled = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]  # of the lines i and i + 1
     rolled ^= rolled >> np.uint64(31)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    low = (rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] < rolled[2:])
-    ends = [0, *(np.flatnonzero(low) + 2).tolist(), len(lines)]
-    return [(a, b) for a, b in zip(ends, ends[1:], strict=False) if b > a]
+    low = np.flatnonzero((rolled[1:-1] < rolled[:-2]) & (rolled[1:-1] < rolled[2:])) + 2
+    # equal neighbours among the rolled values are three equal lines or more: they begin and end chunks
+    same = np.diff((rolled[1:] == rolled[:-1]).astype(np.int8), prepend=0, append=0)
+    ends = np.unique(np.concatenate(([0], low, np.flatnonzero(same == 1), np.flatnonzero(same == -1) + 2, [len(lines)]))).tolist()
+    return [(at, min(at + MOST, b)) for a, b in zip(ends, ends[1:], strict=False) for at in range(a, b, MOST)]
 
 
 def multi_line(lines: list[str]) -> bool:
