@@ -146,6 +146,16 @@ def outcomes(candidates: DataFrame, stored: DataFrame | None = None, reported: D
     return all_.withColumn("state", F.coalesce(last_published, last)).withColumns({"outcome": outcome, "owner": owner}).drop("own", "past", "target", "held", "entry", "state", "own_id")
 
 
+OUTCOMES = ("created", "updated", "unchanged", "duplicate", "review-held", "rejected")
+
+
+def counters(decided: DataFrame) -> list[Column]:
+    """What a run reports of its candidates: how many there are, of each outcome and, where it is known, of each validation."""
+    named = [F.count_if(F.col("outcome") == o).alias(o.replace("-", "_")) for o in OUTCOMES]
+    levels = [F.count_if(F.col("validation") == v).alias(v.lower()) for v in M.VALIDATION_STATUSES] if "validation" in decided.columns else []
+    return [F.count(F.lit(1)).alias("discovered"), *named, *levels]
+
+
 def merged(stored: DataFrame, decided: DataFrame) -> DataFrame:
     """The store after a batch: stored rows with what was updated, and what was created. Several candidates that update one
     record leave the strongest, then the latest. One full join by content id."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ITEMS, NOW, ORACLE_SQL, RULES
+from .oracles import CHECKED, TWO_BATCHES, ITEMS, NOW, ORACLE_SQL, RULES
 
 _LINK = """CASE WHEN event_id % 5 = 0 THEN 'https://other.example.net' WHEN event_id % 2 = 0 THEN 'https://game.example.com' ELSE 'https://www.news.example.org' END || '/views/' || event_id"""
 _NONE = "NULL::VARCHAR"
@@ -227,6 +227,10 @@ SELECT host, path, CASE length(host) % 4 WHEN 0 THEN path NOT LIKE '/%' WHEN 1 T
 FROM p WHERE host <> ''""",
     "stream_event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS rows FROM events GROUP BY ALL",
     "stream_ingest": ORACLE_SQL["store_after_batches"],
+    "batch_counters": f"WITH {CHECKED}, {TWO_BATCHES} " + " UNION ALL ".join(
+        f"SELECT {n} AS batch, count(*) AS discovered, " + ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o.replace('-', '_')}" for o in ("created", "updated", "unchanged", "duplicate", "review-held", "rejected"))
+        + ", " + ", ".join(f"count(*) FILTER (level = {i}) AS {v}" for i, v in enumerate(("valid", "warning", "review", "invalid"))) + f" FROM {t}_out" for n, t in enumerate("ab")
+    ),
 }
 
 ORACLE_SQL.update(_FEEDS | _REST)

@@ -19,6 +19,7 @@ from ..operators import diff as D
 from ..operators import intervals as V
 from ..operators import links as L
 from ..operators import parse as K
+from ..operators import publish as P
 from ..operators import registry as G
 from ..operators import robots as RB
 from ..operators import runs as RN
@@ -422,6 +423,16 @@ def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return done.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "rows")
 
 
+@query
+def batch_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """What two batches report of themselves, counted while they were written."""
+    log = ingest.ContentLog(spark, session.scratch(spark, "counted"), now())
+    for n, rows in enumerate(_batches(spark, sf)):
+        log.apply(rows, n)
+    fields = ["discovered", *(o.replace("-", "_") for o in P.OUTCOMES), *(v.lower() for v in M.VALIDATION_STATUSES)]
+    return spark.createDataFrame([(n, *(int(c[f]) for f in fields)) for n, c in log.counters.items()], "batch int, " + ", ".join(f"{f} long" for f in fields))
+
+
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """What a store holds after a stream has published two micro-batches into it, one after the other."""

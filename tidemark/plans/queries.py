@@ -383,9 +383,7 @@ def last_updated(spark: SparkSession, sf: str) -> DataFrame:
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
     """Counters of an ingestion run per source: what was found, its validation, its outcomes, and the run's status."""
     rows = P.outcomes(_decided(spark, sf))
-    named = {o.replace("-", "_"): F.count_if(F.col("outcome") == o) for o in ("created", "updated", "unchanged", "duplicate", "review-held", "rejected")}
-    levels = {v.lower(): F.count_if(F.col("validation") == v) for v in M.VALIDATION_STATUSES}
-    counted = rows.groupBy("source_id").agg(F.count("*").alias("discovered"), *[c.alias(n) for n, c in {**named, **levels}.items()])
+    counted = rows.groupBy("source_id").agg(*P.counters(rows))
     return counted.withColumn("run_status", P.run_status(F.col("rejected"), F.col("created") + F.col("duplicate")))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -53,10 +53,12 @@ def requests_within(requests: DataFrame, seconds: int, key: str = "host", at: st
 
 
 class ContentLog:
-    """Published content, and what sources have reported of it, as two logs of batches below ``path``."""
+    """Published content, what sources have reported of it, and the outcomes of candidates, as logs of batches below ``path``."""
 
     def __init__(self, spark: SparkSession, path: str, now: Column | None = None):
         self.spark, self.path = spark, path
+        #: Of each batch that this log has applied: discovered, and how many of each outcome and validation.
+        self.counters: dict[int, dict[str, int]] = {}
         self.now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
 
     def rows(self, kind: str = "content") -> DataFrame:
@@ -94,11 +96,15 @@ class ContentLog:
         ids = past.union(own).union(same).distinct()
         stored = self._last(content.join(ids, "content_id", "left_semi"), "content_id")
         reported = self._last(seen.join(ids, "content_id", "left_semi"), *SIGHTING)
-        decided = P.outcomes(candidates, stored, reported).persist()
+        # the counters come out of the write itself, so no batch is read again for them
+        seen_now = Observation(f"batch {batch}")
+        outcomes = P.outcomes(candidates, stored, reported)
+        outcomes.observe(seen_now, *P.counters(outcomes)).write.mode("overwrite").parquet(f"{self.path}/outcomes/batch={batch}")
+        decided = self.spark.read.schema(outcomes.schema).parquet(f"{self.path}/outcomes/batch={batch}")
+        self.counters[batch] = seen_now.get
         touched = decided.where(F.col("outcome").isin("created", "updated")).select(F.col("owner").alias("content_id")).distinct()
         P.merged(stored, decided).join(touched, "content_id", "left_semi").select(*[c.split()[0] for c in STORED.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/content/batch={batch}")
         P.sighted(reported, decided, self.now).write.mode("overwrite").parquet(f"{self.path}/sightings/batch={batch}")
-        decided.unpersist()
         return decided
 
 
