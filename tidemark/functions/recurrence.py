@@ -217,7 +217,7 @@ def next_occurrence(rules: DataFrame, after: Column) -> DataFrame:
     first = F.greatest(today, F.coalesce("anchor", today))
     rows = _expanded(rules, first, F.date_add(first, F.col("horizon") + 2)).where(F.col("at") > after)
     found = rows.groupBy("id").agg(F.min(F.struct("day", "minute", "at")).alias("x"))
-    return rules.join(F.broadcast(found), "id").withColumn("next_at", F.col("x.at")).drop("x")
+    return rules.join(found, "id").withColumn("next_at", F.col("x.at")).drop("x")
 
 
 def previous_occurrence(rules: DataFrame, before: Column) -> DataFrame:
@@ -225,7 +225,7 @@ def previous_occurrence(rules: DataFrame, before: Column) -> DataFrame:
     last = F.date_add(T.local_date(before, F.col("zone")), 1)
     rows = _expanded(rules, F.date_sub(last, F.col("horizon") + 2), last).where(F.col("at") <= before)
     found = rows.groupBy("id").agg(F.max(F.struct("day", "minute", "at")).alias("x"))
-    return rules.join(F.broadcast(found), "id").withColumn("previous_at", F.col("x.at")).drop("x")
+    return rules.join(found, "id").withColumn("previous_at", F.col("x.at")).drop("x")
 
 
 _DAY_NAMES = {"ko-KR": ("월", "화", "수", "목", "금", "토", "일"), "en-US": ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .places import numbered
 from .publish import expired
 
 RAW_KEY = ["source_id", "document_key", "content_hash"]
@@ -80,6 +81,8 @@ def swept(content: DataFrame, children: DataFrame, raw: DataFrame, parses: DataF
 
 
 def version_pairs(versions: DataFrame) -> DataFrame:
-    """version and the one before it of a published list (position from the newest on): a dimension of some hundred rows, so
-    one window over all of it will do."""
-    return versions.select("version", F.lead("version").over(W.partitionBy(F.lit(0)).orderBy("position")).alias("previous"))
+    """version and the one before it of a published list (version, position: from the newest on, no two alike). Versions are
+    numbered by ranges and meet their neighbour by number, so no task takes the whole list."""
+    placed = numbered(versions.select("version", "position"), [], [F.col("position")])
+    before = placed.select(F.col("version").alias("previous"), (F.col("place") - 1).alias("place"))
+    return placed.join(before, "place", "left").select("version", "previous")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import model as M
+from ..functions import recurrence as R
 from ..functions.state import instant
 from ..sources.feeds import candidate
 
@@ -134,6 +135,20 @@ def checked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reset_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usual rules, and one of each supplier: daily, weekly or monthly by turns."""
+    k, none = F.col("s_suppkey"), lambda kind: F.lit(None).cast(kind)
+    freq = _element(k, ("DAILY", "WEEKLY", "MONTHLY"))
+    weekday = F.struct((k % 7 + 1).cast("int").alias("weekday"), none("int").alias("nth"))
+    own = read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), k.cast("string")).alias("id"), _element(k, M.GAMES).alias("game_id"), F.col("s_name").alias("name"), freq.alias("frequency"), F.lit("Asia/Seoul").alias("zone"),
+        F.lit(False).alias("is_primary"), F.lit(True).alias("is_active"), freq.alias("freq"), F.lit(1).alias("interval"), F.array((k % 24 * 60).cast("int")).alias("times"),
+        F.filter(F.array(weekday), lambda _: freq == "WEEKLY").alias("weekdays"), F.filter(F.array((k % 28 + 1).cast("int")), lambda _: freq == "MONTHLY").alias("month_days"),
+        none("date").alias("anchor"), none("timestamp_ntz").alias("until"), F.when(freq == "DAILY", 2).when(freq == "WEEKLY", 8).otherwise(125).alias("horizon"),
+    )
+    return R.rules_table(spark).unionByName(own)
+
+
 def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of a patch: line items with the price before and after their discount."""
     line = read(spark, sf_dir, "lineitem")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import CHECKED, TWO_BATCHES, ITEMS, NOW, ORACLE_SQL, RULES
+from .oracles import ALL_RULES, CHECKED, ITEMS, NOW, ORACLE_SQL, RULES, TWO_BATCHES
 
 _LINK = """CASE WHEN event_id % 5 = 0 THEN 'https://other.example.net' WHEN event_id % 2 = 0 THEN 'https://game.example.com' ELSE 'https://www.news.example.org' END || '/views/' || event_id"""
 _NONE = "NULL::VARCHAR"
@@ -118,7 +118,11 @@ SELECT * FROM (VALUES
   ('a-live', 'live', NULL, NULL, 15), ('b-paused', 'live', 'NOT_ENABLED', 'PAUSED', NULL), ('c-keyless', 'live', 'MISSING_CREDENTIALS', 'OTHER_KEY', NULL), ('d-manual', 'live', 'NO_SCHEDULE', NULL, NULL), ('e-fixture', 'live', 'UNSUPPORTED_MODE', 'live', NULL),
   ('a-live', 'mock', NULL, NULL, 15), ('b-paused', 'mock', 'UNSUPPORTED_MODE', 'mock', NULL), ('c-keyless', 'mock', NULL, NULL, 30), ('d-manual', 'mock', 'UNSUPPORTED_MODE', 'mock', NULL), ('e-fixture', 'mock', 'UNSUPPORTED_MODE', 'mock', NULL),
   ('a-live', 'fixture', 'UNSUPPORTED_MODE', 'fixture', NULL), ('b-paused', 'fixture', 'UNSUPPORTED_MODE', 'fixture', NULL), ('c-keyless', 'fixture', 'UNSUPPORTED_MODE', 'fixture', NULL), ('d-manual', 'fixture', 'UNSUPPORTED_MODE', 'fixture', NULL), ('e-fixture', 'fixture', NULL, NULL, 60)
-) t(adapter_id, mode, reason, about, every_minutes)""",
+) t(adapter_id, mode, reason, about, every_minutes)
+UNION ALL SELECT 's' || k, mode, reason, CASE reason WHEN 'UNSUPPORTED_MODE' THEN mode WHEN 'NOT_ENABLED' THEN 'PAUSED' WHEN 'MISSING_CREDENTIALS' THEN 'OTHER_KEY' END, CASE WHEN reason IS NULL THEN CASE WHEN mode = 'fixture' THEN 60 ELSE every END END
+FROM (SELECT k, mode, every, CASE WHEN NOT has THEN 'UNSUPPORTED_MODE' WHEN mode = 'live' AND k % 4 = 0 THEN 'NOT_ENABLED' WHEN mode = 'live' AND k % 7 = 0 THEN 'MISSING_CREDENTIALS' WHEN mode <> 'fixture' AND every IS NULL THEN 'NO_SCHEDULE' END AS reason
+  FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 11 <> 0 THEN s_suppkey % 60 + 1 END AS every, mode, CASE mode WHEN 'live' THEN s_suppkey % 5 <> 0 WHEN 'mock' THEN s_suppkey % 2 = 0 ELSE s_suppkey % 3 = 0 END AS has
+    FROM supplier, (VALUES ('live'), ('mock'), ('fixture')) m(mode)))""",
     "sitemap_rows": f"""
 WITH {ITEMS}
 SELECT 'https://example.com' || p AS url, NULL::TIMESTAMP AS last_modified, f AS frequency, r::DOUBLE AS priority FROM (VALUES ('/', 'hourly', 1.0), ('/today', 'hourly', 0.8), ('/terms', 'monthly', 0.2)) t(p, f, r)
@@ -212,7 +216,7 @@ FROM l""",
 WITH {ITEMS}, d AS (SELECT p.*, i.instant FROM pub p, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) i(instant))
 SELECT instant, CASE WHEN start_at IS NULL AND end_at IS NULL THEN 'UNKNOWN' WHEN start_at > instant THEN 'UPCOMING' WHEN end_at <= instant THEN 'ENDED' WHEN type <> 'MAINTENANCE' AND end_at - instant <= INTERVAL 48 HOUR THEN 'ENDING_SOON' ELSE 'LIVE' END AS time_status, count(*) AS items
 FROM d GROUP BY ALL""",
-    "previous_reset": f"WITH {RULES} SELECT id AS rule_id, game_id, max(moment) AS previous_at FROM occ WHERE moment <= {NOW} GROUP BY ALL",
+    "previous_reset": f"WITH {ALL_RULES} SELECT id AS rule_id, game_id, max(moment) AS previous_at FROM occ WHERE moment <= {NOW} GROUP BY ALL",
     "game_overview": f"WITH {ITEMS} SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY eff DESC, id)::INTEGER AS place, id FROM pub WHERE type = 'PATCH' QUALIFY place <= 3",
     "source_ranks": """
 SELECT ['lol','lostark','maplestory','genshin','wuwa'][s_suppkey % 5 + 1] AS game_id, 's' || s_suppkey AS id, CASE WHEN s_suppkey % 10 = 7 THEN 'OFFICIAL_WEB' ELSE t END AS type

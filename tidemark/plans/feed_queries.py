@@ -246,8 +246,12 @@ ADAPTERS = (
 
 @query
 def schedule_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """What is scheduled, and why the rest is not, in three modes."""
-    a = G.adapters_table(spark, ADAPTERS)
+    """What is scheduled, and why the rest is not, in three modes: some adapters by hand, and one for each supplier."""
+    k = F.col("s_suppkey")
+    modes = F.filter(F.array(F.when(k % 5 != 0, "live"), F.when(k % 2 == 0, "mock"), F.when(k % 3 == 0, "fixture")), lambda m: m.isNotNull())
+    keys = F.when(k % 7 == 0, F.array(F.lit("OTHER_KEY"))).when(k % 7 == 1, F.array(F.lit("API_KEY"))).otherwise(F.array().cast("array<string>"))
+    own = read(spark, sf, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("adapter_id"), F.lit("lol").alias("game_id"), modes.alias("modes"), F.when(k % 4 == 0, "PAUSED").otherwise("ENABLED").alias("collector_status"), keys.alias("credentials"), F.when(k % 11 != 0, (k % 60 + 1).cast("int")).alias("every_minutes"))
+    a = G.adapters_table(spark, ADAPTERS).unionByName(own)
     plans = [G.schedule(a, mode, ("API_KEY",)).withColumn("mode", F.lit(mode)) for mode in ("live", "mock", "fixture")]
     return plans[0].unionByName(plans[1]).unionByName(plans[2])
 
@@ -358,7 +362,7 @@ def status_over_time(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def previous_reset(spark: SparkSession, sf: str) -> DataFrame:
-    return R.previous_occurrence(R.rules_table(spark), now()).select(F.col("id").alias("rule_id"), "game_id", "previous_at")
+    return R.previous_occurrence(D7.reset_rules(spark, sf), now()).select(F.col("id").alias("rule_id"), "game_id", "previous_at")
 
 
 @query

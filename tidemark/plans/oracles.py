@@ -44,6 +44,11 @@ rules(id, game_id, frequency, off, h, dow, dom, is_primary) AS (VALUES
   WHERE (r.dow IS NULL OR isodow(d.day) = r.dow) AND (r.dom IS NULL OR day(d.day) = r.dom)
 )"""
 
+#: The usual rules and those of suppliers.
+ALL_RULES = RULES.replace("rules(", "fixed(", 1).replace("), occ AS (", """), rules AS (SELECT * FROM fixed UNION ALL
+  SELECT 's' || s_suppkey, ['lol','lostark','maplestory','genshin','wuwa'][s_suppkey % 5 + 1], ['DAILY','WEEKLY','MONTHLY'][s_suppkey % 3 + 1], 9, s_suppkey % 24, CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey % 7 + 1 END, CASE WHEN s_suppkey % 3 = 2 THEN s_suppkey % 28 + 1 END, false FROM supplier
+), occ AS (""", 1)
+
 NEXT = f"nexts AS (SELECT id, game_id, is_primary, min(moment) AS next_at FROM occ WHERE moment > {NOW} GROUP BY ALL)"
 
 URGENCY = f"""
@@ -313,8 +318,8 @@ marks AS (SELECT 'RELEASE' AS marker, coalesce(start_at, source_published_at) AS
 local AS (SELECT marker, (moment + INTERVAL 9 HOUR)::DATE AS day FROM marks)
 SELECT day, week, in_month, is_today, count(*) FILTER (marker = 'START') AS n_start, count(*) FILTER (marker = 'END') AS n_end, count(*) FILTER (marker = 'RELEASE') AS n_release, count(*) FILTER (marker = 'RESET') AS n_reset
 FROM days LEFT JOIN local USING (day) GROUP BY ALL""",
-    "reset_occurrences": f"WITH {RULES} SELECT id AS rule_id, game_id, moment FROM occ WHERE moment >= TIMESTAMP '2024-01-01' AND moment < TIMESTAMP '2024-03-01'",
-    "next_reset": f"WITH {RULES}, {NEXT} SELECT id AS rule_id, game_id, next_at FROM nexts",
+    "reset_occurrences": f"WITH {ALL_RULES} SELECT id AS rule_id, game_id, moment FROM occ WHERE moment >= TIMESTAMP '2024-01-01' AND moment < TIMESTAMP '2024-03-01'",
+    "next_reset": f"WITH {ALL_RULES}, {NEXT} SELECT id AS rule_id, game_id, next_at FROM nexts",
     "patch_changes": f"WITH {_LINES} SELECT patch_id, position, target_type, CASE WHEN after < before THEN 'BUFF' WHEN after > before THEN 'NERF' ELSE 'ADJUST' END AS change, before, after FROM lines",
     "change_groups": f"""WITH {_LINES}, g AS (SELECT patch_id, target_type, min(position) AS first_position, count(*) AS changes FROM lines GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY first_position, target_type)::INTEGER AS place FROM g""",

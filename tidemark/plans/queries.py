@@ -133,13 +133,13 @@ def calendar_month(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def reset_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    rows = R.occurrences_between(R.rules_table(spark), S.instant("2024-01-01 00:00:00"), S.instant("2024-03-01 00:00:00"))
+    rows = R.occurrences_between(D7.reset_rules(spark, sf), S.instant("2024-01-01 00:00:00"), S.instant("2024-03-01 00:00:00"))
     return rows.select(F.col("id").alias("rule_id"), "game_id", F.col("at").alias("moment"))
 
 
 @query
 def next_reset(spark: SparkSession, sf: str) -> DataFrame:
-    return R.next_occurrence(R.rules_table(spark), now()).select(F.col("id").alias("rule_id"), "game_id", "next_at")
+    return R.next_occurrence(D7.reset_rules(spark, sf), now()).select(F.col("id").alias("rule_id"), "game_id", "next_at")
 
 
 @query

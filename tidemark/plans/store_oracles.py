@@ -46,7 +46,7 @@ SELECT content_id, 'source ' || substr(source_id, 5) AS name, CASE WHEN is_first
 FROM events ORDER BY ts DESC, event_id LIMIT 50""",
     "replaced_details": """WITH a AS (SELECT l_orderkey AS k, l_partkey AS p FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT o_orderkey, 0 FROM orders WHERE o_orderstatus = 'F')
 SELECT k AS content_id, count(*) AS changes, sum(p)::BIGINT AS parts FROM a GROUP BY 1""",
-    "version_pairs": "SELECT '14.' || r_regionkey AS version, '14.' || lead(r_regionkey) OVER (ORDER BY r_regionkey DESC) AS previous FROM region",
+    "version_pairs": "SELECT '14.' || p_partkey AS version, '14.' || lead(p_partkey) OVER (ORDER BY p_partkey DESC) AS previous FROM part",
     "period_texts": f"""WITH {ITEMS}, x AS (SELECT *, coalesce(end_at, published_at) AS t, greatest(floor((epoch_us(coalesce(end_at, published_at)) - epoch_us({NOW})) / 1000000), 0)::BIGINT AS s, number % 3 = 0 AS day_only,
     date_diff('day', DATE '2024-01-16', (coalesce(end_at, published_at) + INTERVAL 9 HOUR)::DATE) AS dd, CASE WHEN number % 2 = 0 THEN date_trunc('day', published_at) ELSE date_trunc('minute', published_at) END - INTERVAL 9 HOUR AS l FROM items),
 y AS (SELECT *, CASE WHEN dd = 0 THEN 'D-DAY' WHEN dd > 0 THEN 'D-' || dd ELSE 'D+' || (-dd) END AS d, CASE WHEN s // 3600 < 100 THEN lpad((s // 3600)::VARCHAR, 2, '0') ELSE (s // 3600)::VARCHAR END || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS c FROM x)

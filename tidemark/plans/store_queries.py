@@ -136,7 +136,7 @@ def replaced_details(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def version_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each published version and the one before it."""
-    v = read(spark, sf, "region").select((F.lit(100) - F.col("r_regionkey")).alias("position"), F.concat(F.lit("14."), F.col("r_regionkey").cast("string")).alias("version"))
+    v = read(spark, sf, "part").select((-F.col("p_partkey")).alias("position"), F.concat(F.lit("14."), F.col("p_partkey").cast("string")).alias("version"))
     return ST.version_pairs(v)
 
 
