@@ -155,6 +155,20 @@ SELECT id, type, CASE type
   WHEN 'MAINTENANCE' THEN json_object('affectedServers', CASE WHEN kept AND number % 2 = 1 THEN [game_id, 'all'] ELSE [] END, 'compensationSlug', compensation, 'maintenanceType', CASE WHEN kept AND number % 3 <> 0 THEN 'EMERGENCY' ELSE 'SCHEDULED' END, 'type', type)
   WHEN 'BANNER' THEN json_object('bannerType', CASE WHEN kept AND number % 3 = 0 THEN 'WEAPON' ELSE 'OTHER' END, 'featured', coalesce(featured, []), 'phase', CASE WHEN kept THEN priority::VARCHAR END, 'type', type)
   ELSE json_object('type', type) END::VARCHAR AS detail FROM d""",
+    "manual_files": """
+WITH o AS (SELECT *, o_orderkey AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT 'lol' AS game_id, CASE WHEN k % 3 = 0 THEN 'key-' || k ELSE 'manual' END AS source_key, 'order ' || k AS title, date_trunc('day', o_orderdate)::TIMESTAMP AS start_at, CASE WHEN k % 2 = 0 THEN k % 100 ELSE 50 END::INTEGER AS priority, k % 5 = 0 AS is_synthetic
+FROM o WHERE k % 11 <> 0 AND k % 13 <> 0 AND o_custkey % 17 <> 0 AND n <= 200""",
+    "user_sessions": """
+WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true) AS fresh FROM events),
+s AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS rows FROM s GROUP BY user_id, n""",
+    "changed_documents": "SELECT source AS source_id, count(*) + count(*) FILTER (doc_id % 10 = 0) AS versions, count(*) AS documents FROM documents GROUP BY source",
+    "item_words": f"""
+WITH {ITEMS}, w AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g') AS t, greatest(number % 4, number // 4 % 4) AS worse, number % 32 AS d FROM items)
+SELECT id, CASE WHEN type = 'PATCH' AND number % 3 <> 0 THEN game_id || '-patch-v-1-' || number ELSE game_id || '-' || lower(replace(type, '_', '-')) || '-' || CASE WHEN number % 2 = 0 THEN t ELSE source_key END END AS slug,
+  coalesce(end_at, eff) AS closed_at, CASE number % 3 WHEN 0 THEN '한국 시간' WHEN 1 THEN 'UTC+8' ELSE 'UTC-5' END AS zone, ['VALID','WARNING','REVIEW','INVALID'][worse + 1] AS worst,
+  CASE WHEN d BETWEEN 1 AND 29 AND number % 7 <> 0 THEN make_date(2024, 2, d::INTEGER) END AS day FROM (SELECT w.*, coalesce(start_at, source_published_at, published_at) AS eff FROM w)""",
     "nested_issues": """
 WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 AS i,
     ['PATCH','UPDATE','EVENT','REWARD','REDEEM_CODE','MAINTENANCE','BANNER','ANNOUNCEMENT'][l_orderkey % 8 + 1] AS kind FROM lineitem),

@@ -9,10 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import session
+from ..functions import identity as I
 from ..functions import model as M
 from ..functions import recurrence as R
 from ..functions import state as S
 from ..functions import text as X
+from ..functions import times as T
 from ..operators import content as C
 from ..operators import details as DT
 from ..operators import diff as D
@@ -72,6 +74,49 @@ def feed_rejections(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("feed", "reason").agg(F.count("*").alias("items"))
 
 
+@query
+def manual_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates of operators' files: each customer's orders are a file, in which now and then an item is bad."""
+    o, k = read(spark, sf, "orders"), F.col("o_orderkey")
+    item = F.to_json(F.struct(
+        F.when(k % 11 != 0, "EVENT").alias("kind"), F.concat(F.lit("order "), k.cast("string")).alias("title"), F.when(k % 13 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'")).alias("startAt"),
+        F.lit("https://example.com/x").alias("sourceUrl"), F.when(k % 2 == 0, (k % 100).cast("int")).alias("priority"), F.when(k % 3 == 0, F.concat(F.lit("key-"), k.cast("string"))).alias("sourceKey"), (k % 5 == 0).alias("isSynthetic"),
+    ))
+    files = o.groupBy(F.col("o_custkey").alias("c")).agg(F.collect_list(item).alias("items"))
+    raw = files.select(F.col("c").cast("string").alias("document_key"), F.when(F.col("c") % 17 == 0, "wuwa").otherwise("lol").alias("asked_game"), F.to_json(F.struct(F.lit("lol").alias("gameId"), F.lit("n").alias("note"), "items")).alias("raw_text"))
+    done = feeds.manual_items(raw, asked=F.col("asked_game"))
+    return done.candidates.select("game_id", F.regexp_replace("source_key", "^manual-[0-9a-f]{8}$", "manual").alias("source_key"), "title", "start_at", "priority", "is_synthetic")
+
+
+@query
+def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of each user: events not more than six hours apart."""
+    rows = read(spark, sf, "events").select(F.col("user_id"), F.col("ts").cast("timestamp").alias("at"))
+    found = ingest.sessions(rows, "at", "6 hours", "user_id")
+    return found.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "rows")
+
+
+@query
+def changed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """How many versions of each source's documents a stream of fetches lets through: those that have not come before."""
+    staged, state, out = (session.scratch(spark, f"changed-{n}") for n in ("in", "state", "out"))
+    D7.raw_documents(spark, sf).drop("raw_text").withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).write.parquet(f"{staged}/part=0")
+    fetched = ingest.files(spark, f"{staged}/*", spark.read.parquet(f"{staged}/part=0").schema, per_batch=1_000_000)
+    ingest.changed_only(fetched, horizon="60 days").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("source_id").agg(F.count("*").alias("versions"), F.countDistinct("document_key").alias("documents"))
+
+
+@query
+def item_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Slugs of records, when they are over, their zone in words, the worse of two statuses and days that are real."""
+    n, i = F.col("number"), D7.items(spark, sf)
+    status = lambda c: F.element_at(F.array(*[F.lit(v) for v in M.VALIDATION_STATUSES]), (c % 4 + 1).cast("int"))
+    slug = I.content_slug(F.col("game_id"), F.col("type"), F.when(n % 3 != 0, F.concat(F.lit("v 1."), n.cast("string"))), F.when(n % 2 == 0, F.col("title")), F.col("source_key"))
+    zone = T.zone_label(F.when(n % 3 == 0, "Asia/Seoul").when(n % 3 == 1, "UTC+8").otherwise("America/New_York"), F.col("published_at"))
+    day = T.strict_date(F.concat(F.lit("2024-02-"), F.lpad((n % 32).cast("string"), 2, "0"), F.when(n % 7 == 0, " ").otherwise("")))
+    return i.select("id", slug.alias("slug"), S.closed_at().alias("closed_at"), zone.alias("zone"), S.worst_status(status(n), status(F.floor(n / 4))).alias("worst"), day.alias("day"))
+
+
 @query
 def date_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Date ranges out of notices' texts."""

@@ -110,10 +110,11 @@ def _source_text(at: Column, zone: Column) -> Column:
     return F.concat(F.date_format(wall, "yyyy/MM/dd HH:mm"), F.lit(" ("), T.offset_label(T.offset_minutes(at, zone)), F.lit(")"))
 
 
-def synthetic_feed(raw: DataFrame, anchor: Column) -> Normalized:
-    """Development feeds: times may be relative to ``anchor``; an item's key is ``document#item``; all are synthetic."""
-    feed = raw.select(F.col("document_key").alias("file"), F.from_json("raw_text", SYNTHETIC_FEED).alias("f"))
-    docs = feed.select("f.gameId", F.col("f.timezone").alias("stated"), T.normal_zone(F.col("f.timezone")).alias("zone"), "f.locale", "f.region", F.explode("f.documents").alias("d"))
+def synthetic_feed(raw: DataFrame, anchor: Column, asked: Column | None = None) -> Normalized:
+    """Development feeds: times may be relative to ``anchor``; an item's key is ``document#item``; all are synthetic. ``asked``:
+    the game that was asked for; a feed that declares another one gives no candidates."""
+    feed = raw.select(F.col("document_key").alias("file"), (F.lit(None).cast("string") if asked is None else asked).alias("asked"), F.from_json("raw_text", SYNTHETIC_FEED).alias("f"))
+    docs = feed.select("asked", "f.gameId", F.col("f.timezone").alias("stated"), T.normal_zone(F.col("f.timezone")).alias("zone"), "f.locale", "f.region", F.explode("f.documents").alias("d"))
     items = docs.select("*", F.col("d.externalId").alias("document_key"), F.posexplode("d.items").alias("position", "text"))
     items = items.withColumn("i", F.from_json("text", _ITEM))
     at = lambda c: T.relative_time(F.col(c), anchor, F.col("zone"))
@@ -128,16 +129,22 @@ def synthetic_feed(raw: DataFrame, anchor: Column) -> Normalized:
         maintenance_type=F.col("i.maintenance.maintenanceType"), related_source_key=F.col("i.reward.relatedSourceKey"),
     )
     bad_time = lambda c, t: F.col(c).isNotNull() & F.col(t).isNull()
-    reason = F.when(F.col("i.key").isNull() | F.col("i.kind").isNull() | F.col("i.title").isNull(), "unexpected shape").when(bad_time("i.startAt", "start") | bad_time("i.endAt", "end"), "bad time")
+    reason = F.when(F.col("asked") != F.coalesce("gameId", F.lit("")), "another game").when(F.col("i.key").isNull() | F.col("i.kind").isNull() | F.col("i.title").isNull(), "unexpected shape").when(bad_time("i.startAt", "start") | bad_time("i.endAt", "end"), "bad time")
     return _split(items, F.array(made), reason)
 
 
 MANUAL_FILE = "gameId string, note string, items array<string>"
 
 
-def manual_items(raw: DataFrame, locale: str = "ko-KR") -> Normalized:
-    """Operators' files: missing fields get defaults; an item without a key is named by what it says."""
-    files = raw.select("document_key", F.from_json("raw_text", MANUAL_FILE).alias("f")).select("document_key", "f.gameId", F.posexplode("f.items").alias("position", "text"))
+#: Items of an operator's file at most.
+MANUAL_MOST = 200
+
+
+def manual_items(raw: DataFrame, locale: str = "ko-KR", asked: Column | None = None) -> Normalized:
+    """Operators' files: missing fields get defaults; an item without a key is named by what it says. A file with more than
+    MANUAL_MOST items, or of another game than ``asked``, gives no candidates."""
+    files = raw.select("document_key", (F.lit(None).cast("string") if asked is None else asked).alias("asked"), F.from_json("raw_text", MANUAL_FILE).alias("f"))
+    files = files.select("document_key", "asked", "f.gameId", F.size("f.items").alias("items"), F.posexplode("f.items").alias("position", "text"))
     rows = files.withColumn("i", F.from_json("text", _ITEM + ", sourceKey string, isSynthetic boolean"))
     own = F.to_json(F.struct(F.col("i.kind").alias("kind"), F.col("i.startAt").alias("startAt"), F.col("i.title").alias("title")), {"ignoreNullFields": "false"})
     at = lambda c: T.stated_instant(F.col(c))
@@ -147,7 +154,7 @@ def manual_items(raw: DataFrame, locale: str = "ko-KR") -> Normalized:
         source_locale=locale, priority=F.coalesce("i.priority", F.lit(50)), confidence=F.coalesce("i.confidence", F.lit(1.0)), is_synthetic=F.coalesce("i.isSynthetic", F.lit(False)),
         code=F.col("i.redeemCode.code"), version=F.col("i.patch.version"), maintenance_type=F.col("i.maintenance.maintenanceType"), related_source_key=F.col("i.reward.relatedSourceKey"),
     )
-    reason = F.when(F.col("i.kind").isNull() | F.col("i.title").isNull() | F.col("i.sourceUrl").isNull(), "unexpected shape").when(F.col("i.startAt").isNotNull() & at("i.startAt").isNull(), "bad time")
+    reason = F.when(F.col("asked") != F.coalesce("gameId", F.lit("")), "another game").when(F.col("items") > MANUAL_MOST, "too many items").when(F.col("i.kind").isNull() | F.col("i.title").isNull() | F.col("i.sourceUrl").isNull(), "unexpected shape").when(F.col("i.startAt").isNotNull() & at("i.startAt").isNull(), "bad time")
     return _split(rows, F.array(made), reason)
 
 
