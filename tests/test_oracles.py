@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from tidemark.plans import feed_oracles, feed_queries, store_oracles, store_queries  # noqa: F401
+from tidemark.plans import feed_oracles, feed_queries, page_oracles, pages, store_oracles, store_queries  # noqa: F401
 from tidemark.plans.oracles import ORACLE_SQL
 from tidemark.plans.queries import QUERIES
 

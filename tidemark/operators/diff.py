@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -120,3 +121,12 @@ def groups_in_order(changes: DataFrame, by: str, group: str, position: str) -> D
 
     g = changes.groupBy(by, group).agg(F.min(position).alias("first_position"), F.count("*").alias("changes"))
     return g.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy("first_position", group)))
+
+
+def limited(changes: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` changes of each group in their order, with ``truncated``: whether the group had more. Counts combine
+    before they are shuffled, and so does the cut."""
+    w = W.partitionBy(*by).orderBy(*order)
+    kept = changes.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    sizes = changes.groupBy(*by).agg((F.count("*") > most).alias("truncated"))
+    return kept.join(sizes, by)

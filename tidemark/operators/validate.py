@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import model as M
@@ -163,3 +163,12 @@ def worst(issues: Column) -> Column:
     """Status of a list of issues."""
     rank = F.aggregate(issues, F.lit(0), lambda a, i: F.greatest(a, M.severity(i["severity"])))
     return F.element_at(F.array(*[F.lit(s) for s in M.VALIDATION_STATUSES]), rank + 1)
+
+
+#: Raise it with every change of a rule.
+VERSION = "3"
+
+
+def results(rows: DataFrame, run: str, now: Column) -> DataFrame:
+    """Validation results of a run, as they are appended to those of earlier runs: a row for each candidate (c, number, issues)."""
+    return rows.select(F.col("c")["source_key"].alias("candidate_key"), "source_id", "number", worst(F.col("issues")).alias("status"), "issues", F.lit(run).alias("ingestion_run_id"), F.lit(VERSION).alias("validator_version"), now.alias("created_at"))
