@@ -117,7 +117,6 @@ def change_line(name: Column, field: Column, before: Column, after: Column) -> C
 
 def groups_in_order(changes: DataFrame, by: str, group: str, position: str) -> DataFrame:
     """Changes of each ``by`` counted per group, with the group's place by first sight."""
-    from pyspark.sql import Window as W
 
     g = changes.groupBy(by, group).agg(F.min(position).alias("first_position"), F.count("*").alias("changes"))
     return g.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy("first_position", group)))

@@ -22,7 +22,7 @@ def _classified(items: DataFrame, of: Column, name: str) -> DataFrame:
 
 
 def today(items: DataFrame, rules: DataFrame, now: Column, options: M.TodayOptions = M.TodayOptions()) -> DataFrame:
-    """section, place, kind, id, game_id, title, status, tier, reason, at, priority: the daily digest, most urgent first."""
+    """section, kind, id, game_id, title, status, tier, reason, at, priority: the daily digest, most urgent first."""
     kept = items.where(~F.col("id").isin(*options.dismissed)) if options.dismissed else items
     of_items = _classified(S.with_states(kept, now), S.today_section(now, options), "section").withColumn("u", S.urgency(now))
     of_items = of_items.select("section", F.lit("item").alias("kind"), "id", "game_id", "title", F.col("time_status").alias("status"), "u.tier", "u.reason", "u.at", "priority")
