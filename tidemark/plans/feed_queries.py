@@ -373,12 +373,17 @@ def rate_grants(spark: SparkSession, sf: str) -> DataFrame:
     """When each request may start, out of a stream that takes requests and answers in two batches."""
     staged, state, out = (session.scratch(spark, f"limiter-{n}") for n in ("in", "state", "out"))
     events = session.written(limited_events(spark, sf), "limited")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", limiter.PROVIDER)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    usual = spark.conf.get(provider)
+    spark.conf.set(provider, limiter.PROVIDER)
     early = F.col("at") < now()
-    for n, rows in enumerate((events.where(early), events.where(~early))):
-        rows.write.parquet(f"{staged}/part={n}")
-        grants = limiter.granted(ingest.files(spark, f"{staged}/*", events.schema, per_batch=1_000_000), POLICY)
-        grants.writeStream.format("parquet").option("path", f"{out}/grants").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    try:
+        for n, rows in enumerate((events.where(early), events.where(~early))):
+            rows.write.parquet(f"{staged}/part={n}")
+            grants = limiter.granted(ingest.files(spark, f"{staged}/*", events.schema, per_batch=1_000_000), POLICY)
+            grants.writeStream.format("parquet").option("path", f"{out}/grants").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, usual)
     return spark.read.parquet(f"{out}/grants")
 
 
