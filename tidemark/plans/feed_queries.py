@@ -480,7 +480,7 @@ def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def batch_counters(spark: SparkSession, sf: str) -> DataFrame:
     """What two batches report of themselves, counted while they were written."""
-    log = ingest.ContentLog(spark, session.scratch(spark, "counted"), now())
+    log = ingest.ContentLog(spark, session.scratch(spark, "counted"), now(), bucket_rows=2_500)
     for n, rows in enumerate(_batches(spark, sf)):
         log.apply(rows, n)
     fields = ["discovered", *(o.replace("-", "_") for o in P.OUTCOMES), *(v.lower() for v in M.VALIDATION_STATUSES)]

@@ -1,8 +1,8 @@
 """Incremental ingestion with Structured Streaming.
 
 A stream of candidates goes through the same batch operators as a table does: each micro-batch is decided against the store
-and appended to it. The store is a log of Parquet folders, one for each batch and written as a whole, so a batch that runs
-again after a failure replaces what it wrote and nothing is applied twice. What holds now is the last row of each content id.
+and its changes are added to the store. What a batch writes holds from one moment on, and a batch that runs again after that
+changes nothing. The store is a few tables of ``segments``: what a batch reads of it does not grow with the store.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from .. import session
 from ..operators import publish as P
+from .segments import BUCKET_ROWS, Segments, Table
 
 SIGHTING = ("content_id", "source_id", "source_key")
 SIGHTED = "content_id string, source_id string, source_key string, role string, first_seen timestamp_ntz, last_seen timestamp_ntz"
@@ -52,59 +54,72 @@ def requests_within(requests: DataFrame, seconds: int, key: str = "host", at: st
     return requests.withColumn("recent", F.count("*").over(w))
 
 
+def _name(kind: str, *parts: str) -> Column:
+    """What a record is found by: its source and key, or its meaning. Lengths keep parts of different keys apart."""
+    return F.concat(F.lit(kind), *[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), F.col(p))])
+
+
 class ContentLog:
-    """Published content, what sources have reported of it, and the outcomes of candidates, as logs of batches below ``path``."""
+    """Published content, what sources have reported of it, and the outcomes of candidates, below ``path``.
 
-    def __init__(self, spark: SparkSession, path: str, now: Column | None = None):
+    Content and sightings are looked up by content id, and ``names`` leads to the ids from a source and key or from a
+    meaning. An id stays under a name that it no longer has; the record itself decides then.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, now: Column | None = None, bucket_rows: int = BUCKET_ROWS):
         self.spark, self.path = spark, path
-        #: Of each batch that this log has applied: discovered, and how many of each outcome and validation.
-        self.counters: dict[int, dict[str, int]] = {}
+        self.tables = Segments(
+            spark,
+            path,
+            [Table("content", STORED, ["content_id"]), Table("sightings", SIGHTED, SIGHTING, ["content_id"]), Table("names", "name string, content_id string", ["name", "content_id"], ["name"])],
+            bucket_rows,
+        )
         self.now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
 
-    def rows(self, kind: str = "content") -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        schema = (STORED if kind == "content" else SIGHTED) + ", batch bigint"
-        if not fs.exists(p) or not any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(p)):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(str(p))
-
-    @staticmethod
-    def _last(rows: DataFrame, *key: str) -> DataFrame:
-        """The last row of each key; it combines before the shuffle."""
-        fields = [c for c in rows.columns if c not in (*key, "batch")]
-        return rows.groupBy(*key).agg(F.max_by(F.struct(*fields), "batch").alias("r")).select(*key, "r.*")
+    @property
+    def counters(self) -> dict[int, dict[str, int]]:
+        """Of each batch whose manifest is kept: discovered, and how many of each outcome and validation."""
+        return self.tables.notes()
 
     def current(self) -> DataFrame:
-        return self._last(self.rows(), "content_id")
+        return self.tables.all("content")
 
     def sightings(self) -> DataFrame:
-        return self._last(self.rows("sightings"), *SIGHTING)
+        return self.tables.all("sightings")
+
+    def touched(self, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The records that a batch may touch, and their sightings: those of its keys, those that its sources have reported,
+        and those of its meanings."""
+        names = candidates.select(F.explode(F.array(_name("k", "source_id", "source_key"), _name("m", "semantic_key"))).alias("name")).where("name is not null").distinct()
+        ids = self.tables.look_up("names", names).select("content_id").distinct()
+        if self.tables.bucketed("content") or self.tables.bucketed("sightings"):
+            ids = session.written(ids, "ids")  # read for the numbers of their buckets, and for the rows
+        return self.tables.look_up("content", ids), self.tables.look_up("sightings", ids)
 
     def apply(self, candidates: DataFrame, batch: int) -> DataFrame:
         """Decide a batch against what stood before it and write what it creates or updates. Returns the outcomes.
 
-        Only records that the batch may touch are looked at: those of its keys and meanings, and those that its sources have
-        reported. The batch is the small side of these joins, the log is scanned and not shuffled.
-        """
-        content, seen = (self.rows(k).where(F.col("batch") < batch) for k in ("content", "sightings"))
-        asked = candidates.select("source_id", "source_key", "semantic_key").distinct()
-        past = seen.join(asked.select("source_id", "source_key").distinct(), ["source_id", "source_key"], "left_semi").select("content_id")
-        own = content.join(asked.select("source_id", "source_key").distinct(), ["source_id", "source_key"], "left_semi").select("content_id")
-        same = content.join(asked.select("semantic_key").distinct(), "semantic_key", "left_semi").select("content_id")
-        ids = past.union(own).union(same).distinct()
-        stored = self._last(content.join(ids, "content_id", "left_semi"), "content_id")
-        reported = self._last(seen.join(ids, "content_id", "left_semi"), *SIGHTING)
+        A batch that has been applied is not applied again. All that a batch writes holds from one moment on."""
+        path = f"{self.path}/outcomes/batch={batch}"
+        if batch <= self.tables.newest():
+            return self.spark.read.parquet(path)
+        stored, reported = self.touched(candidates)
         # the counters come out of the write itself, so no batch is read again for them
         seen_now = Observation(f"batch {batch}")
         outcomes = P.outcomes(candidates, stored, reported)
-        outcomes.observe(seen_now, *P.counters(outcomes)).write.mode("overwrite").parquet(f"{self.path}/outcomes/batch={batch}")
-        decided = self.spark.read.schema(outcomes.schema).parquet(f"{self.path}/outcomes/batch={batch}")
-        self.counters[batch] = seen_now.get
-        touched = decided.where(F.col("outcome").isin("created", "updated")).select(F.col("owner").alias("content_id")).distinct()
-        P.merged(stored, decided).join(touched, "content_id", "left_semi").select(*[c.split()[0] for c in STORED.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/content/batch={batch}")
-        P.sighted(reported, decided, self.now).write.mode("overwrite").parquet(f"{self.path}/sightings/batch={batch}")
+        outcomes.observe(seen_now, *P.counters(outcomes)).write.mode("overwrite").parquet(path)
+        decided = self.spark.read.schema(outcomes.schema).parquet(path)
+        changed = decided.where(F.col("outcome").isin("created", "updated")).select(F.col("owner").alias("content_id")).distinct()
+        named = lambda name: decided.where("owner is not null and outcome <> 'review-held'").select(name.alias("name"), F.col("owner").alias("content_id"))
+        names = named(_name("k", "source_id", "source_key")).unionByName(named(_name("m", "semantic_key"))).where("name is not null").distinct()
+        rows = {
+            "content": P.merged(stored, decided).join(changed, "content_id", "left_semi"),
+            # of the sightings of a fact that many report only those that are new or changed
+            "sightings": P.sighted(reported, decided, self.now).subtract(reported),
+            "names": names,
+        }
+        counters = seen_now.get
+        self.tables.commit(batch, rows, 2 * counters["discovered"], counters)
         return decided
 
 
