@@ -599,6 +599,30 @@ def test_automaton_is_levenshtein():
     assert m.match("zyxabc") == ("zyx*", 0) and m.match("zy") is None
 
 
+def test_reporting_clauses():
+    lexicon = toxicity.Lexicon({"idiot": 1.0})
+    abuse = ["in other words you idiot", "in the long term idiot", "my word, idiot", "he said no. you idiot", "she wrote; you idiot"]
+    quoted = ["she wrote: you idiot", "she said you idiot", "the word idiot", "a slur like idiot", '"' + "so it was, " * 200 + 'you idiot"', "‘" + "don't go " * 300 + "idiot’"]
+    for texts, at in ((abuse, 0), (quoted, 2)):
+        for t in texts:
+            x = toxicity.features(t, lexicon)
+            assert x[at] > 0 and x[2 - at] == 0, t
+
+
+def test_signs_of_context_are_learned(spark):
+    """A hit after a word that only texts without a mark have counts less; words that both have say nothing."""
+    rows = [(f"come here now you idiot and go {i}", 1) for i in range(60)] + [(f"entry glossary here now idiot and go {i}", 0) for i in range(12)]
+    sample = spark.createDataFrame([*rows, *rows], "text string, toxic int")
+    signs = toxicity.learn_signs(sample, {"idiot": 1.0})
+    assert signs["<glossary"] < -2 and "<here" not in signs and ">go" not in signs
+    # by hand: 12 texts without a mark, 60 with one, each once
+    assert abs(signs["<glossary"] - (np.log(0.5 / 12.5) - np.log(60 / 12))) < 1e-9
+    lexicon = toxicity.Lexicon({"idiot": 1.0} | signs)
+    near, far = toxicity.features("a glossary idiot", lexicon), toxicity.features("what an idiot", lexicon)
+    assert near[0] < 0.1 < far[0] and near[2] > 0.5 and far[2] == 0
+    assert toxicity.learn_signs(sample.where("toxic = 1"), {"idiot": 1.0}) == {} == toxicity.learn_signs(sample.where("false"), {"idiot": 1.0})
+
+
 def test_quotation_counts_apart():
     lexicon = toxicity.Lexicon({"idiot": 1.0})
     abuse, quoted = toxicity.features("you are an idiot and more", lexicon), toxicity.features('they wrote "what an idiot" there', lexicon)

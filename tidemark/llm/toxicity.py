@@ -7,9 +7,11 @@
    state as words ask for it, so a word costs one table step a letter and most words die early. Whole words of
    ``LEAST_FUZZY`` letters or more match with up to one edit and common letter look-alikes; shorter ones, of which one edit
    makes too many other words, and beginnings match exactly.
-3. Context. A hit inside a pair of quotation marks (an apostrophe inside a word is none), after a word of reporting in its
-   own sentence, or right after a word for a word, is quoted; other hits are abuse, the more so with an address to a person
-   within ``WINDOW`` words. Hits are summed apart by kind.
+3. Context. A hit inside a pair of quotation marks (an apostrophe inside a word is none), in a clause that a word of
+   reporting opens ("she said", "she wrote:"), or named as a word ("the word idiot") is quoted. For all other hits the sample
+   says which words within ``WINDOW`` words before or after them go with texts that are not toxic, or with toxic ones, beyond
+   chance; the sum of their log odds says how much of the hit is abuse. It is the more so with an address to a person near
+   it. Hits are summed apart by kind.
 4. Score. A logistic model over these sums, fitted on the same bounded sample, gives a number from 0 to 1 for every row.
 
 Labels are read only for rows whose crc32(doc_id as text) mod 4 is not 2. Labels, language, source and doc_id are never
@@ -48,22 +50,24 @@ THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6)
 #: Words before a hit, in its sentence, that a word of reporting may stand; and that a word for a word may stand.
 REPORTED, NAMED = 4, 2
-#: Characters of the longest passage between quotation marks that counts as a quotation; it ends with its paragraph.
-QUOTE_MOST = 1000
-#: Seed terms, words of reporting, words for a word, address words, letters that look alike.
+#: Standard errors by which a word's share of toxic texts must differ from that of all hits to be a sign of context.
+SURE = 4
+#: Seed terms, words of reporting, words for a word and what stands before these, address words, look-alikes.
 SEED_TERMS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "worthless", "disgusting")
 REPORTING = frozenset("said says wrote writes called calls quoted quotes quote sagte schrieb nannte dijo llamó escribió dit écrit appelé".split())
 NAMES = frozenset("word words term slur insult wort begriff beleidigung palabra término insulto mot terme insulte".split())
+ARTICLES = frozenset("the a an this that der die das den dem ein eine einem el la un una esta ese le une ce cette l".split())
 ADDRESS = frozenset("you your yours du dich dein ihr tu te toi tú usted vous ton votre".split())
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _WORD = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)*")
+# a quotation may be of any length and ends with its paragraph
 _QUOTED = re.compile(
     "|".join(
-        [rf'"[^"\n]{{1,{QUOTE_MOST}}}"', rf"“[^“”\n]{{1,{QUOTE_MOST}}}”", rf"„[^„“”\n]{{1,{QUOTE_MOST}}}[“”]", rf"«[^«»\n]{{1,{QUOTE_MOST}}}»"]
-        + [rf"(?<!\w)[‘'](?=\S)(?:[^‘’'\n]|(?<=\w)[’'](?=\w)){{1,{QUOTE_MOST}}}(?<=\S)[’'](?!\w)"]
+        [r'"[^"\n]++"', r"“[^“”\n]++”", r"„[^„“”\n]++[“”]", r"«[^«»\n]++»"]
+        + [r"(?<!\w)[‘'](?=\S)(?:[^‘’'\n]|(?<=\w)[’'](?=\w))++(?<=\S)[’'](?!\w)"]
     )
 )
-_STOP = re.compile(r"[.!?;:\n]")
+_STOP, _PAUSE = re.compile(r"[.!?;:\n]"), re.compile(r"[.!?;:,\n]")
 FEATURES = 8
 
 
@@ -154,10 +158,13 @@ class Matcher:
 
 
 class Lexicon:
-    """Weighted terms and their matcher; one for each Python worker and lexicon."""
+    """Weighted terms and their matcher; one for each Python worker and lexicon. A key that begins with ``<`` or ``>`` is
+    no term but a word before or after a hit, with its log odds."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.matcher, self.known = weights, Matcher(weights), {}
+        self.signs = {k: w for k, w in weights.items() if k[0] in "<>"}
+        self.weights = {k: w for k, w in weights.items() if k[0] not in "<>"}
+        self.matcher, self.known = Matcher(self.weights), {}
 
     def hits(self, words: Iterable[str]) -> dict[str, tuple[str, int]]:
         """Which of the words stand for terms. Words that came before are remembered in bounded space."""
@@ -178,43 +185,60 @@ class Lexicon:
 
 
 def _reported(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
-    """Whether word ``i`` is what somebody said or a word that is spoken about, by what stands before it."""
-    if not NAMES.isdisjoint(words[max(0, i - NAMED) : i]):
-        return True
-    for j in range(max(0, i - REPORTED), i):
-        if words[j] in REPORTING and not _STOP.search(text, spans[j][1], spans[i][0]):
+    """Whether word ``i`` is what somebody said or a word that is spoken about, by the clause that stands before it."""
+    for j in range(max(1, i - NAMED), i):
+        if words[j] in NAMES and words[j - 1] in ARTICLES and not _PAUSE.search(text, spans[j - 1][1], spans[i][0]):
             return True
+    for j in range(max(0, i - REPORTED), i):
+        if words[j] in REPORTING:
+            # a colon right after it opens what was said
+            begin = spans[j][1] + (text[spans[j][1] : spans[j][1] + 1] == ":")
+            if not _STOP.search(text, begin, spans[i][0]):
+                return True
     return False
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    """Sums over the hits of a text; see the order in the code. All are 0 for a text without hits."""
-    lower = text.lower()
-    words = _WORD.findall(lower)
+def _found(text: str, lexicon: Lexicon) -> Iterator[tuple[int, list[str], bool]]:
+    """Of each hit: its place, the words of the text, and whether it is quoted. ``text`` is in lower case."""
+    words = _WORD.findall(text)
     hits = lexicon.hits(set(words))
     if not hits:
-        return [0.0] * FEATURES
-    exact = fuzzy = quoted = abusive = weight = 0.0
-    terms, n = set(), 0
-    spans = [m.span() for m in _WORD.finditer(lower)]
-    quotes = [m.span() for m in _QUOTED.finditer(lower)]
+        return
+    spans = [m.span() for m in _WORD.finditer(text)]
+    quotes = [m.span() for m in _QUOTED.finditer(text)]
     begins = [a for a, _ in quotes]
     for i, w in enumerate(words):
-        if w not in hits:
-            continue
-        term, edits = hits[w]
+        if w in hits:
+            at = bisect_right(begins, spans[i][0]) - 1
+            yield i, words, at >= 0 and quotes[at][1] >= spans[i][1] or _reported(text, words, spans, i)
+
+
+def _around(words: list[str], i: int) -> set[str]:
+    """The words before and after word ``i`` as keys of signs."""
+    return {f"<{x}" for x in words[max(0, i - WINDOW) : i]} | {f">{x}" for x in words[i + 1 : i + WINDOW + 1]}
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
+    """Sums over the hits of a text; see the order in the code. All are 0 for a text without hits."""
+    exact = fuzzy = quoted = abusive = weight = 0.0
+    terms, n, words = set(), 0, []
+    for i, words, in_quotes in _found(text.lower(), lexicon):
+        term, edits = lexicon.known[words[i]]
         n += 1
         terms.add(term)
-        at = bisect_right(begins, spans[i][0]) - 1
-        in_quotes = at >= 0 and quotes[at][1] >= spans[i][1]
-        if in_quotes or _reported(lower, words, spans, i):
+        if in_quotes:
             quoted += 1
-        else:
-            weight += lexicon.weights[term]
-            exact += not edits
-            fuzzy += bool(edits)
-            abusive += not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1])
-    return [float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(quoted)), float(np.log1p(abusive)), float(np.log1p(weight)), float(np.log1p(len(terms))), n / max(20, len(words)) * 20, float(exact + fuzzy > 0)]
+            continue
+        sign = sum(lexicon.signs.get(x, 0.0) for x in sorted(_around(words, i))) if lexicon.signs else 0.0
+        part = float(np.exp(min(0.0, sign)))  # how much of the hit is abuse; the rest is quoted
+        quoted += 1 - part
+        weight += part * lexicon.weights[term]
+        exact += part * (not edits)
+        fuzzy += part * bool(edits)
+        abusive += part * (not ADDRESS.isdisjoint(words[max(0, i - WINDOW) : i + WINDOW + 1]))
+    if not n:
+        return [0.0] * FEATURES
+    return [float(np.log1p(exact)), float(np.log1p(fuzzy)), float(np.log1p(quoted)), float(np.log1p(abusive)), float(np.log1p(weight)), float(np.log1p(len(terms))), n / max(20, len(words)) * 20, min(1.0, exact + fuzzy)]
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -267,6 +291,39 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
     return weights or dict.fromkeys(SEED_TERMS, 1.0)
 
 
+def learn_signs(sample: DataFrame, terms: dict[str, float]) -> dict[str, float]:
+    """``<word`` or ``>word`` -> log odds of words before or after hits that are not quoted, from rows of text and toxic: of
+    those whose share of toxic texts lies beyond chance (SURE) off the share of all texts with such a hit. Sums of toxic
+    signs do not make more than a whole hit of one, they only outweigh the others."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(terms)
+        for step in steps(batches):
+            every, toxic = Counter(), Counter()
+            for text, label in zip(step["text"], step["toxic"], strict=True):
+                near = [_around(words, i) for i, words, in_quotes in _found((text or "").lower(), lexicon) if not in_quotes]
+                if near:
+                    signs = {"", *set().union(*near)}
+                    every.update(signs)
+                    toxic.update(signs if label else ())
+            names = list(every)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([every[t] for t in names], pa.int64()), pa.array([toxic[t] for t in names], pa.int64())], ["sign", "n", "toxic"])
+
+    once = sample.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    counts = once.mapInArrow(count, "sign string, n long, toxic long").groupBy("sign").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counts = written(counts.where(f"n >= {LEAST_TOXIC} or sign = ''"), "signs")
+    whole = counts.where("sign = ''").first()
+    if whole is None or not 0 < whole["toxic"] < whole["n"]:
+        return {}
+    base = whole["toxic"] / whole["n"]
+    n, p, z = F.col("n"), F.col("toxic") / F.col("n"), float(SURE)
+    middle, width = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    low, high = (middle - width) / (1 + z * z / n), (middle + width) / (1 + z * z / n)
+    sure = counts.where("sign <> ''").where((low > base) | (high < base))
+    odds = F.log((F.col("toxic") + 0.5) / (n - F.col("toxic") + 0.5)) - float(np.log(base / (1 - base)))
+    return {r["sign"]: r["odds"] for r in sure.select("sign", odds.alias("odds")).orderBy("sign").collect()}  # bounded by the sample
+
+
 _lexicons: dict[tuple, Lexicon] = {}
 
 
@@ -304,6 +361,7 @@ def model(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tupl
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
     sample = written(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
     terms = learn_terms(sample)
+    terms |= learn_signs(sample, terms)
     got = featured(sample, terms).join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("features", "toxic").collect()
     y = np.array([r["toxic"] for r in got], float)
     if not got or not 0 < y.sum() < len(y):
