@@ -159,6 +159,9 @@ SELECT id, type, CASE type
 WITH o AS (SELECT *, o_orderkey AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
 SELECT 'lol' AS game_id, CASE WHEN k % 3 = 0 THEN 'key-' || k ELSE 'manual' END AS source_key, 'order ' || k AS title, date_trunc('day', o_orderdate)::TIMESTAMP AS start_at, CASE WHEN k % 2 = 0 THEN k % 100 ELSE 50 END::INTEGER AS priority, k % 5 = 0 AS is_synthetic
 FROM o WHERE k % 11 <> 0 AND k % 13 <> 0 AND o_custkey % 17 <> 0 AND n <= 200""",
+    "adapter_files": """
+WITH f AS (SELECT (o_orderkey // 150)::BIGINT AS file, count(*) AS n FROM orders GROUP BY 1)
+SELECT file, CASE WHEN file % 17 <> 0 AND n <= 200 THEN n ELSE 0 END AS items, CASE WHEN file % 17 = 0 THEN 'another game' WHEN n > 200 THEN 'too many items' END AS reason FROM f""",
     "user_sessions": """
 WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true) AS fresh FROM events),
 s AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)

@@ -27,6 +27,7 @@ from ..operators import robots as RB
 from ..operators import runs as RN
 from ..operators import shapes as SH
 from ..sources import feeds
+from ..sources.adapter import ManualFiles
 from ..streaming import ingest, limiter
 from . import driver_views as D7
 from . import feed_views as FV
@@ -88,6 +89,20 @@ def manual_files(spark: SparkSession, sf: str) -> DataFrame:
     return done.candidates.select("game_id", F.regexp_replace("source_key", "^manual-[0-9a-f]{8}$", "manual").alias("source_key"), "title", "start_at", "priority", "is_synthetic")
 
 
+@query
+def adapter_files(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stream of operators' files, read by their data source, gives of each file: its items, or why it is refused."""
+    k, staged, out, state = F.floor(F.col("o_orderkey") / 150), *(session.scratch(spark, f"adapter-{n}") for n in ("in", "out", "state"))
+    files = read(spark, sf, "orders").groupBy(k.alias("file")).agg(F.collect_list(F.struct(F.col("o_orderkey").alias("title"))).alias("items"))
+    game = F.when(F.col("file") % 17 == 0, "wuwa").otherwise("lol")
+    files.select("file", F.to_json(F.struct(game.alias("gameId"), "items")).alias("value")).write.partitionBy("file").mode("overwrite").text(staged)
+    spark.dataSource.register(ManualFiles)
+    rows = spark.readStream.format("manual_files").option("game", "lol").load(staged)
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    file = F.regexp_extract("document_key", "file=([0-9]+)/", 1).cast("long")
+    return spark.read.parquet(f"{out}/rows").groupBy(file.alias("file")).agg(F.count("item").alias("items"), F.max("reason").alias("reason"))
+
+
 @query
 def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of each user: events not more than six hours apart."""
