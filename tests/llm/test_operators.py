@@ -504,6 +504,14 @@ def test_op8_is_brute_force(spark, sf_dir, texts):
         assert set(spans.split(",")) <= set(got[d].spans.split(","))
 
 
+def test_op8_counts_kinds_not_places(spark, tmp_path):
+    key, run = "AKIA" + "B" * 16, "0" * 24
+    rows = [(1, f"{key} {key}"), (2, f"{run} {run} {run}"), (3, "token=abcdefg secret=abcdefg"), (4, f"{run} {key} token=abcdefg {run}"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in queries.op8_secret_ledger(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 2, 0), 2: (0, 0, 3), 3: (2, 0, 0), 4: (1, 1, 2), 5: (0, 0, 0)}
+
+
 def test_sketches(docs, texts, odd, none, monkeypatch):
     monkeypatch.setattr(sketches, "BUCKET_ROWS", 17)
     got = {r.doc_id: r for r in sketches.fingerprints(docs).collect()}
