@@ -226,6 +226,19 @@ def test_simhash_groups(docs, texts, odd, none):
     assert simhash.deduplicated(none).count() == 0
 
 
+def test_simhash_blocks_are_not_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    prints = written(spark.range(2000).select(F.xxhash64("id").alias("fp")), "prints")
+    simhash.links(prints.distinct())
+    assert "SortMergeJoin" in plans["blocks"] and "BroadcastHashJoin" not in plans["blocks"]
+
+
 def test_links_of_large_keys(spark):
     rng = random.Random(9)
     centre = rng.getrandbits(64)

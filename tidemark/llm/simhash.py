@@ -125,7 +125,8 @@ def finer_masks(masks: list[int], distance: int) -> list[tuple[int, int]]:
 def _counted(keyed: DataFrame, name: str) -> DataFrame:
     """choice, key, fp of keys that several fingerprints share, with their count."""
     counts = keyed.groupBy("choice", "key").count().where("count > 1")
-    return written(keyed.join(counts, ["choice", "key"]), name)
+    # Spark takes a row exploded into one for each choice for a single one: without the hint it would broadcast millions of rows
+    return written(keyed.join(counts.hint("merge"), ["choice", "key"]), name)
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, small: int = SMALL, tile: int = TILE) -> DataFrame:
