@@ -373,6 +373,25 @@ def test_one_signature_in_most_rows(spark):
     assert {r.doc_id for r in got} | {r.rep_doc_id for r in got} == {i for i in range(300) if i % 3}
 
 
+def test_windows_of_a_small_signature_are_all_linked(spark):
+    """Also where a batch or a partition ends inside a signature."""
+    rng = random.Random(8)
+    docs = {key: [1000 * key + j for j in range(rng.randint(2, passages.SMALL + 5))] for key in range(60)}
+    rows = [(key, rng.randrange(4), d, 0, 0, 0, 50, 100) for key, ds in docs.items() for d in ds]
+    found = written(spark.createDataFrame(rows, passages._WINDOW), "windows")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(sorted((r.a.doc, r.b.doc))) for r in passages.links(found).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all((a, b) in got for ds in docs.values() if len(ds) <= passages.SMALL for a in ds for b in ds if a < b)
+    assert all(any((min(a, b), max(a, b)) in got for b in ds) for ds in docs.values() for a in ds)
+    assert all(a // 1000 == b // 1000 for a, b in got)
+
+
 def test_rows_of_one_id(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
