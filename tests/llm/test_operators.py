@@ -239,6 +239,20 @@ def test_simhash_blocks_are_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in plans["blocks"] and "BroadcastHashJoin" not in plans["blocks"]
 
 
+def test_pipeline_stage_broadcasts_no_blocks(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    corpus_pipeline.simhash_dedup(spark, docs, "")
+    assert "SortMergeJoin" in plans["blocks"] and "BroadcastHashJoin" not in plans["blocks"]
+
+
 def test_links_of_large_keys(spark):
     rng = random.Random(9)
     centre = rng.getrandbits(64)
