@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, hamming, lines, packing, passages, queries, secrets, simhash, sketches, tokens, toxicity
+from tidemark.llm import bpe, components, hamming, lines, packing, passages, queries, secrets, simhash, sketches, tokens, toxicity
 from tidemark.llm.common import read, written
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, count string, h int, first string, key string, n string, fp string, bucket string, spans string, at string, _p string, _gone string, _doc string, _text string, _new string, _found string, _blob string, row string, gone string, blob_id string, new string, doc string, hit string"
@@ -253,6 +253,20 @@ def test_pipeline_stage_broadcasts_no_blocks(spark, docs, monkeypatch):
     assert "SortMergeJoin" in plans["blocks"] and "BroadcastHashJoin" not in plans["blocks"]
 
 
+def test_simhash_broadcasts_no_table_that_grows(spark, docs, monkeypatch):
+    plans = []
+
+    def seen(df, name):
+        if name != "finer":  # that one meets a constant table
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    monkeypatch.setattr(components, "written", seen)
+    plans.append(simhash.deduplicated(docs)._jdf.queryExecution().sparkPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_links_of_large_keys(spark):
     rng = random.Random(9)
     centre = rng.getrandbits(64)

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Edges stay in DataFrames; each round is written to the shared folder, which cuts lineage. A node of very many edges costs
-its own edges in a map-side minimum and a join that adaptive execution can split, never a list of its neighbours.
+its own edges in a map-side minimum and a join that adaptive execution can split, never a list of its neighbours. Nothing is
+broadcast: the driver's memory does not grow with the edges.
 
 Edges with a null end are left out, loops and repeated edges do no harm, other columns are ignored, no edges give no rows.
 """
@@ -20,7 +21,7 @@ MOST_ROUNDS = 60
 def _stars(both: DataFrame) -> DataFrame:
     """u, v with the smallest of u and its neighbours as ``least``."""
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"))
-    return both.join(least, "u")
+    return both.join(least.hint("merge"), "u")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -145,7 +145,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, small: int = SMALL, til
     shared = shared.where(F.col("count") <= tile).unionByName(_counted(hot, "finer"))
     few = shared.where(F.col("count") <= small).drop("count")
     near = (F.col("x.choice") == F.col("y.choice")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance)
-    direct = few.alias("x").join(few.alias("y"), near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    # by sort and merge: Parquet packs these rows so well that Spark would broadcast hundreds of thousands of them
+    direct = few.alias("x").join(few.alias("y").hint("merge"), near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     # the rows of a large key fall into tiles by a hash; each tile meets every tile of its key once
     tiles = F.ceil(F.col("count") / tile).cast("int")
     many = shared.where(F.col("count") > small).withColumn("own", F.pmod(F.xxhash64("fp"), tiles).cast("int"))
@@ -166,12 +167,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     prints = written(fingerprints(docs, words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     groups = connected_components(links(distinct.select("fp"), distance))
-    # a component's id is the smallest document of all its fingerprints
-    named = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+    # a component's id is the smallest document of all its fingerprints; tables with a row a fingerprint are never broadcast
+    named = distinct.join(groups.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
     named = written(named.select("fp", "first", F.coalesce("component", "fp").alias("component")), "groups")
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    fps = named.join(ids, "component").select("fp", "component_id")
-    return prints.join(fps, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = named.join(ids.hint("merge"), "component").select("fp", "component_id")
+    return prints.join(fps.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
