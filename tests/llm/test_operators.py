@@ -462,6 +462,78 @@ def test_verification_of_edits():
     assert n > 2500
 
 
+def plainly_verified(a, b, least=46, similarity=0.8):
+    """Every price for every pair, without bounds; flags by sets."""
+
+    def stretch(shared, share):
+        cost = share / (1 - share) if share < 1 else len(shared) + 1
+        sums = np.concatenate(([0.0], np.cumsum(np.where(shared, 1.0, -cost))))
+        low = np.minimum.accumulate(sums[: len(sums) - least])
+        end = int(np.argmax(sums[least:] - low))
+        return int(np.flatnonzero(sums[: end + 1] == low[end])[-1]), end + least
+
+    if min(len(a), len(b)) < least:
+        return []
+    if a.tolist() == b.tolist():
+        return [(0, len(a), 0, len(b), 1.0)]
+    even = 2 * similarity / (1 + similarity)
+    found, todo = [], [(0, len(b))]
+    while todo:
+        lo, hi = todo.pop()
+        part = b[lo:hi]
+        in_a, in_b = np.isin(part, a), np.isin(a, part)
+        if hi - lo < least or min(in_a.sum(), in_b.sum()) < similarity * least / 2:
+            continue
+        tried = set()
+        for share, from_b in [(share, side) for share in (similarity, even, (1 + even) / 2, 1.0) for side in (True, False)]:
+            x, y = stretch(np.isin(a, part[slice(*stretch(in_a, share))]), share) if from_b else stretch(in_b, share)
+            if (x, y) in tried:
+                continue
+            tried.add((x, y))
+            p, q = stretch(np.isin(part, a[x:y]), share)
+            u, v = set(a[x:y].tolist()), set(part[p:q].tolist())
+            if len(u & v) / len(u | v) >= similarity:
+                found.append((x, y, lo + p, lo + q, len(u & v) / len(u | v)))
+                todo += [(lo, lo + p), (lo + q, hi)]
+                break
+    return sorted(found, key=lambda f: f[2])
+
+
+def test_verification_skips_nothing_by_its_bounds():
+    rng = random.Random(4)
+    hits = misses = 0
+    for _ in range(1500):
+        most = rng.choice((40, 300, 2**31 - 1))  # few values: tokens repeat
+        a = [rng.randrange(most) for _ in range(rng.randint(40, 160))]
+        b = [x for x in a[rng.randint(0, 60) :] if rng.random() > 0.02] or [1]
+        edits = rng.choice((0, 0.05, 0.1, 0.15, 0.2))
+        b = [rng.randrange(most) if rng.random() < edits else x for x in b]
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(b))
+            b[i:i] = [rng.randrange(most) for _ in range(rng.randint(0, 50))]
+        a, b = np.array(a, np.int32), np.array(b, np.int32)
+        want = plainly_verified(a, b)
+        assert passages.verified(a, b) == want
+        hits, misses = hits + bool(want), misses + (not want)
+    assert min(hits, misses) > 300
+
+
+def test_unlike_pairs_are_given_up_early(monkeypatch):
+    calls, plain = [], passages.best_stretch
+    monkeypatch.setattr(passages, "best_stretch", lambda *x: calls.append(1) or plain(*x))
+    a = np.arange(300)
+    assert passages.verified(a, np.where(a % 7 < 3, a, a + 1000)) == [] and len(calls) <= 1  # a stretch is shared by half at most
+    calls.clear()
+    assert passages.verified(a, np.concatenate((np.arange(1000, 1200), a[100:138], np.arange(2000, 2200)))) == [] and not calls
+
+
+def test_windows_are_hashed_in_small_steps(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    whole = passages.windows(docs).collect()
+    monkeypatch.setattr(passages, "CHARS", 5000)
+    assert sorted(passages.windows(docs).collect()) == sorted(whole) and len(whole) > 500
+
+
 # --- secrets, sketches, toxicity, search
 
 
