@@ -54,6 +54,49 @@ def test_windows_touch_what_they_touch(spark, seed, span, unit):
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(("seed", "span", "n"), [(1, 40, 150), (2, 2000, 150), (3, 1, 80), (4, 90, 0)])
+def test_windows_are_tallied_as_they_touch(spark, seed, span, n):
+    rng = random.Random(seed)
+    hour = lambda n: T0 + timedelta(minutes=60 * n + rng.choice([0, 0, 1, 30]))
+    items = []
+    for _ in range(n):
+        a = rng.randrange(-span, 2 * span)
+        items.append((None if rng.random() < 0.1 else rng.randrange(500), None if rng.random() < 0.15 else hour(a), None if rng.random() < 0.15 else hour(a + rng.choice([-1, 0, 0, 1, 5, span]))))
+    # ids repeat, and one is null
+    windows = [(j % 50 or None, None if rng.random() < 0.05 else hour(a := rng.randrange(span)), hour(a + rng.choice([-1, 0, 1, 3, span]))) for j in range(60)]
+    got = V.tallied(spark.createDataFrame(items, "id int, start_at timestamp_ntz, end_at timestamp_ntz"), spark.createDataFrame(windows, "window_id int, first timestamp_ntz, last timestamp_ntz"))
+    want = {}
+    for i, s, e in items:
+        for j, a, b in windows:
+            if a and a <= b and not (s and e and s > e) and (s is None or s <= b) and (e is None or e >= a):
+                want.setdefault(j, []).append(i)
+    assert {r.window_id: (r.items, r.first_item) for r in got.collect()} == {j: (len(x), min((i for i in x if i is not None), default=None)) for j, x in want.items()}
+
+
+def _most_rows(plan):
+    """Rows of the operator that made most of them, of a plan that has run."""
+    if "finalPhysicalPlan" in dir(plan):
+        plan = plan.finalPhysicalPlan()
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        return _most_rows(plan.plan())
+    own = plan.metrics().get("numOutputRows")
+    below = plan.children()
+    return max([own.get().value() if own.isDefined() else 0, *[_most_rows(below.apply(i)) for i in range(below.size())]])
+
+
+def test_window_matches_makes_no_pairs(spark, tmp_path):
+    """The items that touch a window are counted without a row for each."""
+    base = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    ts = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (F.col("id") % 700).cast("int"))
+    made = {"event_id": F.col("id"), "ts": ts, "user_id": F.col("id") % 97, "event_type": F.lit("click"), "value": (F.col("id") % 90).cast("double"), "props": F.lit("{}")}
+    spark.range(20_000).select(*[made[f.name].cast(f.dataType).alias(f.name) for f in base.fields]).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(3000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    df = feed_queries.window_matches(spark, str(tmp_path))
+    pairs = sum(r["items"] for r in df.collect())
+    assert pairs > 5_000_000
+    assert _most_rows(df._jdf.queryExecution().executedPlan()) < pairs / 50
+
+
 def test_no_windows(spark):
     items = spark.createDataFrame([(1, None, None)], "id int, start_at timestamp_ntz, end_at timestamp_ntz")
     assert V.touching(items, spark.createDataFrame([(1, T0, None)], "window_id int, first timestamp_ntz, last timestamp_ntz")).count() == 0

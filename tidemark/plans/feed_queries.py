@@ -357,7 +357,7 @@ def window_matches(spark: SparkSession, sf: str) -> DataFrame:
     at = S.effective()
     span = F.when(S.point_in_time(), F.struct(at.alias("a"), at.alias("b"), at.isNotNull().alias("known"))).otherwise(F.struct(F.col("start_at").alias("a"), F.col("end_at").alias("b"), F.lit(True).alias("known")))
     items = D7.published(spark, sf).select("id", "number", span.alias("s")).where("s.known").select(F.col("number").alias("id"), F.col("s.a").alias("start_at"), F.col("s.b").alias("end_at"))
-    return V.touching(items, windows).groupBy("window_id").agg(F.count("*").alias("items"), F.min("id").alias("first_item"))
+    return V.tallied(items, windows)
 
 
 @query
