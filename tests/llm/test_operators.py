@@ -421,6 +421,24 @@ def test_windows_of_a_small_signature_are_all_linked(spark):
     assert all(a // 1000 == b // 1000 for a, b in got)
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_windows_of_a_large_signature_all_meet(spark, monkeypatch, copies):
+    """Seventy variants of one passage, each with a word of its own replaced: every two are alike by 0.8, whatever the first is like."""
+    monkeypatch.setattr(passages, "BLOCK", 20)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(130)]
+    texts = []
+    for n in range(70):
+        at = 10 + rng.randrange(110)
+        texts.append(" ".join([*(word() for _ in range(60)), *base[:at], word(), *base[at + 1 :], *(word() for _ in range(60))]))
+    rows = [(n + 1000 * k, x) for k in range(copies) for n, x in enumerate(texts)]
+    found = {(r.rep_doc_id, r.doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    missing = [(a, b) for a in range(70) for b in range(a + 1, 70) if (a, b) not in found]
+    assert len(missing) <= 0.01 * 70 * 69 / 2, (len(missing), missing[:5])
+    assert all((n, n + 1000 * k) in found for k in range(1, copies) for n in range(70))
+
+
 def test_rows_of_one_id(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
